@@ -24,79 +24,160 @@ from pyspark.sql import functions as F
 CHUNK_COOLDOWNS = 64
 
 
+def _chunk_tools(wait: int):
+    """Helpers for the task side, closed over by the functions shipped to workers."""
+
+    def whole_groups(batches, names):
+        """Regroup sorted Arrow batches so that no (key, chunk) group is cut in two."""
+        import numpy as np
+        import pandas as pd
+
+        held = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            differs = np.zeros(len(pdf), dtype=bool)
+            for name in names:
+                column = pdf[name].to_numpy()
+                differs[1:] |= column[1:] != column[:-1]
+            opens = np.flatnonzero(differs)
+            if len(opens):
+                held.append(pdf.iloc[: opens[-1]])
+                yield pd.concat(held, ignore_index=True)
+                held = [pdf.iloc[opens[-1] :]]
+            else:
+                if held and (held[-1][names].iloc[-1] != pdf[names].iloc[0]).any():
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                held.append(pdf)
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def bounds(pdf, names):
+        """Start and end row of each group."""
+        import numpy as np
+
+        differs = np.ones(len(pdf), dtype=bool)
+        differs[1:] = False
+        for name in names:
+            column = pdf[name].to_numpy()
+            differs[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(differs)
+        return starts, np.r_[starts[1:], len(pdf)]
+
+    def axis(t, starts, ends):
+        """All groups on one time axis, far enough apart not to touch.
+
+        Returns positions, the step between groups and, per row, the first row of the same
+        group at least one cooldown later (the group's end when there is none).
+        """
+        import numpy as np
+
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        since = t - t[starts][group]
+        step = int(since.max()) + 2 * wait + 2
+        if step * len(starts) >= 1 << 62:
+            raise OverflowError("cooldown chunk too long for one batch")
+        place = group * step + since
+        return group, place, step, np.searchsorted(place, place + wait, side="left")
+
+    return whole_groups, bounds, axis
+
+
 def _exit_steps(wait: int):
-    def steps(pdf):
+    whole_groups, bounds, axis = _chunk_tools(wait)
+
+    def steps(batches):
         import numpy as np
         import pandas as pd
 
-        t = np.sort(pdf["_t"].to_numpy())
-        n = len(t)
-        follow = np.searchsorted(t, t + wait, side="left")
-        # entry at or before t[i] and after t[i-1] starts at slot i
-        starts = np.arange(min(n, int(np.searchsorted(t, t[0] + wait, side="left")) + 1))
-        at = starts.copy()
-        moving = follow[at] < n
-        while moving.any():
-            at[moving] = follow[at[moving]]
-            moving = follow[at] < n
-        # one piece per run of entries with the same last kept slot, named by its upper end
-        last = np.r_[at[1:] != at[:-1], True]
-        return pd.DataFrame(
-            {
-                "_key": pdf["_key"].iloc[0],
-                "_run": pdf["_run"].iloc[0],
-                "_chunk": pdf["_chunk"].iloc[0],
-                "_until": t[starts[last]],
-                "_exit": t[at[last]],
-            }
-        )
+        for pdf in whole_groups(batches, ["_key", "_chunk"]):
+            starts, ends = bounds(pdf, ["_key", "_chunk"])
+            t = pdf["_t"].to_numpy()
+            _, _, _, follow = axis(t, starts, ends)
+            # an entry falls at or before the first slot one cooldown after the first slot
+            upto = np.minimum(follow[starts], ends - 1)
+            sizes = upto - starts + 1
+            owner = np.repeat(np.arange(len(starts)), sizes)
+            first = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
+            at, end = first.copy(), ends[owner]
+            moving = follow[at] < end
+            while moving.any():
+                at[moving] = follow[at[moving]]
+                moving = follow[at] < end
+            # one piece per run of entries with the same last kept slot, named by its upper end
+            last = np.r_[(at[1:] != at[:-1]) | (owner[1:] != owner[:-1]), True]
+            rows = first[last]
+            yield pd.DataFrame(
+                {
+                    "_key": pdf["_key"].to_numpy()[rows],
+                    "_run": pdf["_run"].to_numpy()[rows],
+                    "_chunk": pdf["_chunk"].to_numpy()[rows],
+                    "_until": t[rows],
+                    "_exit": t[at[last]],
+                }
+            )
 
     return steps
 
 
 def _chain(wait: int):
-    def chain(pdf):
-        import numpy as np
+    whole_groups, bounds, _ = _chunk_tools(wait)
+
+    def chain(batches):
+        import bisect
+
         import pandas as pd
 
-        pdf = pdf.sort_values(["_chunk", "_until"])
-        chunk = pdf["_chunk"].to_numpy()
-        until, leave = pdf["_until"].to_numpy(), pdf["_exit"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
-        entry, rows = None, []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            rows.append((chunk[lo], until[lo] if entry is None else entry))
-            i = 0 if entry is None else int(np.searchsorted(until[lo:hi], entry, side="left"))
-            if i < hi - lo:
-                entry = leave[lo + i] + wait
-        return pd.DataFrame(
-            {
-                "_key": pdf["_key"].iloc[0],
-                "_chunk": [r[0] for r in rows],
-                "_entry": [r[1] for r in rows],
-            }
-        )
+        for pdf in whole_groups(batches, ["_key", "_run"]):
+            key, run = pdf["_key"].to_numpy(), pdf["_run"].to_numpy()
+            chunk, until = pdf["_chunk"].to_numpy(), pdf["_until"].to_numpy().tolist()
+            leave = pdf["_exit"].to_numpy().tolist()
+            out, before = [], None
+            for lo, hi in zip(*bounds(pdf, ["_key", "_run", "_chunk"])):
+                if before != (key[lo], run[lo]):
+                    # a run opens fresh: its first slot is always kept
+                    before, entry = (key[lo], run[lo]), -(1 << 62)
+                out.append((key[lo], chunk[lo], entry))
+                i = bisect.bisect_left(until, entry, lo, hi)
+                if i < hi:
+                    entry = leave[i] + wait
+            yield pd.DataFrame(out, columns=["_key", "_chunk", "_entry"])
 
     return chain
 
 
 def _marks(wait: int):
-    def marks(pdf):
+    whole_groups, bounds, axis = _chunk_tools(wait)
+
+    def marks(batches):
         import numpy as np
         import pandas as pd
 
-        t = np.sort(pdf["_t"].to_numpy())
-        keep, at = [], int(np.searchsorted(t, pdf["_entry"].iloc[0], side="left"))
-        while at < len(t):
-            keep.append(t[at])
-            at = int(np.searchsorted(t, t[at] + wait, side="left"))
-        return pd.DataFrame(
-            {"_key": pdf["_key"].iloc[0], "_t": np.array(keep, dtype="int64")}
-        )
+        for pdf in whole_groups(batches, ["_key", "_chunk"]):
+            starts, ends = bounds(pdf, ["_key", "_chunk"])
+            t = pdf["_t"].to_numpy()
+            _, place, step, follow = axis(t, starts, ends)
+            entry = pdf["_entry"].to_numpy()[starts]
+            offset = np.clip(entry, t[starts], t[ends - 1] + 1) - t[starts]
+            at = np.searchsorted(place, np.arange(len(starts)) * step + offset, side="left")
+            kept = []
+            live = np.flatnonzero(at < ends)
+            while len(live):
+                kept.append(at[live])
+                at[live] = follow[at[live]]
+                live = live[at[live] < ends[live]]
+            rows = np.concatenate(kept) if kept else np.empty(0, dtype="int64")
+            yield pdf.iloc[rows][["_key", "_t"]]
 
     return marks
 
 
+def _sorted_tasks(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of a group together and in order; the sort spills, no group is collected."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def kept_times(slots: DataFrame, wait: int, chunk_cooldowns: int = CHUNK_COOLDOWNS) -> DataFrame:
     """(_key, _t) of the slots that pass the cooldown; ``slots`` holds distinct pairs."""
     cut = slots.withColumn("_chunk", F.floor(F.col("_t") / F.lit(wait * chunk_cooldowns)))
@@ -113,14 +194,10 @@ def kept_times(slots: DataFrame, wait: int, chunk_cooldowns: int = CHUNK_COOLDOW
     single = F.col("_fresh") & (F.col("_n") == 1)
     alone = spans.filter(single).select("_key", F.col("_first").alias("_t"))
     linked = spans.filter(~F.col("_fresh") | F.col("_follows")).select("_key", "_chunk", "_run")
-    steps = (
-        cut.join(linked, ["_key", "_chunk"])
-        .groupBy("_key", "_chunk")
-        .applyInPandas(
-            _exit_steps(wait), "_key string, _run bigint, _chunk bigint, _until bigint, _exit bigint"
-        )
+    steps = _sorted_tasks(cut.join(linked, ["_key", "_chunk"]), ["_key", "_chunk"], "_t").mapInPandas(
+        _exit_steps(wait), "_key string, _run bigint, _chunk bigint, _until bigint, _exit bigint"
     )
-    entries = steps.groupBy("_key", "_run").applyInPandas(
+    entries = _sorted_tasks(steps, ["_key", "_run"], "_chunk", "_until").mapInPandas(
         _chain(wait), "_key string, _chunk bigint, _entry bigint"
     )
     starts = (
@@ -129,10 +206,8 @@ def kept_times(slots: DataFrame, wait: int, chunk_cooldowns: int = CHUNK_COOLDOW
         .join(entries, ["_key", "_chunk"], "left")
         .select("_key", "_chunk", F.coalesce("_entry", "_first").alias("_entry"))
     )
-    marked = (
-        cut.join(starts, ["_key", "_chunk"])
-        .groupBy("_key", "_chunk")
-        .applyInPandas(_marks(wait), "_key string, _t bigint")
+    marked = _sorted_tasks(cut.join(starts, ["_key", "_chunk"]), ["_key", "_chunk"], "_t").mapInPandas(
+        _marks(wait), "_key string, _t bigint"
     )
     return marked.unionByName(alone)
 

@@ -11,17 +11,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_WIDTH = 1 << 16
+SLICE_BITS = 16
 
 
 def sliced_position(
-    df: DataFrame, key: str, order: str, ties: list[str], out: str, width: int = SLICE_WIDTH
+    df: DataFrame, key: str, order: str, ties: list[str], out: str, bits: int = SLICE_BITS
 ) -> DataFrame:
     """0-based position of each row within its key, ordered by ``order`` then ``ties``.
 
-    Slices hold ``width`` consecutive order values; slice counts are summed to offsets.
+    Slices hold ``2**bits`` consecutive order values; slice counts are summed to offsets.
     """
-    part = F.floor(F.coalesce(F.col(order), F.lit(-1)) / F.lit(width))
+    part = F.shiftright(F.coalesce(F.col(order), F.lit(-1)).cast("bigint"), bits)
     rows = df.withColumn("_slice", part)
     offsets = (
         rows.groupBy(key, "_slice")
@@ -48,14 +48,14 @@ def sliced_position(
     )
 
 
-def sliced_gaps(df: DataFrame, key: str, order: str, width: int = SLICE_WIDTH) -> DataFrame:
+def sliced_gaps(df: DataFrame, key: str, order: str, bits: int = SLICE_BITS) -> DataFrame:
     """Missing integers between each key's smallest and largest value, as intervals.
 
     Returns key, first_missing, last_missing; the range itself is never expanded.
     """
     ids = (
         df.filter(F.col(order).isNotNull())
-        .withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
+        .withColumn("_slice", F.shiftright(F.col(order).cast("bigint"), bits))
         .groupBy(key, "_slice", order)
         .agg(F.lit(1).alias("_one"))
     )
@@ -87,10 +87,10 @@ def distinct_bits(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """
     words = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(key, F.floor(F.col(value) / F.lit(64)).alias("_word"))
+        .groupBy(key, F.shiftright(F.col(value).cast("bigint"), 6).alias("_word"))
         .agg(
             F.bit_or(
-                F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col(value), F.lit(64)).cast("int"))
+                F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(value).bitwiseAND(63).cast("int"))
             ).alias("_bits")
         )
     )
