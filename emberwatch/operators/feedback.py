@@ -116,9 +116,7 @@ def run_summary(results: DataFrame) -> DataFrame:
         passed.alias("passed"),
         (total - passed).alias("failed"),
         F.coalesce(
-            F.concat(
-                F.format_number(F.try_divide(100 * passed, total), "0.0"), F.lit("%")
-            ),
+            F.when(total > 0, F.format_string("%.1f%%", F.try_divide(100 * passed, total))),
             F.lit("N/A"),
         ).alias("pass_rate"),
         *[F.count_if(severity == s).alias(s.lower()) for s in D.PRIORITY_RANK],

@@ -202,7 +202,10 @@ def fit(
 
 def _walker(model: IsolationForest):
     """Vectorised path walk over one Arrow batch; closes over plain arrays only."""
+    from collections.abc import Iterator
+
     import numpy as np
+    import pandas as pd
 
     table = np.array(model.nodes, dtype="float64")
     tree, node = table[:, 0].astype("int64"), table[:, 1].astype("int64")
@@ -243,12 +246,13 @@ def _walker(model: IsolationForest):
                 total += depth[t, at]
             yield pd.Series(-np.power(2.0, -(total / trees) / norm))
 
+    walk.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
     return walk
 
 
 def score_samples(df: DataFrame, model: IsolationForest, out: str = "_raw") -> DataFrame:
     """Add the raw score in [-1, 0): lower is more anomalous."""
-    walk = F.pandas_udf(_walker(model), "double", F.PandasUDFType.SCALAR_ITER)
+    walk = F.pandas_udf(_walker(model), "double")
     return df.withColumn(out, walk(*[F.col(c).cast("double") for c in model.columns]))
 
 

@@ -150,10 +150,16 @@ def exact_quantiles(
     low = [max(0.0, p - slack) for p in probabilities]
     high = [min(1.0, p + slack) for p in probabilities]
 
+    # below this size the slack is under a few rows, so the bracket is the whole range
+    few = F.lit(10 * accuracy)
+
     def edge(c, points, end, extreme):
-        sketch = F.percentile_approx(c, [F.lit(p) for p in points], F.lit(accuracy))
+        sketch = F.percentile_approx(c, points, accuracy)
         cells = [
-            extreme(c) if p == end else F.element_at(sketch, i + 1) for i, p in enumerate(points)
+            extreme(c)
+            if p == end
+            else F.when(F.count(c) < few, extreme(c)).otherwise(F.element_at(sketch, i + 1))
+            for i, p in enumerate(points)
         ]
         return F.array(*cells)
 
