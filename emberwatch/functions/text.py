@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
 from emberwatch.functions.lookup import literal_map
 
 # --- fixed values: rewrite rules, applied in this order -------------------------------
-# (pattern, replacement, needs): ``needs`` lists (text, times) pairs of which a matching
-# line must satisfy at least one; an empty list means any line may match.
+# (pattern, replacement)
 # Patterns are Java regular expressions; (?U) gives \w, \d, \s and \b their Unicode
 # meaning.
 
 REWRITES = [
-    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<TIMESTAMP>", [("-", 2)]),
-    (r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", "<TIMESTAMP>", [(":", 2)]),
-    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>", [("-", 4)]),
-    (r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b", "<IP>", [(".", 3)]),
-    (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "<IPV6>", [(":", 7)]),
-    (r"\b(?:[0-9a-fA-F]{2}[:\-]){5}[0-9a-fA-F]{2}\b", "<MAC>", [(":", 3), ("-", 3)]),
-    (r"[A-Za-z]:\\(?:[^\s\\/:*?\"<>|]+\\)*[^\s\\/:*?\"<>|]*", "<PATH>", [(":\\", 1)]),
-    (r"(?<!\w)/(?:[^\s/]+/)*[^\s/]+", "<PATH>", [("/", 1)]),
-    (r"\b0x[0-9a-fA-F]+\b", "<HEX>", [("0x", 1)]),
-    (r"\b[0-9a-fA-F]{8,}\b", "<HEX>", []),
-    (r"https?://\S+", "<URL>", [("://", 1)]),
-    (r"\b[\w.+-]+@[\w.-]+\.\w{2,}\b", "<EMAIL>", [("@", 1)]),
-    (r"\bS-\d-\d-\d{2,}-\d+-\d+-\d+\b", "<SID>", [("S-", 1)]),
-    (r"(?i)\bport\s+\d{2,5}\b", "port <PORT>", []),
-    (r"\b\d+\b", "<NUM>", []),
-    (r"\s{2,}", " ", []),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<TIMESTAMP>"),
+    (r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", "<TIMESTAMP>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<UUID>"),
+    (r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b", "<IP>"),
+    (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "<IPV6>"),
+    (r"\b(?:[0-9a-fA-F]{2}[:\-]){5}[0-9a-fA-F]{2}\b", "<MAC>"),
+    (r"[A-Za-z]:\\(?:[^\s\\/:*?\"<>|]+\\)*[^\s\\/:*?\"<>|]*", "<PATH>"),
+    (r"(?<!\w)/(?:[^\s/]+/)*[^\s/]+", "<PATH>"),
+    (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
+    (r"\b[0-9a-fA-F]{8,}\b", "<HEX>"),
+    (r"https?://\S+", "<URL>"),
+    (r"\b[\w.+-]+@[\w.-]+\.\w{2,}\b", "<EMAIL>"),
+    (r"\bS-\d-\d-\d{2,}-\d+-\d+-\d+\b", "<SID>"),
+    (r"(?i)\bport\s+\d{2,5}\b", "port <PORT>"),
+    (r"\b\d+\b", "<NUM>"),
+    (r"\s{2,}", " "),
 ]
 
 # the rewrites that stand alone as token masks for free text
@@ -73,37 +72,17 @@ def word_count(text) -> Column:
 
 
 def rewrite(text, rules=REWRITES) -> Column:
-    """Apply ordered regex rewrites as one expression."""
+    """Apply ordered regex rewrites as one expression.
+
+    The text occurs once at every level, so the expression stays small when Spark pushes
+    a filter on the result below the projection.
+    """
     out = _col(text)
-    for pattern, replacement, _ in rules:
+    for pattern, replacement in rules:
         out = F.regexp_replace(out, "(?U)" + pattern, replacement)
     return out
 
 
-def may_match(text: Column, needs) -> Column:
-    """Cheap byte search: can the line match at all?"""
-    tests = [
-        text.contains(part) if times == 1 else F.substring_index(text, part, times) != text
-        for part, times in needs
-    ]
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
-    return found
-
-
-def with_rewrites(df: DataFrame, column: str, rules=REWRITES) -> DataFrame:
-    """:func:`rewrite` in place, one projection per rule, so that a rule's regex runs
-    only on the lines that pass its byte search."""
-    for pattern, replacement, needs in rules:
-        current = F.col(column)
-        changed = F.regexp_replace(current, "(?U)" + pattern, replacement)
-        if needs:
-            changed = F.when(may_match(current, needs), changed).otherwise(current)
-        df = df.withColumn(column, changed)
-    return df
-
-
 def mask_tokens(text) -> Column:
     """Mask UUID, IP, MAC, e-mail and SID tokens in free text."""
     return rewrite(text, [r for r in REWRITES if r[1] in MASK_TOKENS])

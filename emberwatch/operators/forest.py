@@ -201,29 +201,32 @@ def fit(
 
 
 def _walker(model: IsolationForest):
-    """Vectorised path walk over one Arrow batch; closes over plain arrays only."""
+    """Vectorised path walk over Arrow batches; closes over plain arrays only.
+
+    All trees share flat node arrays.  A leaf points to itself behind an endless limit, so
+    every row takes the same number of steps and no row needs to be singled out.
+    """
     from collections.abc import Iterator
 
     import numpy as np
     import pandas as pd
 
     table = np.array(model.nodes, dtype="float64")
+    order = np.lexsort((table[:, 1], table[:, 0]))
+    table = table[order]
     tree, node = table[:, 0].astype("int64"), table[:, 1].astype("int64")
-    width = int(node.max()) + 1
-    shape = (model.trees, width)
-    feature = np.full(shape, -1, dtype="int32")
-    threshold = np.zeros(shape)
-    left = np.zeros(shape, dtype="int32")
-    right = np.zeros(shape, dtype="int32")
-    depth = np.zeros(shape)
-    feature[tree, node] = table[:, 2]
-    threshold[tree, node] = table[:, 3]
-    left[tree, node] = table[:, 4]
-    right[tree, node] = table[:, 5]
-    depth[tree, node] = table[:, 6]
+    roots = np.flatnonzero(node == 0)
+    leaf = table[:, 2] < 0
+    here = np.arange(len(table))
+    feature = np.where(leaf, 0, table[:, 2]).astype("int64")
+    threshold = np.where(leaf, np.inf, table[:, 3])
+    # the right child always follows the left one
+    left = np.where(leaf, here, table[:, 4].astype("int64") + roots[tree])
+    depth = np.where(leaf, table[:, 6], 0.0)
+    steps = int(table[~leaf, 6].max()) + 1 if (~leaf).any() else 0
     means, deviations = np.array(model.means), np.array(model.deviations)
     norm = expected_path(model.sample_size) or 1.0
-    trees = model.trees
+    width = len(model.columns)
 
     def walk(batches):
         import numpy as np
@@ -231,20 +234,17 @@ def _walker(model: IsolationForest):
 
         for columns in batches:
             x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-            x = (x - means) / deviations
-            total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for t in range(trees):
-                at = np.zeros(len(x), dtype="int64")
-                f = feature[t, at]
-                live = rows[f >= 0]
-                while len(live):
-                    here = at[live]
-                    goes_left = x[live, feature[t, here]] <= threshold[t, here]
-                    at[live] = np.where(goes_left, left[t, here], right[t, here])
-                    live = live[feature[t, at[live]] >= 0]
-                total += depth[t, at]
-            yield pd.Series(-np.power(2.0, -(total / trees) / norm))
+            x = ((x - means) / deviations).ravel()
+            rows = len(x) // width
+            base = np.arange(rows) * width
+            total = np.zeros(rows)
+            for root in roots:
+                at = np.full(rows, root)
+                for _ in range(steps):
+                    goes_right = x.take(base + feature.take(at)) > threshold.take(at)
+                    at = left.take(at) + goes_right
+                total += depth.take(at)
+            yield pd.Series(-np.power(2.0, -(total / len(roots)) / norm))
 
     walk.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
     return walk

@@ -10,17 +10,8 @@ from emberwatch.functions import blocks, text
 
 def with_template(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``template`` and ``template_id`` to every event."""
-    work = df.withColumn("_event", text.event_id(raw)).withColumn(
-        "template", F.when(F.col("_event").isNull(), text.drop_log_header(raw))
-    )
-    work = text.with_rewrites(work, "template")
-    work = work.withColumn(
-        "template",
-        F.when(F.col("_event").isNotNull(), text.event_template(raw)).otherwise(
-            text.strip("template")
-        ),
-    )
-    return work.withColumn("template_id", text.template_id("template")).drop("_event")
+    named = df.withColumn("template", text.normalize(raw))
+    return named.withColumn("template_id", text.template_id("template"))
 
 
 def parsed_events(df: DataFrame) -> DataFrame:

@@ -68,19 +68,24 @@ def finite_or_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """±inf and NaN become null, nulls become the exact column median."""
+    """±inf and NaN become null, nulls become the exact column median.
+
+    One pass finds the columns that have gaps; medians are computed for those alone.
+    """
     work = finite_or_null(df, columns)
-    medians = exact_quantiles(work, columns, [0.5])
-    # |columns| rows, pivoted to one row by conditional aggregates
+    gaps = work.agg(*[F.bool_or(F.col(c).isNull()).alias(c) for c in columns]).first()
+    gappy = [c for c in columns if gaps[c]]
+    if not gappy:
+        return work
+    medians = exact_quantiles(work, gappy, [0.5])
+    # one row per gappy column, turned into one struct by conditional aggregates
     row = medians.agg(
         F.struct(
-            *[F.max(F.when(F.col("feature") == c, F.col("quantile"))).alias(c) for c in columns]
+            *[F.max(F.when(F.col("feature") == c, F.col("quantile"))).alias(c) for c in gappy]
         ).alias("m")
     ).scalar()
     filled = work.select("*", row.alias("_m"))
-    return filled.withColumns(
-        {c: F.coalesce(F.col(c), F.col(f"_m.`{c}`")) for c in columns}
-    ).drop("_m")
+    return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_m.`{c}`")) for c in gappy}).drop("_m")
 
 
 def zero_fill(df: DataFrame, columns: list[str]) -> DataFrame:

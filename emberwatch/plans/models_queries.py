@@ -10,14 +10,14 @@ from emberwatch.operators import preparation as prep
 from emberwatch.plans import features_queries as FQ
 from emberwatch.plans import jobs
 from emberwatch.plans.registry import query, rounded
-from emberwatch.plans.views import cte, table, view
+from emberwatch.plans.views import cte, spread, table, view
 from emberwatch.session import fresh_dir, written
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").withColumn(
+    return spread(table(spark, sf_dir, "lineitem")).withColumn(
         "block_id", F.concat_ws("_", "l_orderkey", "l_linenumber")
     )
 

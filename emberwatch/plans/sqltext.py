@@ -12,7 +12,7 @@ def quote(text: str) -> str:
 
 def rewrites(expr: str, rules) -> str:
     """Nested replaces.  RE2 has no lookbehind, so the path rule keeps its left neighbour."""
-    for pattern, replacement, _ in rules:
+    for pattern, replacement in rules:
         if pattern.startswith(r"(?<!\w)"):
             pattern = r"(^|[^\w])" + pattern.removeprefix(r"(?<!\w)")
             replacement = r"\1" + replacement

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from emberwatch.functions import text
 from emberwatch.operators import alerts, features, feedback, forest
 from emberwatch.operators.cooldown import cooldown
+from emberwatch.session import written
 
 COLLECT_INTERVAL = "30 seconds"
 FILES_PER_BATCH = 1000
@@ -137,10 +138,13 @@ def cooldown_job(
     state: str,
     checkpoint: str,
     processing: str | None = None,
+    retain_seconds: float | None = None,
 ) -> StreamingQuery:
     """Cooldown across micro-batches: last kept time per key is the state.
 
-    Each micro-batch runs the batch operator, which splits hot keys over time.
+    Each micro-batch runs the batch operator, which splits hot keys over time.  With
+    ``retain_seconds`` a key is forgotten once the newest kept time is that much later
+    (at least the cooldown plus the lateness to expect), which bounds the state.
     """
     spark = stream.sparkSession
     table = StateTable(spark, state, T.StructType.fromDDL("key string, last_at timestamp"))
@@ -152,11 +156,20 @@ def cooldown_job(
         kept.write.mode("overwrite").parquet(folder)
         saved = spark.read.schema(kept.schema).parquet(folder)
         newest = saved.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("last_at"))
-        table.save(batch_id, newest.unionByName(seed).groupBy("key").agg(F.max("last_at").alias("last_at")))
+        table.save(batch_id, last_kept(newest.unionByName(seed), retain_seconds))
 
     return each_batch(stream, run, checkpoint, processing)
 
 
+def last_kept(times: DataFrame, retain_seconds: float | None = None) -> DataFrame:
+    """Newest time per key, without the keys that fell too far behind."""
+    state = times.groupBy("key").agg(F.max("last_at").alias("last_at"))
+    if retain_seconds is None:
+        return state
+    newest = times.agg(F.unix_micros(F.max("last_at"))).scalar()
+    return state.filter(F.unix_micros("last_at") >= newest - int(retain_seconds * 1_000_000))
+
+
 def latest_health_job(
     stream: DataFrame, state: str, checkpoint: str, processing: str | None = None
 ) -> tuple[StreamingQuery, StateTable]:
@@ -178,6 +191,7 @@ def score_cycle_job(
     min_events: int = 3,
     seconds: float = alerts.RULE_COOLDOWN_SEC,
     processing: str | None = None,
+    retain_seconds: float | None = None,
 ) -> StreamingQuery:
     """Collect → featurise → score → alert, one cycle per micro-batch.
 
@@ -193,8 +207,11 @@ def score_cycle_job(
         seen, seed = fired.before(batch_id), cooled.before(batch_id)
         blocks = features.realtime_block_features(batch, min_events=min_events)
         times = batch.groupBy("block_id").agg(F.max("ts").alias("alert_at"))
-        scored = forest.score(blocks.join(times, "block_id"), model)
-        from_model = alerts.model_alerts(scored.drop("is_anomaly", "prediction"), threshold, seconds, seed=seed)
+        # one row per block, written because the cooldown reads it several times
+        scored = written(
+            forest.score(blocks.join(times, "block_id"), model).drop("is_anomaly", "prediction"), "cycle"
+        )
+        from_model = alerts.model_alerts(scored, threshold, seconds, seed=seed)
         from_rules = alerts.dedup_rules(alerts.rule_alerts(batch), seen)
         both = alerts.enrich(alerts.union_alerts(from_rules, from_model))
         both.write.mode("overwrite").parquet(folder)
@@ -206,6 +223,6 @@ def score_cycle_job(
         newest = saved.filter(~F.col("rule_based")).select(
             F.col("signature").alias("key"), F.col("alert_at").alias("last_at")
         )
-        cooled.save(batch_id, newest.unionByName(seed).groupBy("key").agg(F.max("last_at").alias("last_at")))
+        cooled.save(batch_id, last_kept(newest.unionByName(seed), retain_seconds))
 
     return each_batch(stream, run, checkpoint, processing)
