@@ -233,6 +233,8 @@ def _walker(model: IsolationForest):
         import pandas as pd
 
         for columns in batches:
+            if isinstance(columns, pd.Series):
+                columns = (columns,)
             x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
             x = ((x - means) / deviations).ravel()
             rows = len(x) // width

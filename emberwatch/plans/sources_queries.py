@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberwatch import dictionaries as D
 from emberwatch.operators import features, parsing
 from emberwatch.plans import features_queries as FQ
 from emberwatch.plans import sqltext as S
 from emberwatch.plans.registry import query, rounded
-from emberwatch.plans.views import cte, spread, table, view
+from emberwatch.plans.views import cte, table, view
+from emberwatch.schemas import struct
 from emberwatch.session import fresh_dir
 from emberwatch.sources import records, text_files
 
@@ -103,7 +103,7 @@ JSON_LINE = (
 )
 def jsonl_scan_lenient(spark, sf_dir):
     lines = table(spark, sf_dir, "events").select("event_id", F.expr(JSON_LINE).alias("line"))
-    schema = T.StructType.fromDDL("block_id string, raw string, template_id bigint")
+    schema = struct("block_id string, raw string, template_id bigint")
     return records.parse_json_lines(lines, "line", schema, ["block_id", "raw", "template_id"])
 
 

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """'name type, …' → schema; needs no running session."""
+    pairs = (part.split() for part in columns.split(","))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 STAGED_EVENT = struct(

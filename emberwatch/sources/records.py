@@ -28,7 +28,8 @@ def parse_json_lines(df: DataFrame, column: str, schema: T.StructType, required:
     parsed = F.from_json(
         F.col(column), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
-    keep = df.withColumn("_json", parsed).filter(F.col(f"_json.{CORRUPT}").isNull())
+    lines = df.filter(~text.is_blank(column)).withColumn("_json", parsed)
+    keep = lines.filter(F.col("_json").isNotNull() & F.col(f"_json.{CORRUPT}").isNull())
     for name in required:
         keep = keep.filter(F.col(f"_json.{name}").isNotNull())
     others = [c for c in df.columns if c != column]
@@ -39,17 +40,7 @@ def read_json_lines(
     spark: SparkSession, paths, schema: T.StructType, required: list[str] = ()
 ) -> DataFrame:
     """JSON-lines files with a fixed schema, read leniently."""
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = (
-        spark.read.schema(wide)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(paths)
-        .filter(F.col(CORRUPT).isNull())
-    )
-    for name in required:
-        rows = rows.filter(F.col(name).isNotNull())
-    return rows.drop(CORRUPT)
+    return parse_json_lines(spark.read.text(paths), "value", schema, list(required))
 
 
 def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:

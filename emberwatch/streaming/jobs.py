@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from emberwatch.functions import text
 from emberwatch.operators import alerts, features, feedback, forest
 from emberwatch.operators.cooldown import cooldown
+from emberwatch.schemas import struct
 from emberwatch.session import written
+from emberwatch.sources.records import parse_json_lines
 
 COLLECT_INTERVAL = "30 seconds"
 FILES_PER_BATCH = 1000
@@ -57,18 +59,8 @@ def tail_json(
     spark: SparkSession, path: str, schema: T.StructType, required: list[str], files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """New JSON lines of a folder; malformed lines are skipped."""
-    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.readStream.schema(wide)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-        .filter(F.col("_corrupt_record").isNull())
-    )
-    for name in required:
-        rows = rows.filter(F.col(name).isNotNull())
-    return rows.drop("_corrupt_record")
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
+    return parse_json_lines(lines.select("value"), "value", schema, required)
 
 
 # --- sinks ----------------------------------------------------------------------------
@@ -147,7 +139,7 @@ def cooldown_job(
     (at least the cooldown plus the lateness to expect), which bounds the state.
     """
     spark = stream.sparkSession
-    table = StateTable(spark, state, T.StructType.fromDDL("key string, last_at timestamp"))
+    table = StateTable(spark, state, struct("key string, last_at timestamp"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         seed = table.before(batch_id)
@@ -199,8 +191,8 @@ def score_cycle_job(
     Rule alerts and model alerts go to one table; both are de-duplicated across batches.
     """
     spark = stream.sparkSession
-    cooled = StateTable(spark, f"{out}/state/cooldown", T.StructType.fromDDL("key string, last_at timestamp"))
-    fired = StateTable(spark, f"{out}/state/rules", T.StructType.fromDDL("block_id string, category string"))
+    cooled = StateTable(spark, f"{out}/state/cooldown", struct("key string, last_at timestamp"))
+    fired = StateTable(spark, f"{out}/state/rules", struct("block_id string, category string"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         folder = f"{out}/alerts/batch={batch_id}"
