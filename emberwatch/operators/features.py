@@ -175,7 +175,10 @@ def event_features(df: DataFrame, keywords: dict = D.BATCH_KEYWORDS) -> DataFram
         *threats.threat_flags(lowered, keywords),
     )
     # only narrow numeric columns travel through the ordering shuffle
-    placed = sliced_position(flat, "block_id", "line_id", ["_tie"], "event_index")
+    spread = F.conv(F.substring("_tie", 1, 3), 16, 10).cast("bigint")
+    placed = sliced_position(
+        flat, "block_id", "line_id", ["_tie"], "event_index", null_slice=spread
+    )
     return placed.select(
         "block_id",
         "event_index",

@@ -57,8 +57,8 @@ class IsolationForest:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IsolationForest:
         settings = json.loads(spark.read.text(f"{path}/settings").first()["value"])
-        rows = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").orderBy("tree", "node")
-        return cls(nodes=[tuple(r) for r in rows.collect()], **settings)
+        rows = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").collect()
+        return cls(nodes=sorted(tuple(r) for r in rows), **settings)
 
 
 def _tree_builder(width: int, limit: int, seed: int):
@@ -134,18 +134,17 @@ def tree_samples(df: DataFrame, key: str, columns: list[str], trees: int, size:
         pool = pool.filter(
             F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(whole)) < int(share * whole)
         )
-    # one row per (pool row, tree) it could join; most are cut before the shuffle
+    # a row is copied only for the trees whose hash it passes: about 3 * size per tree
     expected_pool = max(1.0, share * rows)
-    keep = min(1.0, 3.0 * size / expected_pool)
+    limit = int(min(1.0, 3.0 * size / expected_pool) * whole)
+
+    def place(tree):
+        return F.pmod(F.xxhash64("_id", tree, F.lit(seed)), F.lit(whole))
+
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
     drawn = pool.select(
-        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "_id", "x"
-    ).withColumn("_order", F.xxhash64("_id", "tree", F.lit(seed)))
-    if keep < 1.0:
-        drawn = drawn.filter(F.pmod("_order", F.lit(whole)) < int(keep * whole))
-        order = F.pmod("_order", F.lit(whole))
-    else:
-        order = F.col("_order")
-    drawn = drawn.withColumn("_order", order)
+        F.explode(F.filter(every, lambda t: place(t) < limit)).alias("tree"), "_id", "x"
+    ).withColumn("_order", place(F.col("tree")))
     best = Window.partitionBy("tree").orderBy("_order", "_id")
     return drawn.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= size).drop("_place")
 
@@ -190,7 +189,8 @@ def fit(
     nodes = samples.groupBy("tree").applyInPandas(
         _tree_builder(len(columns), depth, seed), NODE_SCHEMA
     )
-    collected = [tuple(r) for r in nodes.orderBy("tree", "node").collect()]
+    # bounded by the check above; a sort on the cluster would build the trees twice
+    collected = sorted(tuple(r) for r in nodes.collect())
     model = IsolationForest(
         list(columns), trees, size, contamination, seed, means, deviations, collected
     )

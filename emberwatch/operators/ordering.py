@@ -12,16 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_BITS = 16
+LOWEST_SLICE = -(1 << 60)
 
 
 def sliced_position(
-    df: DataFrame, key: str, order: str, ties: list[str], out: str, bits: int = SLICE_BITS
+    df: DataFrame,
+    key: str,
+    order: str,
+    ties: list[str],
+    out: str,
+    bits: int = SLICE_BITS,
+    null_slice: Column | None = None,
 ) -> DataFrame:
     """0-based position of each row within its key, ordered by ``order`` then ``ties``.
 
     Slices hold ``2**bits`` consecutive order values; slice counts are summed to offsets.
+    Rows without an order value come first, by ``ties``; ``null_slice`` (a whole number
+    that grows with the first tie) spreads them over slices too.
     """
-    part = F.shiftright(F.coalesce(F.col(order), F.lit(-1)).cast("bigint"), bits)
+    unordered = F.lit(LOWEST_SLICE) if null_slice is None else LOWEST_SLICE + null_slice
+    part = F.coalesce(F.shiftright(F.col(order).cast("bigint"), bits), unordered.cast("bigint"))
     rows = df.withColumn("_slice", part)
     offsets = (
         rows.groupBy(key, "_slice")
@@ -141,10 +151,7 @@ def exact_quantiles(
     NaNs are ignored.
     """
     clean = df.select(
-        *[
-            F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")).alias(c)
-            for c in columns
-        ]
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
     )
     slack = 2.0 / accuracy
     low = [max(0.0, p - slack) for p in probabilities]
@@ -153,57 +160,63 @@ def exact_quantiles(
     # below this size the slack is under a few rows, so the bracket is the whole range
     few = F.lit(10 * accuracy)
 
-    def edge(c, points, end, extreme):
+    def edges(c, points, end, extreme, side):
         sketch = F.percentile_approx(c, points, accuracy)
-        cells = [
-            extreme(c)
-            if p == end
-            else F.when(F.count(c) < few, extreme(c)).otherwise(F.element_at(sketch, i + 1))
-            for i, p in enumerate(points)
-        ]
-        return F.array(*cells)
+        for i, p in enumerate(points):
+            near = F.when(F.count(c) < few, extreme(c)).otherwise(F.element_at(sketch, i + 1))
+            yield (extreme(c) if p == end else near).alias(f"{c}_{side}{i}")
 
     bounds = clean.agg(
         F.struct(
-            *[edge(c, low, 0.0, F.min).alias(f"{c}_lo") for c in columns],
-            *[edge(c, high, 1.0, F.max).alias(f"{c}_hi") for c in columns],
+            *[e for c in columns for e in edges(c, low, 0.0, F.min, "lo")],
+            *[e for c in columns for e in edges(c, high, 1.0, F.max, "hi")],
         ).alias("edges")
     )
     # a scalar subquery: one row of 2 * |columns| * |probabilities| numbers
-    paired = clean.select("*", bounds.scalar().alias("_edges"))
-    facts = []
-    for c in columns:
-        for i, p in enumerate(probabilities):
-            lo = F.element_at(F.col(f"_edges.`{c}_lo`"), i + 1)
-            hi = F.element_at(F.col(f"_edges.`{c}_hi`"), i + 1)
-            facts.append(
-                F.struct(
-                    F.lit(c).alias("feature"),
-                    F.lit(float(p)).alias("probability"),
-                    F.when(F.col(c) < lo, "below")
-                    .when(F.col(c) > hi, "above")
-                    .when(F.col(c).isNotNull(), "inside")
-                    .alias("side"),
-                    F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c)).alias("value"),
+    located = clean.select("*", bounds.scalar().alias("_edges"))
+    wanted = [
+        (c, p, F.col(f"_edges.`{c}_lo{i}`"), F.col(f"_edges.`{c}_hi{i}`"))
+        for c in columns
+        for i, p in enumerate(probabilities)
+    ]
+
+    def named(c, p, *rest):
+        return F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("probability"), *rest)
+
+    # one row of counts, turned into |columns| * |probabilities| rows
+    sizes = located.agg(
+        F.array(
+            *[
+                named(c, p, F.count(c).alias("total"), F.count_if(F.col(c) < lo).alias("below"))
+                for c, p, lo, _ in wanted
+            ]
+        ).alias("sizes")
+    ).select(F.inline("sizes"))
+    inside = [F.coalesce(F.col(c).between(lo, hi), F.lit(False)) for c, _, lo, hi in wanted]
+    near = inside[0]
+    for test in inside[1:]:
+        near = near | test
+    per = ["feature", "probability"]
+    counted = (
+        located.filter(near)
+        .select(
+            F.inline(
+                F.array(
+                    *[
+                        named(c, p, F.when(test, F.col(c)).alias("value"))
+                        for (c, p, _, _), test in zip(wanted, inside)
+                    ]
                 )
             )
-    counted = (
-        paired.select(F.explode(F.array(*facts)).alias("f"))
-        .select("f.*")
-        .filter(F.col("side").isNotNull())
-        .groupBy("feature", "probability", "side", "value")
+        )
+        .filter(F.col("value").isNotNull())
+        .groupBy(*per, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per = ["feature", "probability"]
-    sizes = counted.groupBy(*per).agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("side") == "below", F.col("n")).otherwise(0)).alias("below"),
-    )
     run = Window.partitionBy(*per).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        counted.filter(F.col("side") == "inside")
-        .withColumn("upto", F.sum("n").over(run))
-        .join(sizes, per)
+        counted.withColumn("upto", F.sum("n").over(run))
+        .join(F.broadcast(sizes), per)
         .withColumn("rank", F.col("probability") * (F.col("total") - 1))
         .withColumn("last", F.col("below") + F.col("upto") - 1)
         .withColumn("first", F.col("last") - F.col("n") + 1)

@@ -62,7 +62,8 @@ def reconcile_columns(
 def finite_or_null(df: DataFrame, columns: list[str]) -> DataFrame:
     def clean(c):
         value = F.col(c).cast("double")
-        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+        # Spark orders NaN above infinity, so one comparison excludes both
+        return F.when(F.abs(value) < float("inf"), value)
 
     return df.withColumns({c: clean(c) for c in columns})
 

@@ -76,6 +76,20 @@ def test_event_index_on_hot_key(spark):
         assert [i[1:] for i in items] == sorted(i[1:] for i in items)
 
 
+def test_event_features_without_line_ids(spark):
+    """Rows lacking a line id still get dense positions, ahead of the numbered ones."""
+    df = spark.range(300).select(
+        F.lit("hot").alias("block_id"),
+        F.lit(1).alias("template_id"),
+        F.when(F.col("id") < 20, F.col("id")).alias("line_id"),
+        F.concat(F.lit("line "), F.col("id")).alias("raw"),
+    )
+    got = features.event_features(df).select("event_index", "msg_len").collect()
+    assert sorted(r["event_index"] for r in got) == list(range(300))
+    by_index = {r["event_index"]: r["msg_len"] for r in got}
+    assert [by_index[280 + i] for i in range(20)] == [len(f"line {i}") for i in range(20)]
+
+
 def test_gaps_on_hot_key(spark):
     df = skewed(spark).cache()
     ids = {}
