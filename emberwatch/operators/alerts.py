@@ -82,7 +82,7 @@ def dedup_rules(alerts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     keyed = alerts.withColumn("category", F.element_at("threat_categories", 1))
     row = F.struct(*alerts.columns)
     first = keyed.groupBy("block_id", "category").agg(
-        F.min_by(row, F.col("alert_at")).alias("_row")
+        F.min_by(row, F.struct("alert_at", "num_events", "source_machine")).alias("_row")
     )
     if seen is not None:
         first = first.join(seen, ["block_id", "category"], "left_anti")
@@ -195,6 +195,13 @@ def alert_view(
     return alert_filter(enrich(with_labels(recent, labels)), **filters).orderBy(F.col(order).desc())
 
 
+def event_view(
+    events: DataFrame, order: str, limit: int = 200, source: str = "", machine: str = ""
+) -> DataFrame:
+    """Event listing: newest ``limit`` events, then filtered."""
+    return event_filter(newest(events, order, limit), source, machine).orderBy(F.col(order).desc())
+
+
 def scope_by_machine(rows: DataFrame, role: str, machine: str | None) -> DataFrame:
     """Rows a caller may see: all for an admin, else those of the paired machine."""
     if role == "admin":
@@ -264,6 +271,12 @@ def dispatch_plan(
     )
 
 
+def cooldown_seed(log: DataFrame, key: str = "block_id", at: str = "sent_at") -> DataFrame:
+    """Cooldown state from a notification log: last time per key."""
+    sent = log.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    return sent.groupBy(F.col(key).alias("key")).agg(F.max(at).alias("last_at"))
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

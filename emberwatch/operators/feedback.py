@@ -87,6 +87,30 @@ def feedback_metrics(labels: DataFrame) -> DataFrame:
     )
 
 
+def feedback_report(latest: DataFrame, log: DataFrame, needed: int = AUTO_RETRAIN_LABELS) -> DataFrame:
+    """Live metrics with the last retrain and the labels that arrived since, one row."""
+    last = last_retrain(log)
+    fresh = labels_since_retrain(latest, log).agg(F.count(F.lit(1)))
+    return feedback_metrics(latest).select(
+        "*",
+        last.select("last_retrain_at").scalar().alias("last_retrain_at"),
+        last.select("last_contamination").scalar().alias("last_contamination"),
+        fresh.scalar().alias("labels_since_retrain"),
+        F.lit(needed).alias("auto_retrain_threshold"),
+    )
+
+
+def feedback_audit(labels: DataFrame) -> DataFrame:
+    """Audit rows of submitted labels, in the shape of the retrain log."""
+    return labels.select(
+        F.lit("feedback_submitted").alias("event"),
+        F.col("labelled_at").alias("timestamp"),
+        "block_id",
+        "label",
+        "note",
+    )
+
+
 def join_feedback(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Add feedback_label: -1 confirmed or missed anomaly, +1 normal, null unlabelled."""
     sign = lookup(D.FEEDBACK_SIGN, F.col("label"), value_type="int")

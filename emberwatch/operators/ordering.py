@@ -118,8 +118,9 @@ def cumulative_by_value(
     """
     per_value = df.groupBy(value).agg(*[c.alias(n) for n, c in weights.items()])
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(per_value.approxQuantile(value, probabilities, 0.25 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
+    cuts = per_value.approxQuantile(value, probabilities, 0.25 / buckets)
+    finite = sorted({c for c in cuts if abs(c) < float("inf")}) or [0.0]
+    splits = [float("-inf"), *finite, float("inf")]
     bucketed = Bucketizer(
         splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep"
     ).transform(per_value)

@@ -284,6 +284,17 @@ def recent_alerts(spark, sf_dir):
     return newest.filter(F.col("priority") == "HIGH").select("alert_id", "priority")
 
 
+@query(
+    "recent_events",
+    oracle=cte("log_events")
+    + " SELECT line_id, source FROM (SELECT * FROM log_events ORDER BY line_id DESC LIMIT 2000)"
+    " WHERE source = 'svc3' AND source_machine = 'host2'",
+)
+def recent_events(spark, sf_dir):
+    events = view(spark, sf_dir, "log_events")
+    return alerts.event_view(events, "line_id", 2000, "svc3", "host2").select("line_id", "source")
+
+
 @query(
     "slice_first_n",
     oracle=SCORED

@@ -125,6 +125,27 @@ def feedback_metrics(spark, sf_dir):
     return feedback.feedback_metrics(feedback.latest_label(labels(spark, sf_dir)))
 
 
+@query(
+    "feedback_report",
+    oracle=FEEDBACK + LATEST + RETRAIN
+    + " SELECT count(*) AS total_labelled,"
+    " (SELECT strftime(at_time, '%Y-%m-%d') FROM r) AS retrained_on,"
+    " (SELECT contamination FROM r) AS last_contamination,"
+    " count(*) FILTER (labelled_at > (SELECT at_time FROM r)) AS labels_since_retrain,"
+    " 10 AS auto_retrain_threshold FROM latest",
+)
+def feedback_report(spark, sf_dir):
+    latest = feedback.latest_label(labels(spark, sf_dir))
+    report = feedback.feedback_report(latest, view(spark, sf_dir, "retrain_log"))
+    return report.select(
+        "total_labelled",
+        F.date_format("last_retrain_at", "yyyy-MM-dd").alias("retrained_on"),
+        "last_contamination",
+        "labels_since_retrain",
+        "auto_retrain_threshold",
+    )
+
+
 BLOCKS = ", blocks AS (SELECT concat('app_', user_id) AS block_id, count(*) AS num_events FROM events GROUP BY ALL)"
 SIGNED = (
     BLOCKS

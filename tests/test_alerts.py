@@ -107,6 +107,15 @@ def test_cooldown_seed(spark):
     assert sorted(r["tie"] for r in cooldown(df, "key", "ts", 60, "tie", seed).collect()) == [60, 100]
 
 
+def test_notifications_resume_from_the_log(spark):
+    log = spark.createDataFrame([("a", T0), ("a", T0 + timedelta(seconds=30)), (None, T0)], "block_id string, sent_at timestamp")
+    rows = [(i, T0 + timedelta(seconds=s), k, "m", "HIGH", ["dos"], 0.1, 8.0) for i, (s, k) in enumerate([(80, "a"), (90, "a"), (80, "b")])]
+    df = spark.createDataFrame(rows, "seq int, alert_at timestamp, block_id string, source_machine string, priority string,"
+                               " threat_categories array<string>, anomaly_score double, cvss_score double")
+    out = alerts.dispatch_plan(df, "seq", seconds=60, seed=alerts.cooldown_seed(log)).collect()
+    assert sorted((r["block_id"], r["sent_at"]) for r in out) == [("a", T0 + timedelta(seconds=90)), ("b", T0 + timedelta(seconds=80))]
+
+
 def test_listing_limits_before_filtering(spark):
     rows = [(i, f"b{i}", "m", "HIGH" if i % 2 else "LOW", ["dos"]) for i in range(10)]
     df = spark.createDataFrame(rows, "seq int, block_id string, source_machine string, priority string, threat_categories array<string>")

@@ -47,6 +47,7 @@ def test_auc_and_average_precision(spark):
         assert np.isclose(evaluation.roc_auc(df, "score", buckets=buckets).first()[0], want)
         assert np.isclose(evaluation.average_precision(df, "score", buckets=buckets).first()[0], ap)
     assert evaluation.roc_auc(df.filter("y_true = 1"), "score").first()[0] is None
+    assert evaluation.average_precision(df.limit(0), "score").first()[0] is None
 
 
 def test_median_imputation_and_scaling(spark):
