@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.session import written
+
 CHUNK_COOLDOWNS = 64
 
 
@@ -190,7 +192,9 @@ def kept_times(slots: DataFrame, wait: int, chunk_cooldowns: int = CHUNK_COOLDOW
         .withColumn("_run", F.sum(F.col("_fresh").cast("bigint")).over(by_key))
         .withColumn("_follows", F.coalesce(~F.lead("_fresh").over(by_key), F.lit(False)))
     )
-    # a chunk that is alone in its run and has one slot needs no further work
+    # one row per key and chunk, written once because three branches read it
+    spans = written(spans, "cooldown-spans")
+    # a fresh chunk with one slot needs no further work
     single = F.col("_fresh") & (F.col("_n") == 1)
     alone = spans.filter(single).select("_key", F.col("_first").alias("_t"))
     linked = spans.filter(~F.col("_fresh") | F.col("_follows")).select("_key", "_chunk", "_run")
@@ -225,6 +229,8 @@ def cooldown(
 
     ``tie`` orders rows with the same key and time.  ``seed`` (columns key, last_at) holds
     the last kept time per key from earlier runs; rows at or before it are suppressed.
+    The chunk table is computed by the call, the rest is lazy; ``df`` is read several
+    times, so pass a written table when it is expensive to compute.
     """
     wait = int(round(seconds * 1_000_000))
     named = F.col(key) if isinstance(key, str) else key
