@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe
+from emberwatch.llm import bpe, decontaminate, html_text, licenses, quality, secrets, topk, toxicity
 from emberwatch.llm.common import Query, table
+from emberwatch.session import written
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +26,67 @@ def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+@register
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.is_held_out("doc_id", 5, 0)
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scores = toxicity.scored(docs, toxicity.trained(docs, labels))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.searched(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
+
+
+@register
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@register
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("spans")
+
+
+@register
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@register
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.is_held_out("doc_id", 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    values = written(quality.described(table(spark, sf_dir, "documents")), "quality")
+    scores = quality.scored(values, quality.fitted(values, labels))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer_spec())
+
+
+@register
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
