@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, decontaminate, html_text, licenses, quality, secrets, topk, toxicity
+from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, quality, secrets, topk, toxicity
 from emberwatch.llm.common import Query, table
 from emberwatch.session import written
 
@@ -54,6 +54,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.grouped(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @register
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(table(spark, sf_dir, "documents"))
