@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, quality, secrets, topk, toxicity
+from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, quality, secrets, suffix_dedup, topk, toxicity
 from emberwatch.llm.common import Query, table
 from emberwatch.session import written
 
@@ -65,6 +65,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("spans")
 
 
+@register
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 @register
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
