@@ -226,11 +226,13 @@ def contamination(
     return state.select(F.col("_key").alias(key), "n_words", n_hit.alias("n_hit"), "items", "matches")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
     """The document rows, all columns, in which no benchmark window occurs."""
     at = docs.columns.index(text)
     out = docs
-    for block in list(benchmark_blocks(benchmark, benchmark.columns[0], item_text)) or [[]]:
+    for block in list(benchmark_blocks(benchmark, item_key, item_text)) or [[]]:
         out = without_hits(out, block, at, window)
     return out
 
