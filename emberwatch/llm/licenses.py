@@ -9,6 +9,8 @@ Every step stays within its row, so nothing is shuffled.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def _families() -> list[tuple[str, int, str, str]]:
             add(name, EXACT, "licenses", rf"gnu org licenses (?:old licenses )?{short}{version}")
         add(short, NAMED, "public license", rf"(?:gnu )?{long}general public licen[sc]e")
         add(short, NAMED, short, rf"(?:gnu )?{short}(?: licen[sc]ed?)")
-        add(short, NAMED, f"the {short}", rf"(?:under|of) the (?:gnu )?{short}")
+        add(short, NAMED, f"{short}", rf"(?:under|of) the (?:gnu )?{short}")
     add("gfdl", NAMED, "documentation license", "(?:gnu )?free documentation licen[sc]e")
     for number, version in _versions("1.1", "1.2", "1.3"):
         add(f"gfdl-{number}", EXACT, "documentation license", rf"(?:gnu )?free documentation licen[sc]e{version}{_LATER}")
@@ -174,7 +176,7 @@ def _families() -> list[tuple[str, int, str, str]]:
         ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use)"),
         ("reserved", "rights reserved", r"(?:all|some|no) rights reserved"),
         ("warranty", "without warranty", r"without (?:any )?warranty"),
-        ("warranty", "as is", r"provided (?:as is|by the copyright holders)"),
+        ("warranty", "provided", r"provided (?:as is|by the copyright holders)"),
         ("open-source", "open source license", r"open source licen[sc]e"),
         ("spdx", "spdx", r"spdx licen[sc]e identifier(?: \S+){1,3}"),
         ("terms", "terms of use", r"subject to (?:the|our) terms of use"),
@@ -195,18 +197,23 @@ def _blanks(text: F.Column) -> F.Column:
 
 
 def _rules() -> F.Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule"),
-                F.lit(label).alias("label"),
-                F.lit(priority).alias("priority"),
-                F.lit(keyword).alias("keyword"),
-                F.lit(_between_blanks(pattern)).alias("pattern"),
-            )
-            for i, (label, priority, keyword, pattern) in enumerate(RULES)
-        ]
-    )
+    rows = [
+        {"rule": i, "label": label, "priority": priority, "keyword": keyword, "pattern": _between_blanks(pattern)}
+        for i, (label, priority, keyword, pattern) in enumerate(RULES)
+    ]
+    schema = "array<struct<rule: int, label: string, priority: int, keyword: string, pattern: string>>"
+    return F.from_json(F.lit(json.dumps(rows)), schema)  # constant: folded once by the optimizer
+
+
+def _gate_words() -> list[str]:
+    """One word of every keyword and base phrase; a text with none of them has no match.
+
+    Patterns consist of whole words, so a keyword's longest unusual word stands in the text as a word,
+    except for the first parts of words that may be written as one.
+    """
+    usual = {"by", "the", "in", "is", "not", "as", "or"}
+    words = {max(reversed(k.split()), key=lambda w: (w not in usual, len(w))) for k in [k for _, _, k, _ in RULES] + [p for p, _ in BASE]}
+    return sorted(words | {"beerware", "openrail"})
 
 
 def _spans(words: F.Column, rule: F.Column) -> F.Column:
@@ -263,13 +270,13 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Rows are independent; repeated rows and null keys pass through.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(value, NOT_WORD, " "))), F.lit(" "))
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), words.alias("_words"))
-    gate = "(?: (?:" + "|".join(sorted({k for _, _, k, _ in RULES} | {p for p, _ in BASE})) + "))"
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.split(F.lower(value), NOT_WORD, -1).alias("_parts"))
+    ends = [F.when(F.element_at("_parts", at) == "", 1).otherwise(0) for at in (1, -1)]
+    spaced = F.concat(F.lit(" "), F.trim(F.array_join("_parts", " ")), F.lit(" "))
     rows = rows.select(
         "_key",
-        F.greatest(_blanks(F.col("_words")) - F.when(F.col("_words") == "  ", 2).otherwise(1), F.lit(0)).cast("long").alias("n_words"),
-        F.when(F.col("_words").rlike(gate), F.col("_words")).alias("_words"),
+        F.greatest(F.size("_parts") - ends[0] - ends[1], F.lit(0)).cast("long").alias("n_words"),
+        F.when(F.arrays_overlap("_parts", F.split(F.lit(" ".join(_gate_words())), " ")), spaced).alias("_words"),
     )
     words = F.col("_words")
     pieces = [F.when(F.contains(words, F.lit(f" {p} ")), F.split(words, f" {p}(?= )", -1)).alias(f"_base{i}") for i, (p, _) in enumerate(BASE)]
