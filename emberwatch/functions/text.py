@@ -11,7 +11,8 @@ from emberwatch.functions.lookup import literal_map
 # --- fixed values: rewrite rules, applied in this order -------------------------------
 # (pattern, replacement)
 # Patterns are Java regular expressions; (?U) gives \w, \d, \s and \b their Unicode
-# meaning.
+# meaning.  Path segments repeat possessively: a plain group loop would use a stack frame
+# per segment, and one encoded blob has hundreds of thousands.
 
 REWRITES = [
     (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<TIMESTAMP>"),
@@ -20,8 +21,8 @@ REWRITES = [
     (r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b", "<IP>"),
     (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "<IPV6>"),
     (r"\b(?:[0-9a-fA-F]{2}[:\-]){5}[0-9a-fA-F]{2}\b", "<MAC>"),
-    (r"[A-Za-z]:\\(?:[^\s\\/:*?\"<>|]+\\)*[^\s\\/:*?\"<>|]*", "<PATH>"),
-    (r"(?<!\w)/(?:[^\s/]+/)*[^\s/]+", "<PATH>"),
+    (r"[A-Za-z]:\\(?:[^\s\\/:*?\"<>|]+\\)*+[^\s\\/:*?\"<>|]*", "<PATH>"),
+    (r"(?<!\w)/[^\s/]+(?:/[^\s/]+)*+", "<PATH>"),
     (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
     (r"\b[0-9a-fA-F]{8,}\b", "<HEX>"),
     (r"https?://\S+", "<URL>"),

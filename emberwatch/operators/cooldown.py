@@ -216,6 +216,11 @@ def kept_times(slots: DataFrame, wait: int, chunk_cooldowns: int = CHUNK_COOLDOW
     return marked.unionByName(alone)
 
 
+def _key_name(key: Column) -> Column:
+    """Text of a key that is never null, so joins on it keep null keys."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
 def cooldown(
     df: DataFrame,
     key: Column | str,
@@ -229,20 +234,20 @@ def cooldown(
 
     ``tie`` orders rows with the same key and time.  ``seed`` (columns key, last_at) holds
     the last kept time per key from earlier runs; rows at or before it are suppressed.
+    Rows without a time cannot be compared and all pass; a null key is a key of its own.
     The chunk table is computed by the call, the rest is lazy; ``df`` is read several
     times, so pass a written table when it is expensive to compute.
     """
     wait = int(round(seconds * 1_000_000))
     named = F.col(key) if isinstance(key, str) else key
-    rows = df.withColumn("_key", named.cast("string")).withColumn(
-        "_t", F.unix_micros(F.col(ts).cast("timestamp"))
-    )
+    timed = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumns({"_key": _key_name(named), "_t": timed}).filter(F.col("_t").isNotNull())
     pairs = rows.select("_key", "_t")
     if seed is not None:
         known = seed.select(
-            F.col("key").cast("string").alias("_key"),
+            _key_name(F.col("key")).alias("_key"),
             F.unix_micros(F.col("last_at").cast("timestamp")).alias("_seed"),
-        )
+        ).filter(F.col("_seed").isNotNull())
         rows = (
             rows.join(known, "_key", "left")
             .filter(F.col("_seed").isNull() | (F.col("_t") > F.col("_seed")))
@@ -252,8 +257,7 @@ def cooldown(
     # the first row of a slot stands for it; taken by aggregate, so equal times combine early
     plain = [c for c in rows.columns if c not in ("_key", "_t", "_seed")]
     first = rows.groupBy("_key", "_t").agg(
-        F.min_by(F.struct(*plain), F.col(tie)).alias("_row")
-    )
-    return first.join(kept_times(slots, wait, chunk_cooldowns), ["_key", "_t"], "left_semi").select(
-        "_row.*"
+        F.min_by(F.struct(*plain), F.struct(F.col(tie).isNull(), F.col(tie))).alias("_row")
     )
+    kept = first.join(kept_times(slots, wait, chunk_cooldowns), ["_key", "_t"], "left_semi").select("_row.*")
+    return kept.unionByName(df.filter(timed.isNull()))

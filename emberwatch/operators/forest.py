@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, ICDM 2008) on Spark.
 
-Fitting draws one small sample per tree from a hash-selected pool, so the training table
-is filtered and never sorted, and builds the trees as independent tasks of at most
+Fitting draws one small sample per tree by hash over the whole training table, which is
+filtered and never sorted, and builds the trees as independent tasks of at most
 ``max_samples`` rows.  The model is a node table of at most
 ``trees * (2 * max_samples - 1)`` rows; scoring ships it to the executors and walks whole
 Arrow batches down each tree.
@@ -22,7 +22,6 @@ from emberwatch.session import written
 
 EULER_GAMMA = 0.5772156649015329
 MAX_NODES = 2_000_000
-POOL_FACTOR = 4
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, depth double"
@@ -61,7 +60,7 @@ class IsolationForest:
         return cls(nodes=sorted(tuple(r) for r in rows), **settings)
 
 
-def _tree_builder(width: int, limit: int, seed: int):
+def _tree_builder(width: int, limit: int, seed: int, size: int):
     """Grouped function building one tree.  Self-contained, as it is shipped by value."""
 
     def build(pdf):
@@ -70,6 +69,8 @@ def _tree_builder(width: int, limit: int, seed: int):
 
         tree = int(pdf["tree"].iloc[0])
         pdf = pdf.sort_values(["_order", "_id"])
+        if len(pdf) != size:
+            raise ValueError(f"tree {tree} drew {len(pdf)} of {size} rows")
         data = np.stack(pdf["x"].to_numpy()).reshape(len(pdf), width)
         rng = np.random.default_rng([seed, tree])
 
@@ -120,23 +121,16 @@ def expected_path(n: int) -> float:
 def tree_samples(df: DataFrame, key: str, columns: list[str], trees: int, size: int, seed: int, rows: int) -> DataFrame:
     """``size`` rows per tree: (tree, _order, _id, x).
 
-    A uniform pool of about POOL_FACTOR * trees * size rows is cut out by a hash of the
-    key (all rows when the table is smaller), then every tree takes the pool rows with
-    the smallest hash of (key, tree).
+    Every tree takes the rows with the smallest hash of (key, tree), out of the whole table.
     """
-    share = min(1.0, POOL_FACTOR * trees * size / max(rows, 1))
     whole = 1 << 31
     pool = df.select(
         F.col(key).cast("string").alias("_id"),
         F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
     )
-    if share < 1.0:
-        pool = pool.filter(
-            F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(whole)) < int(share * whole)
-        )
-    # a row is copied only for the trees whose hash it passes: about 3 * size per tree
-    expected_pool = max(1.0, share * rows)
-    limit = int(min(1.0, 3.0 * size / expected_pool) * whole)
+    # a row is copied only for the trees whose hash it passes: about 3 * size + 64 per tree, so that
+    # a shortfall is out of question; ``fit`` checks the sizes all the same
+    limit = int(min(1.0, (3.0 * size + 64) / max(1, rows)) * whole)
 
     def place(tree):
         return F.pmod(F.xxhash64("_id", tree, F.lit(seed)), F.lit(whole))
@@ -187,7 +181,7 @@ def fit(
     samples = tree_samples(scaled, key, columns, trees, size, seed, rows)
     depth = math.ceil(math.log2(max(size, 2)))
     nodes = samples.groupBy("tree").applyInPandas(
-        _tree_builder(len(columns), depth, seed), NODE_SCHEMA
+        _tree_builder(len(columns), depth, seed, size), NODE_SCHEMA
     )
     # bounded by the check above; a sort on the cluster would build the trees twice
     collected = sorted(tuple(r) for r in nodes.collect())

@@ -149,7 +149,7 @@ def exact_quantiles(
 
     An approximate sketch brackets each wanted rank from both sides, then only values
     inside the brackets (about 4/accuracy of the rows) are counted exactly.  Nulls and
-    NaNs are ignored.
+    NaNs are ignored.  The same steps run for every number of rows.
     """
     clean = df.select(
         *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
@@ -158,14 +158,10 @@ def exact_quantiles(
     low = [max(0.0, p - slack) for p in probabilities]
     high = [min(1.0, p + slack) for p in probabilities]
 
-    # below this size the slack is under a few rows, so the bracket is the whole range
-    few = F.lit(10 * accuracy)
-
     def edges(c, points, end, extreme, side):
         sketch = F.percentile_approx(c, points, accuracy)
         for i, p in enumerate(points):
-            near = F.when(F.count(c) < few, extreme(c)).otherwise(F.element_at(sketch, i + 1))
-            yield (extreme(c) if p == end else near).alias(f"{c}_{side}{i}")
+            yield (extreme(c) if p == end else F.element_at(sketch, i + 1)).alias(f"{c}_{side}{i}")
 
     bounds = clean.agg(
         F.struct(
@@ -188,8 +184,17 @@ def exact_quantiles(
     sizes = located.agg(
         F.array(
             *[
-                named(c, p, F.count(c).alias("total"), F.count_if(F.col(c) < lo).alias("below"))
-                for c, p, lo, _ in wanted
+                named(
+                    c,
+                    p,
+                    F.count(c).alias("total"),
+                    F.count_if(F.col(c) < lo).alias("below"),
+                    F.count_if(F.col(c).between(lo, hi)).alias("within"),
+                    # on few rows the wanted ranks may lie next to the bracket
+                    F.max(F.when(F.col(c) < lo, F.col(c))).alias("lower"),
+                    F.min(F.when(F.col(c) > hi, F.col(c))).alias("upper"),
+                )
+                for c, p, lo, hi in wanted
             ]
         ).alias("sizes")
     ).select(F.inline("sizes"))
@@ -225,7 +230,11 @@ def exact_quantiles(
 
     def at(rank):
         covers = (F.col("first") <= rank) & (F.col("last") >= rank)
-        return F.max(F.when(covers, F.col("value")))
+        return F.max(
+            F.when(covers, F.col("value"))
+            .when(rank == F.col("below") - 1, F.col("lower"))
+            .when(rank == F.col("below") + F.col("within"), F.col("upper"))
+        )
 
     picked = placed.groupBy(*per).agg(
         at(F.floor("rank")).alias("v0"), at(F.ceil("rank")).alias("v1"), F.max("rank").alias("rank")

@@ -116,15 +116,14 @@ def threat_categories_array(spark, sf_dir):
 LATEST_LABELS = (
     ", latest AS (SELECT block_id, arg_max(label, (labelled_at, seq)) AS label,"
     " arg_max(note, (labelled_at, seq)) AS note FROM label_log"
-    f" WHERE label IN ({', '.join(S.quote(n) for n in D.ANALYST_LABELS)}) AND block_id <> 'app_3'"
+    f" WHERE label IN ({', '.join(S.quote(n) for n in D.ANALYST_LABELS)})"
     " GROUP BY block_id)"
 )
 LABELLED = cte("scored_blocks", "label_log") + LATEST_LABELS
 
 
 def latest_labels(spark, sf_dir):
-    log = view(spark, sf_dir, "label_log").filter(F.col("block_id") != "app_3")
-    return feedback.latest_label(feedback.valid_labels(log))
+    return feedback.latest_label(feedback.valid_labels(view(spark, sf_dir, "label_log")))
 
 
 @query(
@@ -156,20 +155,28 @@ def event_filter(spark, sf_dir):
     oracle=cte("log_events", "users")
     + " SELECT u.username, count(*) AS visible, max(e.line_id) AS last_line FROM log_events e"
     " JOIN users u ON lower(trim(e.source_machine)) = lower(trim(u.source_machine))"
-    " WHERE u.role <> 'admin' GROUP BY u.username",
+    " WHERE u.role <> 'admin' GROUP BY u.username"
+    " UNION ALL SELECT u.username, t.visible, t.last_line FROM users u,"
+    " (SELECT count(*) AS visible, max(line_id) AS last_line FROM log_events) t WHERE u.role = 'admin'",
 )
 def scope_by_machine(spark, sf_dir):
-    users = view(spark, sf_dir, "users").filter(F.col("role") != "admin")
+    users = view(spark, sf_dir, "users")
+    admin = F.col("role") == "admin"
     events = view(spark, sf_dir, "log_events").select("source_machine", "line_id")
     # combine per machine first: the pairing then multiplies summaries, not events
     per_machine = events.groupBy("source_machine").agg(
         F.count(F.lit(1)).alias("n"), F.max("line_id").alias("last")
     )
-    return (
-        alerts.scope_by_user(per_machine, users)
+    paired = (
+        alerts.scope_by_user(per_machine, users.filter(~admin))
         .groupBy("username")
         .agg(F.sum("n").alias("visible"), F.max("last").alias("last_line"))
     )
+    # an admin sees every row: one row of totals stands for them all
+    everything = alerts.scope_by_machine(per_machine, "admin", None)
+    totals = everything.agg(F.struct(F.sum("n").alias("n"), F.max("last").alias("last")).alias("t")).scalar()
+    full = users.filter(admin).select("username", totals.alias("_t"))
+    return paired.unionByName(full.select("username", F.col("_t.n").alias("visible"), F.col("_t.last").alias("last_line")))
 
 
 @query(
@@ -259,11 +266,11 @@ def cve_enrich_eventid(spark, sf_dir):
     oracle=cte("scored_blocks", "users")
     + " SELECT coalesce(u.email, 'soc@example.com') AS recipient, count(*) AS alerts,"
     " max(a.alert_id) AS last_alert FROM scored_blocks a LEFT JOIN"
-    " (SELECT * FROM users WHERE email <> '' AND trim(source_machine) <> 'HOST2') u"
+    " (SELECT * FROM users WHERE email <> '') u"
     " ON lower(trim(a.source_machine)) = lower(trim(u.source_machine)) GROUP BY ALL",
 )
 def route_recipients(spark, sf_dir):
-    users = view(spark, sf_dir, "users").filter(F.trim("source_machine") != "HOST2")
+    users = view(spark, sf_dir, "users")
     slim = scored(spark, sf_dir).groupBy("source_machine").agg(
         F.count(F.lit(1)).alias("n"), F.max("alert_id").alias("last")
     )
@@ -322,11 +329,9 @@ def union_sources(spark, sf_dir):
     return alerts.union_sources(linux, win)
 
 
-@query("alert_count", oracle=SCORED + " SELECT count(*) AS alerts FROM scored_blocks WHERE anomaly_score < 0.1")
+@query("alert_count", oracle=SCORED + " SELECT count(*) AS alerts FROM scored_blocks")
 def alert_count(spark, sf_dir):
-    return scored(spark, sf_dir).filter(F.col("anomaly_score") < 0.1).agg(
-        F.count(F.lit(1)).alias("alerts")
-    )
+    return scored(spark, sf_dir).agg(F.count(F.lit(1)).alias("alerts"))
 
 
 @query(

@@ -91,23 +91,23 @@ def last_retrain(spark, sf_dir):
 
 @query(
     "labels_since_retrain",
-    oracle=FEEDBACK + RETRAIN
-    + " SELECT seq, block_id FROM label_log WHERE labelled_at > (SELECT at_time FROM r)",
+    oracle=FEEDBACK + LATEST + RETRAIN
+    + " SELECT o[2] AS seq, block_id FROM latest WHERE labelled_at > (SELECT at_time FROM r)",
 )
 def labels_since_retrain(spark, sf_dir):
-    return feedback.labels_since_retrain(
-        view(spark, sf_dir, "label_log"), view(spark, sf_dir, "retrain_log")
-    ).select("seq", "block_id")
+    latest = feedback.latest_label(labels(spark, sf_dir))
+    return feedback.labels_since_retrain(latest, view(spark, sf_dir, "retrain_log")).select("seq", "block_id")
 
 
 @query(
     "retrain_due",
-    oracle=FEEDBACK + RETRAIN
-    + " SELECT count(*) AS new_labels, (count(*) >= 10)::INTEGER AS due FROM label_log"
+    oracle=FEEDBACK + LATEST + RETRAIN
+    + " SELECT count(*) AS new_labels, (count(*) >= 10)::INTEGER AS due FROM latest"
     " WHERE labelled_at > (SELECT at_time FROM r)",
 )
 def retrain_due(spark, sf_dir):
-    out = feedback.retrain_due(view(spark, sf_dir, "label_log"), view(spark, sf_dir, "retrain_log"))
+    latest = feedback.latest_label(labels(spark, sf_dir))
+    out = feedback.retrain_due(latest, view(spark, sf_dir, "retrain_log"))
     return out.withColumn("due", F.col("due").cast("int"))
 
 
@@ -161,9 +161,14 @@ def joined_feedback(spark, sf_dir):
     return feedback.join_feedback(features, feedback.latest_label(labels(spark, sf_dir)))
 
 
-@query("join_feedback", oracle=LABELS + LATEST + SIGNED + " SELECT * FROM signed")
+@query(
+    "join_feedback",
+    oracle=LABELS + LATEST + SIGNED + " SELECT block_id, num_events, feedback_label::DOUBLE AS feedback_label FROM signed",
+)
 def join_feedback(spark, sf_dir):
-    return joined_feedback(spark, sf_dir)
+    # unlabelled blocks have a null, which the comparison carries as a floating-point column
+    joined = joined_feedback(spark, sf_dir)
+    return joined.withColumn("feedback_label", F.col("feedback_label").cast("double"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
+from emberwatch.functions import text
 from emberwatch.operators import features, parsing
 from emberwatch.plans import features_queries as FQ
 from emberwatch.plans import sqltext as S
@@ -44,11 +45,18 @@ def csv_to_logline(spark, sf_dir):
     return docs.select("doc_id", text_files.winlog_line(docs).alias("raw"))
 
 
-@query("scan_directory")
+@query(
+    "scan_directory",
+    oracle=cte("log_events")
+    + ", files AS (SELECT source, count(*) AS n FROM log_events GROUP BY source)"
+    " SELECT 'unknown' AS os, 'generic' AS format, sum(n)::BIGINT AS events,"
+    " sum(n * (n + 1) // 2)::BIGINT AS line_sum, max(n) AS line_max FROM files",
+)
 def scan_directory(spark, sf_dir):
-    """Log lines written as one folder of text files per source, scanned back."""
+    """Log lines written as one text file per source, scanned back."""
     folder = fresh_dir(spark, "logdir")
-    view(spark, sf_dir, "log_events").select("raw", "source").write.partitionBy("source").text(folder)
+    lines = view(spark, sf_dir, "log_events").select("raw", "source")
+    lines.repartition("source").write.partitionBy("source").text(folder)
     events = text_files.read_directory(spark, folder, recursive=True)
     return events.groupBy("os", "format").agg(
         F.count(F.lit(1)).alias("events"),
@@ -138,6 +146,27 @@ XML_EVENT = (
 )
 
 
+@query(
+    "flatten_newlines",
+    oracle="SELECT doc_id, regexp_replace(text, '\\r\\n|\\n', ' ', 'g') AS flat FROM documents",
+)
+def flatten_newlines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.flatten_newlines("text").alias("flat"))
+
+
+@query(
+    "xml_events_in_order",
+    oracle=cte("windows_events")
+    + " SELECT record_id, row_number() OVER (PARTITION BY user_id ORDER BY record_id) AS place FROM windows_events",
+)
+def xml_events_in_order(spark, sf_dir):
+    """Event files of one user each, every file read in the order of its record ids."""
+    folder = fresh_dir(spark, "event-xml")
+    docs = view(spark, sf_dir, "windows_events").select("user_id", F.expr(XML_EVENT).alias("value"))
+    docs.repartition("user_id").write.partitionBy("user_id").text(folder)
+    return records.read_event_xml(spark, folder, recursive=True).select("record_id", "place")
+
+
 @query(
     "xml_event_to_line",
     oracle=cte("windows_events")

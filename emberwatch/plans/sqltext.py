@@ -11,8 +11,10 @@ def quote(text: str) -> str:
 
 
 def rewrites(expr: str, rules) -> str:
-    """Nested replaces.  RE2 has no lookbehind, so the path rule keeps its left neighbour."""
+    """Nested replaces.  RE2 has no lookbehind, so the path rule keeps its left neighbour; it
+    never backtracks, so possessive loops are written as plain ones."""
     for pattern, replacement in rules:
+        pattern = pattern.replace("*+", "*")
         if pattern.startswith(r"(?<!\w)"):
             pattern = r"(^|[^\w])" + pattern.removeprefix(r"(?<!\w)")
             replacement = r"\1" + replacement

@@ -127,16 +127,14 @@ def stream_latest_health(spark, sf_dir):
     return state.before(last + 1).select("machine", "cpu", "seq")
 
 
-@query("stream_score_cycle")
-def stream_score_cycle(spark, sf_dir):
+def score_cycle(spark, sf_dir, source, base):
     """Windows events streamed through features, forest, rules and cooldown."""
-    base = fresh_dir(spark, "cycle")
     past = FQ.parsed_windows(spark, sf_dir).withColumn("ts", F.lit(None).cast("timestamp"))
     from emberwatch.operators.features import realtime_block_features
 
     history = prep.zero_fill(realtime_block_features(past.drop("ts")), D.MODEL_FEATURES)
     model = forest.fit(history, D.MODEL_FEATURES, trees=50, contamination=0.05)
-    events = over(events_stream(spark, sf_dir), "windows_events")
+    events = over(source, "windows_events")
     threat = blocks.priority_threat(F.col("win_id"))
     stream = events.select(
         "raw",
@@ -148,7 +146,31 @@ def stream_score_cycle(spark, sf_dir):
         F.concat(F.lit("win_"), F.col("user_id").cast("string")).alias("block_id"),
     )
     jobs.score_cycle_job(stream, model, base, f"{base}/checkpoint", threshold=0.1).awaitTermination()
-    return spark.read.parquet(f"{base}/alerts").select(
+    return spark.read.parquet(f"{base}/alerts")
+
+
+@query(
+    "stream_rule_alerts",
+    oracle=cte("windows_events")
+    + f", flagged AS (SELECT concat('win_', user_id) AS block_id, {S.flags(D.REALTIME_KEYWORDS)} FROM windows_events)"
+    + f", hit AS (SELECT block_id, {S.hits(D.REALTIME_KEYWORDS)} FROM flagged GROUP BY block_id) "
+    + " UNION ALL ".join(
+        f"SELECT block_id, '{c}' AS category, '{p}' AS priority FROM hit WHERE {c}_hits >= {n}" for c, p, n in D.RULES
+    ),
+)
+def stream_rule_alerts(spark, sf_dir):
+    """Rule alerts of the score cycle, with every block spread over several micro-batches."""
+    base = fresh_dir(spark, "cycle-parts")
+    events = table(spark, sf_dir, "events")
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(f"{base}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = score_cycle(spark, sf_dir, source, base).filter("rule_based")
+    return out.select("block_id", F.element_at("threat_categories", 1).alias("category"), "priority")
+
+
+@query("stream_score_cycle")
+def stream_score_cycle(spark, sf_dir):
+    return score_cycle(spark, sf_dir, events_stream(spark, sf_dir), fresh_dir(spark, "cycle")).select(
         "block_id", "source_machine", "priority", "cvss_score", "rule_based",
         F.array_join("threat_categories", ",").alias("categories"), "vulnerability_name",
     )

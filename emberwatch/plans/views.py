@@ -73,13 +73,14 @@ SELECT event_id AS alert_id, ts AS alert_at, concat('app_', user_id) AS block_id
 FROM {events}
 """
 
-# Analyst label log: several entries per block over time, one label name not allowed
+# Analyst label log: several entries per block over time, one label name not allowed; block
+# app_3 never gets an allowed label
 LABEL_LOG = """
 SELECT concat('app_', o_custkey % 200) AS block_id, o_orderkey AS seq,
        o_orderdate AS labelled_at, o_orderpriority AS note,
-       CASE o_orderpriority WHEN '1-URGENT' THEN 'true_positive' WHEN '2-HIGH' THEN 'false_positive'
-            WHEN '3-MEDIUM' THEN 'true_negative' WHEN '5-LOW' THEN 'false_negative'
-            ELSE 'confirmed' END AS label
+       CASE WHEN o_custkey % 200 = 3 THEN 'confirmed' WHEN o_orderpriority = '1-URGENT' THEN 'true_positive'
+            WHEN o_orderpriority = '2-HIGH' THEN 'false_positive' WHEN o_orderpriority = '3-MEDIUM' THEN 'true_negative'
+            WHEN o_orderpriority = '5-LOW' THEN 'false_negative' ELSE 'confirmed' END AS label
 FROM {orders}
 """
 
@@ -89,7 +90,6 @@ SELECT o_orderkey AS seq, o_orderdate AS ts,
        CASE o_orderstatus WHEN 'P' THEN 'model_retrained' ELSE 'feedback_submitted' END AS event,
        CAST(o_custkey % 50 AS DOUBLE) / CAST(100 AS DOUBLE) AS contamination
 FROM {orders}
-WHERE o_orderdate < TIMESTAMP '2001-01-01 00:00:00'
 """
 
 HEALTH_LOG = """
@@ -99,10 +99,10 @@ SELECT event_id AS seq,
 FROM {events}
 """
 
-# User directory: machine pairing with mixed case, some users without an address
+# User directory: machine pairing with mixed case, some users without an address (all on HOST2)
 USERS = """
 SELECT c_name AS username, concat(' HOST', c_custkey % 9) AS source_machine,
-       CASE WHEN c_acctbal < 0 THEN '' ELSE concat('u', c_custkey, '@', lower(n_name), '.example.com') END AS email,
+       CASE WHEN c_acctbal < 0 OR c_custkey % 9 = 2 THEN '' ELSE concat('u', c_custkey, '@', lower(n_name), '.example.com') END AS email,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'admin' ELSE 'user' END AS role
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """

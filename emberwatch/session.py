@@ -45,12 +45,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (a test session) is a local one chosen, and it
-    is then registered with the session so later calls agree.
+    Only when a local session names none is a temporary one chosen, and it is then
+    registered with the session so later calls agree.  On a cluster each executor would
+    write to its own disk, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="emberwatch-")
         spark.sparkContext.setCheckpointDir(named)

@@ -63,6 +63,18 @@ def split_events(df: DataFrame, column: str) -> DataFrame:
     ).filter(~text.is_blank(column))
 
 
+def read_event_xml(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
+    """Files of event XML → file, record_id, place (from 1, by record id within the file), raw."""
+    from pyspark.sql import Window
+
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "</Event>").text(paths)
+    parts = files.select(F.col("_metadata.file_path").alias("file"), text.strip("value").alias("xml"))
+    parts = parts.filter(F.col("xml") != "").withColumn("xml", F.concat("xml", F.lit("</Event>")))
+    lines = xml_event_lines(parts)
+    order = Window.partitionBy("file").orderBy("record_id", "raw")
+    return lines.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
 def xml_event_lines(df: DataFrame, column: str = "xml") -> DataFrame:
     """Event XML → record_id and one summary line; malformed events are dropped.
 
@@ -93,7 +105,13 @@ def xml_event_lines(df: DataFrame, column: str = "xml") -> DataFrame:
     )
     # free-form user data has no fixed schema; its texts are read in document order
     loose = F.transform(F.xpath(F.col(column), F.lit("Event/UserData//text()")), lambda v: text.strip(v))
-    fields = F.when(F.col("_e.EventData").isNotNull(), named).otherwise(loose)
+    # other elements of the event data carry text too
+    others_text = F.transform(
+        F.xpath(F.col(column), F.lit("Event/EventData//*[name() != 'Data']/text()")), lambda v: text.strip(v)
+    )
+    fields = F.when(
+        F.col("_e.EventData").isNotNull(), F.concat(F.coalesce(named, F.array().cast("array<string>")), others_text)
+    ).otherwise(loose)
     present = F.slice(F.filter(fields, lambda v: v.isNotNull() & (v != "")), 1, XML_DATA_FIELDS)
     words = lookup(D.EVENT_KEYWORDS, number.try_cast("bigint"), key_type="bigint")
     line = F.concat(

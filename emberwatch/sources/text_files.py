@@ -9,6 +9,8 @@ from emberwatch import dictionaries as D
 from emberwatch.functions import blocks, text
 from emberwatch.session import written
 
+#: Columns of a CSV export that are read; exports have about twenty.
+CSV_COLUMNS = 64
 LOG_GLOB = "*{" + ",".join(D.SUPPORTED_SUFFIXES) + "}"
 
 
@@ -23,10 +25,12 @@ def text_lines(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 
 def read_log_lines(
-    spark: SparkSession, paths, recursive: bool = False, glob: str = LOG_GLOB
+    spark: SparkSession, paths, recursive: bool = False, glob: str = LOG_GLOB, skip_damaged: bool = False
 ) -> DataFrame:
     """Numbered lines of plain or gzip files: file, file_time, line_id, raw.
 
+    A damaged file ends the read; ``skip_damaged`` reads on with the lines before the damage.
+
     Large files are read in splits.  A first pass counts the lines of every split into a
     small written table; its running sum gives each split its first line number, so line
     text is never shuffled or held per file.
@@ -34,7 +38,7 @@ def read_log_lines(
     scan = (
         spark.read.option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", glob)
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", str(skip_damaged).lower())
         .text(paths)
     )
     numbered = scan.select(
@@ -58,15 +62,18 @@ def read_log_lines(
         ),
         "splits",
     )
+    # both scans must cut the files alike; a split without an offset is an error, never a loss
+    shift = F.coalesce("_shift", F.raise_error(F.lit("file splits changed between two scans")).cast("bigint"))
     return (
-        numbered.join(offsets, ["file", "_start"])
+        numbered.join(offsets, ["file", "_start"], "left")
         .filter(~text.is_blank("raw"))
-        .select("file", "file_time", (F.col("_id") + F.col("_shift") + 1).alias("line_id"), "raw")
+        .select("file", "file_time", (F.col("_id") + shift + 1).alias("line_id"), "raw")
     )
 
 
 def file_name(path: Column) -> Column:
-    return F.url_decode(F.substring_index(path, "/", -1))
+    # a plus sign in a path stands for itself
+    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
 
 
 def file_stem(path: Column) -> Column:
@@ -103,33 +110,60 @@ def winlog_line(df: DataFrame, headers: dict = D.WINLOG_CSV_HEADERS) -> Column:
                 return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
         return F.lit("")
 
+    return _winlog_line(pick)
+
+
+def winlog_line_of_cells(cells: Column, header: Column, headers: dict = D.WINLOG_CSV_HEADERS) -> Column:
+    """The same from a row's cells and its own file's header row."""
+    def pick(role):
+        chosen = F.lit("")
+        for name in reversed(headers[role]):
+            at = F.array_position(header, F.lit(name)).cast("int")
+            chosen = F.when(at > 0, F.coalesce(F.try_element_at(cells, at), F.lit(""))).otherwise(chosen)
+        return chosen
+
+    return _winlog_line(pick)
+
+
+def _winlog_line(pick) -> Column:
     message = F.translate(pick("message"), "\n\r", "  ")
     return F.concat(
         pick("time"), F.lit(" ["), pick("level"), F.lit("] EventID="), pick("event"), F.lit(" "), message
     )
 
 
-def read_winlog_csv(spark: SparkSession, paths) -> DataFrame:
-    """Event-log CSV exports of one header layout → file, file_time, line_id, raw."""
+def read_winlog_csv(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
+    """Event-log CSV exports, each with its own header → file, file_time, line_id, raw."""
+    names = [f"c{i}" for i in range(CSV_COLUMNS)]
     df = (
-        spark.read.option("header", "true")
+        spark.read.schema(", ".join(f"{n} string" for n in names))
+        .option("recursiveFileLookup", str(recursive).lower())
+        .option("pathGlobFilter", "*.csv")
         .option("multiLine", "true")
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .csv(paths)
     )
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     rows = df.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_modification_time").alias("file_time"),
         F.monotonically_increasing_id().alias("_id"),
-        winlog_line(df).alias("raw"),
+        F.array(*names).alias("_cells"),
     )
-    # a multi-line CSV file is one split, so its rows are consecutive
-    first = written(rows.groupBy("file").agg(F.min("_id").alias("_base")), "csv-bases")
-    return rows.join(first, "file").select(
-        "file", "file_time", (F.col("_id") - F.col("_base") + 1).alias("line_id"), "raw"
+    # a multi-line CSV file is one split, so its rows are consecutive and the header comes first
+    first = rows.groupBy("file").agg(F.min("_id").alias("_base"), F.min_by("_cells", "_id").alias("_header"))
+    trimmed = F.transform("_header", lambda c: F.trim(F.ltrim(F.coalesce(c, F.lit("")), F.lit("﻿"))))
+    first = written(first.withColumn("_header", trimmed), "csv-headers")
+    return (
+        rows.join(first, "file")
+        .filter(F.col("_id") > F.col("_base"))
+        .select(
+            "file",
+            "file_time",
+            (F.col("_id") - F.col("_base")).alias("line_id"),
+            winlog_line_of_cells(F.col("_cells"), F.col("_header")).alias("raw"),
+        )
     )
 
 
@@ -141,10 +175,9 @@ def read_directory(spark: SparkSession, path: str, recursive: bool = False) -> D
     )
     is_export = F.col("file").endswith(".csv") & (F.col("format") == "winlog")
     plain = lines.join(formats.filter(~is_export), "file")
-    # names only: one string per export file
-    exports = [r["file"] for r in formats.filter(is_export).select("file").collect()]
-    if exports:
-        rebuilt = read_winlog_csv(spark, exports).withColumn("format", F.lit("winlog"))
+    exports = formats.filter(is_export)
+    if not exports.isEmpty():
+        rebuilt = read_winlog_csv(spark, path, recursive).join(exports, "file")
         plain = plain.unionByName(rebuilt)
     when = F.coalesce(text.parse_timestamp("raw"), F.col("file_time"))
     fmt = F.col("format")

@@ -162,6 +162,17 @@ def last_kept(times: DataFrame, retain_seconds: float | None = None) -> DataFram
     return state.filter(F.unix_micros("last_at") >= newest - int(retain_seconds * 1_000_000))
 
 
+def still_open(events: DataFrame, seconds: float | None, arrived: DataFrame) -> DataFrame:
+    """Events of blocks that just arrived or whose last event is recent enough."""
+    if seconds is None:
+        return events
+    newest = events.agg(F.unix_micros(F.max("ts"))).scalar()
+    last = events.groupBy("block_id").agg(F.unix_micros(F.max("ts")).alias("_last"))
+    recent = last.filter(F.col("_last") >= newest - int(seconds * 1_000_000)).select("block_id")
+    alive = recent.union(arrived.select("block_id")).distinct()
+    return events.join(alive, "block_id", "left_semi").select(*events.columns)
+
+
 def latest_health_job(
     stream: DataFrame, state: str, checkpoint: str, processing: str | None = None
 ) -> tuple[StreamingQuery, StateTable]:
@@ -184,27 +195,38 @@ def score_cycle_job(
     seconds: float = alerts.RULE_COOLDOWN_SEC,
     processing: str | None = None,
     retain_seconds: float | None = None,
+    open_seconds: float | None = None,
 ) -> StreamingQuery:
     """Collect → featurise → score → alert, one cycle per micro-batch.
 
     ``stream`` carries collected events with block id, template id, machine and time.
     Rule alerts and model alerts go to one table; both are de-duplicated across batches.
+
+    The events of open blocks are state: a cycle judges every block that got new events as a
+    whole, so alerts do not depend on where micro-batches begin.  ``open_seconds`` closes a
+    block once the newest event is that much later than the block's last one, and bounds the
+    state; without it blocks stay open.
     """
     spark = stream.sparkSession
     cooled = StateTable(spark, f"{out}/state/cooldown", struct("key string, last_at timestamp"))
     fired = StateTable(spark, f"{out}/state/rules", struct("block_id string, category string"))
+    opened = StateTable(spark, f"{out}/state/open", stream.schema)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         folder = f"{out}/alerts/batch={batch_id}"
         seen, seed = fired.before(batch_id), cooled.before(batch_id)
-        blocks = features.realtime_block_features(batch, min_events=min_events)
-        times = batch.groupBy("block_id").agg(F.max("ts").alias("alert_at"))
+        arrived = written(batch, "cycle-events")
+        opened.save(batch_id, still_open(arrived.unionByName(opened.before(batch_id)), open_seconds, arrived))
+        whole = spark.read.schema(stream.schema).parquet(opened._folder(batch_id))
+        whole = whole.join(arrived.select("block_id").distinct(), "block_id", "left_semi")
+        blocks = features.realtime_block_features(whole, min_events=min_events)
+        times = whole.groupBy("block_id").agg(F.max("ts").alias("alert_at"))
         # one row per block, written because the cooldown reads it several times
         scored = written(
             forest.score(blocks.join(times, "block_id"), model).drop("is_anomaly", "prediction"), "cycle"
         )
         from_model = alerts.model_alerts(scored, threshold, seconds, seed=seed)
-        from_rules = alerts.dedup_rules(alerts.rule_alerts(batch), seen)
+        from_rules = alerts.dedup_rules(alerts.rule_alerts(whole), seen)
         both = alerts.enrich(alerts.union_alerts(from_rules, from_model))
         both.write.mode("overwrite").parquet(folder)
         saved = spark.read.schema(both.schema).parquet(folder)

@@ -158,3 +158,16 @@ def test_dispatch(spark):
     out = alerts.dispatch_plan(df, "seq", min_priority="MEDIUM", seconds=15).collect()
     got = {r["priority"]: (r["cvss_score"], r["channels_used"]) for r in out}
     assert got == {"HIGH": (7.5, ["desktop", "sound", "email"]), "MEDIUM": (5.5, ["desktop", "sound"])}
+
+
+def test_cooldown_keeps_null_keys_and_times(spark):
+    rows = [(1, None, 0), (2, None, 10), (3, None, 100), (4, "k", None), (5, "k", None), (6, "k", 5), (7, "k", 6)]
+    df = spark.createDataFrame(rows, "id int, k string, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    kept = {r["id"] for r in cooldown(df, "k", "ts", 60, "id").collect()}
+    assert kept == {1, 3, 4, 5, 6}
+
+
+def test_cooldown_takes_a_row_without_tie_value(spark):
+    df = spark.createDataFrame([(None, "k"), (None, "k")], "id int, k string").withColumn("ts", F.timestamp_seconds(F.lit(5)))
+    out = cooldown(df, "k", "ts", 60, "id").collect()
+    assert [r["k"] for r in out] == ["k"]

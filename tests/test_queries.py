@@ -20,7 +20,7 @@ def con(sf_dir):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {*JOBS, "iforest_fit", "scan_directory"}
+    assert set(QUERIES) - set(ORACLES) == {*JOBS, "iforest_fit"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -29,6 +29,6 @@ def test_oracle(spark, con, sf_dir, name):
     assert compare(got, con.execute(ORACLES[name]).df()) == "ok"
 
 
-@pytest.mark.parametrize("name", ["scan_directory", *JOBS])
+@pytest.mark.parametrize("name", JOBS)
 def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0

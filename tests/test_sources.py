@@ -122,3 +122,23 @@ def test_catalog_last_template_wins(spark, folder):
 def test_parsed_event_defaults(spark):
     row = parsing.parsed_events(spark.createDataFrame([("hello 5", 3)], "raw string, line_id bigint")).first()
     assert (row["block_id"], row["source"], row["os"], row["template"]) == ("unknown_3", "unknown", "unknown", "<NUM>")
+
+
+def test_csv_exports_with_their_own_headers(spark, folder):
+    """Layouts differ by file; blanks and plus signs in names are part of the name."""
+    put(folder, "winlog a.csv", "TimeCreated,LevelDisplayName,Id,Message\n2024-01-01 00:00:00,Error,1,first\n")
+    put(folder, "winlog+b.csv", "Message,Id,Date and Time,Level,Source\nhello two,4625,2024-01-02 00:00:00,Information,SRC\n")
+    rows = {r["source"]: (r["line_id"], r["raw"]) for r in text_files.read_directory(spark, folder).collect()}
+    assert rows == {
+        "winlog a": (1, "2024-01-01 00:00:00 [Error] EventID=1 first"),
+        "winlog+b": (1, "2024-01-02 00:00:00 [Information] EventID=4625 hello two"),
+    }
+
+
+def test_event_xml_keeps_other_data_elements(spark):
+    xml = (
+        "<Event><System><EventRecordID>7</EventRecordID><EventID>9</EventID><Channel>C</Channel></System>"
+        "<EventData><Data Name='a'>1</Data><Binary>FFEE</Binary></EventData></Event>"
+    )
+    line = records.xml_event_lines(spark.createDataFrame([(xml,)], "xml string")).first()["raw"]
+    assert line.endswith(" | a=1 | FFEE")

@@ -147,3 +147,10 @@ def test_block_ids(spark):
         "blk_-12", "hdfs_line_4", "sshd_77", "syslog_20240102_0304",
         "win_9_20240102_0304", "win_line_8", "generic_20240102_0304",
     ]
+
+
+def test_paths_with_many_segments(spark):
+    """A blob with as many slashes as letters is one path and does not use the stack up."""
+    rows = [("at " + "/a" * 100_000 + " end",), ("C:\\" + "x\\" * 100_000 + "y end",)]
+    out = spark.createDataFrame(rows, "raw string").select(text.rewrite(F.col("raw")).alias("t"))
+    assert [r["t"] for r in out.collect()] == ["at <PATH> end", "<PATH> end"]
