@@ -87,11 +87,11 @@ def band_keys(low: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
 
 
-def least_equal() -> int:
+def least_equal(deviations: float = DEVIATIONS) -> int:
     """Fewest equal minima (by their low bits) of a pair that stays a candidate."""
     chance = 2.0**-LOW_BITS
     expected = chance + (1 - chance) * PERCENT / 100
-    return int(MINIMA * expected - DEVIATIONS * np.sqrt(MINIMA * expected * (1 - expected)))
+    return int(MINIMA * expected - deviations * np.sqrt(MINIMA * expected * (1 - expected)))
 
 
 def _text(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -173,27 +173,31 @@ def equal_minima(left: str, right: str) -> F.Column:
 
 
 def across(members: DataFrame, emit: str) -> DataFrame:
-    """Candidates across components within buckets: pairs (a, b), or the classes in any pair.
+    """Candidates across components within buckets: ``pairs`` (a, b), the ``classes`` in any pair,
+    or a ``tree``: of the pairs that most likely link, as many as join the components they can join.
 
-    ``members``: band, class, component, n, shared, planes, size (of the bucket).  Two blocks of a
-    large bucket meet in one group, so no task holds more than two blocks.
+    ``members``: band, class, component, n, shared, bands, planes, size (of the bucket).  Two blocks
+    of a large bucket meet in one group, so no task holds more than two blocks.  A pair that shares
+    several buckets is looked at in the first of them.
     """
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     rows = members.withColumns({"blocks": blocks, "own": own})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
-    keep = ["band", "first", "second", "own", "class", "component", "n", "shared", "planes"]
-    least = least_equal()
+    keep = ["band", "first", "second", "own", "class", "component", "n", "shared", "bands", "planes"]
+    least = least_equal(0 if emit == "tree" else DEVIATIONS)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         planes = np.array(frame["planes"].tolist(), np.int64).reshape(len(frame), LOW_BITS, PLANE_LONGS)
+        bands, here = np.array(frame["bands"].tolist(), np.int64), int(frame["band"].iloc[0])
         n, shared = frame["n"].to_numpy(), frame["shared"].to_numpy()
         names = frame["class"].to_numpy()
         component = pd.factorize(frame["component"])[0]
         block = frame["own"].to_numpy()
         two_blocks = frame["first"].iloc[0] != frame["second"].iloc[0]
         out_a, out_b = [], []
+        joined = np.arange(component.max() + 1)  # components as joined so far
         for i in range(len(frame)):
             j = np.arange(i + 1, len(frame))
             j = j[component[j] != component[i]]
@@ -204,8 +208,15 @@ def across(members: DataFrame, emit: str) -> DataFrame:
             j = j[100 * common >= PERCENT * (n[i] + n[j] - common)]
             if not len(j):
                 continue
+            j = j[bands[i][(bands[j] == bands[i]).argmax(axis=1)] == here]
             differ = np.bitwise_or.reduce(planes[j] ^ planes[i], axis=1)
             j = j[MINIMA - np.bitwise_count(differ.view(np.uint64)).sum(axis=1, dtype=np.int64) >= least]
+            if emit == "tree":
+                _, first = np.unique(joined[component[j]], return_index=True)
+                j = j[first]
+                j = j[joined[component[j]] != joined[component[i]]]
+                for other in np.unique(joined[component[j]]):
+                    joined[joined == other] = joined[component[i]]
             out_a += [names[i]] * len(j)
             out_b += names[j].tolist()
         if emit == "classes":
@@ -248,7 +259,7 @@ def links(classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     buckets = written(keys.join(shared, "band"), "buckets")
     near = buckets.select("class").distinct()
     sets = written(full_sets(docs, text, classes.join(near, "class", "left_semi").select("text_key")), "sets")
-    planes = written(classes.select("class", "n", "planes").join(near, "class", "left_semi"), "planes")
+    planes = written(classes.select("class", "n", "bands", "planes").join(near, "class", "left_semi"), "planes")
 
     stars = buckets.where("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     stars = stars.join(planes.select(F.col("class").alias("b"), F.col("planes").alias("planes_b"), F.col("n").alias("n_b")), "b")
@@ -257,15 +268,25 @@ def links(classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     stars = stars.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).select("a", "b")
     first = written(confirmed(stars, sets), "links")
 
-    labels = components(first).withColumnRenamed("node", "class")
-    rows = buckets.select("band", "class", "size").join(labels, "class", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "class"))
-    mixed = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
-    rows = written(rows.join(mixed, "band").join(planes, "class"), "members")
+    shared_buckets = buckets.select("band", "class", "size")
+    rows = mixed(shared_buckets, components(first)).join(planes, "class")
     live = written(across(rows.withColumn("shared", F.col("n")), "classes"), "live")
-    counts = shared_counts(sets.join(live, "class", "left_semi"))
-    pairs = across(rows.join(counts, "class"), "pairs")
-    return first.union(written(confirmed(written(pairs, "pairs"), sets), "links"))
+    counts = written(shared_counts(sets.join(live, "class", "left_semi")), "shared")
+    # a class that shares too few of its shingles has no link; without it others share fewer
+    able = counts.join(planes.select("class", "n"), "class").where(100 * F.col("shared") >= PERCENT * F.col("n"))
+    counts = written(shared_counts(sets.join(able, "class", "left_semi")).join(planes, "class"), "shared")
+    tree = written(across(rows.select("band", "class", "size", "component").join(counts, "class"), "tree"), "tree")
+    second = written(first.union(confirmed(tree, sets)), "links")
+    rows = mixed(shared_buckets, components(second)).join(counts, "class")
+    return second.union(written(confirmed(written(across(rows, "pairs"), "pairs"), sets), "links"))
+
+
+def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that hold more than one component."""
+    rows = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "class"))
+    many = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return written(rows.join(many.select("band"), "band"), "members")
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
