@@ -28,7 +28,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Distinct strings a worker remembers; beyond it the table restarts, with the same results.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 #: Number of tokens, ids packed little-endian in four bytes each, tokens joined by a space.
 Encoded = tuple[int, bytes, str]

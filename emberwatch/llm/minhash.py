@@ -324,8 +324,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kept = found.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("text_key").alias("_text_key"))
     kept = written(kept.withColumnRenamed("component_id", "_key"), "kept")
     text_key = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = docs.withColumns({"_key": F.col(f"`{key}`"), "_text_key": text_key})
     blank = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike("[^ \\t-\\r]")
-    once = rows.where(~blank).dropDuplicates(["_key", "_text_key"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(f"`{key}`").alias("_key"), text_key.alias("_text_key"), blank.alias("_blank"))
+    once = rows.where("not _blank").dropDuplicates(["_key", "_text_key"])
     same = once["_key"].eqNullSafe(kept["_key"]) & (once["_text_key"] == kept["_text_key"])
-    return once.join(kept, same, "left_semi").unionByName(rows.where(blank)).drop("_key", "_text_key")
+    return once.join(kept, same, "left_semi").select("_row.*").union(rows.where("_blank").select("_row.*"))
