@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, quality, secrets, suffix_dedup, topk, toxicity
+from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, oracles, quality, secrets, suffix_dedup, topk, toxicity
 from emberwatch.llm.common import Query, table
 from emberwatch.session import written
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_topk": oracles.TOPK,
+    "op4_minhash": oracles.MINHASH,
+    "op7_decontamination": oracles.DECONTAMINATION,
+}
 
 
 def register(fn: Query) -> Query:

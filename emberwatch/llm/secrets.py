@@ -31,7 +31,7 @@ NEAR = 48
 #: Characters of text on either side that the compressor has seen before the candidate.
 AROUND = 1500
 #: Reported at or above so many added bytes per character, and so many added bytes in all.
-NEW_PER_CHAR, NEW_BYTES = 0.55, 12
+NEW_PER_CHAR, NEW_BYTES = 0.75, 12
 #: Identifiers and literals of ordinary code and settings that a key is not made of.
 IDENTIFIERS = (
     "username password passwd passphrase secret token apikey api_key api-key access_key access-key secret_key private_key public_key "
