@@ -30,12 +30,21 @@ def rule_alerts(
         *threats.threat_flags(F.col("_lower"), keywords, "_hits"),
     )
     names = [r[0] for r in rules]
-    blocks = flagged.groupBy("block_id").agg(
-        F.min(F.struct("line_id", "source_machine")).alias("origin"),
+    # per machine first, with numeric buffers only, so that events are hashed and not sorted; the
+    # first machine is that of the lowest line id, or of the earliest event without line ids
+    machines = flagged.groupBy("block_id", "source_machine").agg(
+        F.min("line_id").alias("line_id"),
+        F.min("ts").alias("first_at"),
         F.max("ts").alias("last_at"),
         F.count(F.lit(1)).alias("num_events"),
         *[F.sum(f"{c}_hits").alias(c) for c in names],
     )
+    blocks = machines.groupBy("block_id").agg(
+        F.min(F.struct(F.col("line_id").isNull(), "line_id", "first_at", "source_machine")).alias("origin"),
+        F.max("last_at").alias("last_at"),
+        F.sum("num_events").alias("num_events"),
+        *[F.sum(c).alias(c) for c in names],
+    )
     level = literal_map({c: p for c, p, _ in rules})
     needed = literal_map({c: n for c, _, n in rules}, value_type="int")
     hits = blocks.unpivot(

@@ -65,8 +65,13 @@ def staged_events(df: DataFrame, fmt, source="source", ts: str = "ts") -> DataFr
 
 
 def template_catalog(df: DataFrame, order: str = "line_id") -> DataFrame:
-    """One row per template id; on an id collision the last template wins."""
-    return df.groupBy("template_id").agg(
+    """One row per template id; on an id collision the last template wins.
+
+    Events combine by id and text with a numeric maximum, which hashes; the maximum by a text
+    would sort them all and sees only the distinct pairs.
+    """
+    seen = df.groupBy("template_id", "template").agg(F.max(order).alias(order))
+    return seen.groupBy("template_id").agg(
         F.max_by("template", F.struct(order, "template")).alias("template")
     )
 

@@ -45,6 +45,26 @@ def csv_to_logline(spark, sf_dir):
     return docs.select("doc_id", text_files.winlog_line(docs).alias("raw"))
 
 
+@query(
+    "csv_export_lines",
+    oracle="SELECT concat(source, ' [', lang, '] EventID=', n_chars, ' ',"
+    " replace(replace(text, chr(10), ' '), chr(13), ' ')) AS raw FROM documents",
+)
+def csv_export_lines(spark, sf_dir):
+    """The same lines from CSV exports on disk, in two header layouts side by side."""
+    folder = fresh_dir(spark, "exports")
+    docs = table(spark, sf_dir, "documents")
+    layouts = [
+        {"source": "Date and Time", "lang": "Level", "n_chars": "Event ID", "text": "Description"},
+        {"text": "Message", "n_chars": "Id", "lang": "LevelDisplayName", "source": "TimeCreated"},
+    ]
+    for i, names in enumerate(layouts):
+        part = docs.filter(F.col("doc_id") % 2 == i).select(*[F.col(c).alias(n) for c, n in names.items()])
+        writer = part.write.option("header", "true").option("quote", '"').option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{folder}/layout {i}")
+    return text_files.read_winlog_csv(spark, folder, recursive=True).select("raw")
+
+
 @query(
     "scan_directory",
     oracle=cte("log_events")

@@ -59,7 +59,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     names = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
-    spark, con = local_session(8), connect(sf_dir)
+    spark, con = local_session(int(os.environ.get("CPUS", "8"))), connect(sf_dir)
     oracles, failed = all_oracles(), []
     for name, fn in all_queries().items():
         if names and name not in names:
