@@ -36,11 +36,11 @@ from emberwatch.session import fresh_dir, written
 LENGTH = 200
 #: Bytes of the short strings whose hashes choose the sample.
 SEED_BYTES = 120
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Strings handled at once within a batch; a longer text is taken in such parts.
 PART = 1 << 17
 #: Batches per block of the sorted order.
-BATCHES_PER_BLOCK = 2
+BATCHES_PER_BLOCK = 4
 
 _DRAW = np.random.default_rng(200)
 _BYTE = [mix64(_DRAW.integers(1, 1 << 62, 256, dtype=np.uint64)) | np.uint64(1) for _ in range(2)]
