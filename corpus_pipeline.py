@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.llm import bpe, decontaminate, minhash, secrets, toxicity
-from emberwatch.llm.common import table
+from emberwatch.llm.common import table, with_package
 from emberwatch.llm.queries import tokenizer_spec
 from emberwatch.session import written
 
@@ -30,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with_package(spark)
     return minhash.deduplicated(docs)
 
 
@@ -38,10 +39,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with_package(spark)
     return secrets.redacted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with_package(spark)
     return bpe.encoded_digests(docs, tokenizer_spec())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,29 @@ WORD_BYTES = bytes(
 )
 
 
+#: Bytes of rows that a Python worker gets at once, where the session leaves Spark's default of 64 MB.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package wherever the driver was started, and feed them small batches.
+
+    Tasks import it by name.  Where it is not installed on the machines, its folder is added to the
+    workers' search path; a path that a machine lacks is ignored there.  A worker holds several
+    copies of a batch of whole texts, so the batch size sets its memory; a session's own setting stays.
+    """
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return with_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keyed_text(df: DataFrame, key: str, text: str, as_bytes: bool = False) -> DataFrame:
@@ -51,7 +73,3 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
-
-
-def by_text_length(n_bytes_column: str = "_text") -> F.Column:
-    return F.octet_length(n_bytes_column)

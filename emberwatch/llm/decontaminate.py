@@ -21,7 +21,7 @@ from emberwatch.llm.common import alnum_words, chunks, keyed_text
 
 WINDOW = 10
 #: Text bytes of a shard whose array is built at once, and of a benchmark block sent to the tasks.
-SHARD_BYTES, BLOCK_BYTES = 1 << 22, 1 << 23
+SHARD_BYTES, BLOCK_BYTES = 1 << 21, 1 << 23
 
 
 class Block:
