@@ -23,8 +23,10 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "novel"]
 
-#: A candidate is a run of key characters with a letter and a digit; the sensitive word stands before it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_~.=-]{14,}")
+#: A candidate is a run of key characters with a letter and a digit; the sensitive word stands before it,
+#: or in its name where the run is an unquoted name=value.
+SHORTEST = 14
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_~.=-]{{{SHORTEST},}}")
 SENSITIVE_WORDS = "password passwd passphrase secret token apikey api_key credential bearer authorization private_key access_key signing session_id".split()
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS) + r"|private\x20key|access\x20key|api\x20key", re.I | re.A)
 NEAR = 48
@@ -77,30 +79,73 @@ def base_spans(raw: bytes, text: str, low: bytes) -> list[Span]:
     return found
 
 
+def uncovered(start: int, end: int, covers: list[Span]) -> list[tuple[int, int]]:
+    """Parts of a stretch that lie in none of the sorted spans."""
+    out = []
+    for a, b, _ in covers:
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+        if start >= end:
+            break
+    return out + [(start, end)] if start < end else out
+
+
+def value_start(string: str) -> int:
+    """Where the value of an unquoted name=value begins, 0 without a name; names may follow each other."""
+    at = 0
+    while (cut := string.find("=", at)) > at and string[cut:].strip("="):
+        name = string[at:cut]
+        if any(map(str.isdigit, name)) and not SENSITIVE.search(name):
+            break
+        at = cut + len(string[cut:]) - len(string[cut:].lstrip("="))
+    return at
+
+
 def novel_spans(text: str, base: list[Span], novelty: Novelty) -> list[Span]:
-    """Candidates in a sensitive context that stay incompressible; parts of base spans are left out."""
+    """Candidates in a sensitive context that stay incompressible; parts of base spans are left out.
+
+    An unquoted name=value is measured by its value, and its name belongs to the context.
+    """
     found = []
     places = sorted(base)
     reach, ends = 0, []
     for _, end, _ in places:
         reach = max(reach, end)
         ends.append(reach)
+
+    def is_novel(start, end, context):
+        string = text[start:end]
+        if len(string) < SHORTEST or string.isalpha() or not (any(map(str.isdigit, string)) and any(map(str.isalpha, string))):
+            return False
+        if not SENSITIVE.search(text, max(0, context - NEAR), start):
+            return False
+        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+        new = novelty.added(around, string)
+        return new >= NEW_BYTES and new >= NEW_PER_CHAR * len(string)
+
     i = 0
     for m in CANDIDATE.finditer(text):
         string = m[0].rstrip(".=~-")
         start, end = m.start(), m.start() + len(string)
         while i < len(places) and ends[i] <= start:
             i += 1
-        if i < len(places) and places[i][0] < end:
-            continue
-        if string.isalpha() or not (any(map(str.isdigit, string)) and any(map(str.isalpha, string))):
-            continue
-        if not SENSITIVE.search(text, max(0, start - NEAR), start):
-            continue
-        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        new = novelty.added(around, string)
-        if new >= NEW_BYTES and new >= NEW_PER_CHAR * len(string):
-            found.append((start, end, "novel"))
+        j = i
+        while j < len(places) and places[j][0] < end:
+            j += 1
+        at = start + value_start(string)
+        tries = [at]
+        if i == j:  # also with the name, and behind a name with digits
+            tries += [start] if at > start else []
+            cut = string.find("=", at - start) + 1
+            tries += [start + cut] if cut else []
+        for a in tries:
+            free = [(x, y) for x, y in uncovered(a, end, places[i:j]) if any(map(str.isalnum, text[x:y]))]
+            if free and not is_novel(a, end, start):  # a part may be new where the whole is not
+                free = [(x, y) for x, y in free if i < j and is_novel(x, y, start)]
+            if free:
+                found += [(x, y, "novel") for x, y in free]
+                break
     return found
 
 

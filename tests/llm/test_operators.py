@@ -132,6 +132,33 @@ def test_secret_base_patterns_equal_plain_matching():
         assert got == sorted(want)
 
 
+KEY = "wJ4lrXUtnF3MI7K9mDENGbPxR2fiCYqT8hVs5Lz0"
+
+
+@pytest.mark.parametrize(
+    "before, value, after",
+    [
+        ("export AWS_SECRET_ACCESS_KEY=", KEY, "\n"),
+        ("private_key=", KEY, ""),
+        ("https://host.example/page?session_id=", KEY, "&x=1"),
+        ("env --set=SIGNING_NAME_2=", KEY, "=="),
+        ("DB_PASSWORD=short\nAWS_SECRET_ACCESS_KEY=", KEY, "\nREGION=eu"),
+    ],
+)
+def test_secret_of_an_unquoted_assignment(before, value, after):
+    spans = secrets.spans_of((before + value + after).encode(), secrets.Novelty())
+    assert spans == [(len(before), len(before) + len(value), "novel")]
+
+
+def test_secret_that_holds_a_base_span():
+    hexes = "0123456789abcdef" * 2
+    text = f"credential {KEY}X{hexes} end"
+    a = text.index(hexes)
+    assert secrets.spans_of(text.encode(), secrets.Novelty()) == [(11, a, "novel"), (a, a + 32, "hex")]
+    text = f"AWS_SECRET_TOKEN={KEY}"  # the base span covers the value, and the name is none
+    assert secrets.spans_of(text.encode(), secrets.Novelty()) == [(11, len(text), "assign")]
+
+
 # --- near-duplicates ----------------------------------------------------------------------
 
 
