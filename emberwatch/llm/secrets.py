@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,14 +106,12 @@ def value_start(string: str) -> int:
 def novel_spans(text: str, base: list[Span], novelty: Novelty) -> list[Span]:
     """Candidates in a sensitive context that stay incompressible; parts of base spans are left out.
 
-    An unquoted name=value is measured by its value, and its name belongs to the context.
+    An unquoted name=value is measured by its value, and its name belongs to the context.  Copies of
+    a string do not make it known, and a string found new is reported wherever it stands.
     """
-    found = []
+    found, known = [], set()
     places = sorted(base)
-    reach, ends = 0, []
-    for _, end, _ in places:
-        reach = max(reach, end)
-        ends.append(reach)
+    ends = list(accumulate((end for _, end, _ in places), max))
 
     def is_novel(start, end, context):
         string = text[start:end]
@@ -120,9 +119,17 @@ def novel_spans(text: str, base: list[Span], novelty: Novelty) -> list[Span]:
             return False
         if not SENSITIVE.search(text, max(0, context - NEAR), start):
             return False
-        around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        new = novelty.added(around, string)
-        return new >= NEW_BYTES and new >= NEW_PER_CHAR * len(string)
+        if string in known:
+            return True
+        # copies are blanked in a window longer by one string, so that none is cut at its far end
+        blank, far = " " * len(string), AROUND + len(string)
+        before = text[max(0, start - far) : start].replace(string, blank)[-AROUND:]
+        after = text[end : end + far].replace(string, blank)[:AROUND]
+        new = novelty.added(before + after, string)
+        if new >= NEW_BYTES and new >= NEW_PER_CHAR * len(string):
+            known.add(string)
+            return True
+        return False
 
     i = 0
     for m in CANDIDATE.finditer(text):
@@ -146,7 +153,35 @@ def novel_spans(text: str, base: list[Span], novelty: Novelty) -> list[Span]:
             if free:
                 found += [(x, y, "novel") for x, y in free]
                 break
-    return found
+    return with_copies(text, found, known, places) if found else []
+
+
+def with_copies(text: str, found: list[Span], known: set[str], places: list[Span]) -> list[Span]:
+    """The spans and those of further copies of the known strings, without spans inside another one."""
+    heads: dict[str, list[str]] = {}
+    for string in known:
+        heads.setdefault(string[:SHORTEST], []).append(string)
+    copies = []
+    for m in CANDIDATE.finditer(text):
+        run = m[0]
+        for i in range(len(run) - SHORTEST + 1):
+            for string in heads.get(run[i : i + SHORTEST], ()):
+                if run.startswith(string, i):
+                    copies.append((m.start() + i, m.start() + i + len(string)))
+    at, spans = 0, set(found)
+    ends = list(accumulate((end for _, end, _ in places), max))
+    for start, end in sorted(copies):
+        while at < len(places) and ends[at] <= start:
+            at += 1
+        j = at
+        while j < len(places) and places[j][0] < end:
+            j += 1
+        spans |= {(x, y, "novel") for x, y in uncovered(start, end, places[at:j]) if any(map(str.isalnum, text[x:y]))}
+    out: list[Span] = []
+    for span in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or span[1] > out[-1][1]:
+            out.append(span)
+    return out
 
 
 def spans_of(raw: bytes, novelty: Novelty) -> list[Span]:

@@ -159,6 +159,16 @@ def test_secret_that_holds_a_base_span():
     assert secrets.spans_of(text.encode(), secrets.Novelty()) == [(11, len(text), "assign")]
 
 
+@pytest.mark.parametrize("between", [" and ", "\n" + "plain words of the page " * 60 + "\n"])
+def test_secret_that_stands_twice(between):
+    text = f"signing bearer {KEY}{between}x/{KEY}/y token: {KEY}"
+    places = [m.start() for m in re.finditer(KEY, text)]
+    found = secrets.spans_of(text.encode(), secrets.Novelty())
+    covered = {i for a, b, _ in found for i in range(a, b)}
+    assert len(places) == 3 and all(set(range(p, p + len(KEY))) <= covered for p in places)
+    assert KEY not in "".join(c for i, c in enumerate(text) if i not in covered)
+
+
 # --- near-duplicates ----------------------------------------------------------------------
 
 
