@@ -289,6 +289,17 @@ def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rows.join(many.select("band"), "band"), "members")
 
 
+def members(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: ``id``, ``text_key``, ``n`` and ``component``, the name of its group; null without words."""
+    rows = written(signatures(docs, key, text), "signatures")
+    with_bands = rows.where("bands is not null")
+    classes = with_bands.groupBy("class").agg(F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("planes").alias("planes"), F.min("text_key").alias("text_key"))
+    classes = written(classes, "classes")
+    labels = written(components(links(classes, docs, text)), "components").withColumnRenamed("node", "class")
+    found = rows.select("id", "text_key", "n", "class").join(labels, "class", "left")
+    return found.withColumn("component", F.coalesce("component", "class"))
+
+
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, ``n_shingles``, ``component_id`` (smallest key reachable), ``kept``, and ``text_key``.
 
@@ -296,17 +307,11 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     shingles and stand alone.  A null key counts as larger than any; a group of null keys has a null
     component and is kept.  Rows that repeat a key keep one result each.
     """
-    rows = written(signatures(docs, key, text), "signatures")
-    with_bands = rows.where("bands is not null")
-    classes = with_bands.groupBy("class").agg(F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("planes").alias("planes"), F.min("text_key").alias("text_key"))
-    classes = written(classes, "classes")
-    labels = written(components(links(classes, docs, text)), "components").withColumnRenamed("node", "class")
-    members = rows.select("id", "text_key", "n", "class").join(labels, "class", "left")
-    members = members.withColumn("component", F.coalesce("component", "class"))
-    smallest = members.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest"))
-    members = members.join(smallest, "component", "left")
+    found = members(docs, key, text)
+    smallest = found.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest"))
+    found = found.join(smallest, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("smallest"))
-    return members.select(
+    return found.select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -318,11 +323,13 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document row, all columns, of every group; documents without words all stay.
 
-    Of rows that repeat the kept key within a group, the one with the smallest text hash stays.
+    The row with the smallest key stays, a null key counting as larger than any; of rows that repeat
+    it within a group, the one with the smallest text hash.  Groups are told apart by their own name,
+    so neither null keys nor a key shared by different texts joins them.
     """
-    found = grouped(docs, key, text)
-    kept = found.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min("text_key").alias("_text_key"))
-    kept = written(kept.withColumnRenamed("component_id", "_key"), "kept")
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("_key"), F.col("text_key").alias("_text_key"))
+    kept = members(docs, key, text).where("component is not null").groupBy("component").agg(F.min(order).alias("best"))
+    kept = written(kept.select("best._key", "best._text_key"), "kept")
     text_key = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     blank = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike("[^ \\t-\\r]")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

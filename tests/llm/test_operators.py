@@ -221,6 +221,14 @@ def test_near_duplicates_on_odd_rows(spark, odd, none):
     assert minhash.grouped(none).count() == 0 and minhash.deduplicated(none).count() == 0
 
 
+def test_near_duplicates_with_null_and_shared_keys(spark):
+    """Unrelated texts without a key, or under one key, are groups of their own."""
+    unlike = [" ".join(f"{w}{i}" for i in range(20)) for w in ("red", "green", "blue", "grey")]
+    table = [(None, unlike[0]), (None, unlike[0]), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (8, unlike[3]), (None, unlike[3]), (None, " ")]
+    out = minhash.deduplicated(spark.createDataFrame(table, "doc_id long, text string"))
+    assert rows(out, "doc_id", "text") == sorted([(None, unlike[0]), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (None, " ")], key=str)
+
+
 # --- licenses -----------------------------------------------------------------------------
 
 
