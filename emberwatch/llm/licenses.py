@@ -1,8 +1,9 @@
 """License mentions by ordered signature rules, with built-in Spark functions only.
 
 A text becomes its lower-case words between single blanks, so rules are plain word patterns.  Each
-rule has a keyword that its matches contain; one cheap pattern over all keywords passes most texts
-by, and a rule's own pattern runs only where its keyword occurs.  Matches become spans of words.
+rule has a keyword that all its matches contain, once "licence" is spelt "license"; a test on words of
+all keywords passes most texts by, and a rule's own pattern runs only where its keyword occurs.
+Matches become spans of words.
 Rules are ordered by priority: a span inside another one of equal or better priority is dropped.
 Every step stays within its row, so nothing is shuffled.
 """
@@ -140,7 +141,7 @@ def _families() -> list[tuple[str, int, str, str]]:
         ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software"),
         ("0bsd", "zero clause bsd", r"zero clause bsd"),
         ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice"),
-        ("zlib", "zlib license", r"zlib(?: libpng)? licen[sc]e"),
+        ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e"),
         ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
         ("unlicense", "unlicense", r"(?:the )?unlicense"),
         ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
@@ -159,8 +160,8 @@ def _families() -> list[tuple[str, int, str, str]]:
     for label, keyword, pattern in texts:
         add(label, EXACT, keyword, pattern)
     for label, keyword, pattern in [
-        ("bsd", "bsd license", r"bsd(?: style)? licen[sc]e"),
-        ("mit", "mit style", r"mit (?:style|like) licen[sc]e"),
+        ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
+        ("mit", "license", r"mit (?:style|like) licen[sc]e"),
         ("public-domain", "public domain", r"(?:in|into|to) the public domain"),
     ]:
         add(label, NAMED, keyword, pattern)
@@ -168,14 +169,14 @@ def _families() -> list[tuple[str, int, str, str]]:
     # General notices.
     for label, keyword, pattern in [
         ("licensed", "licensed under", r"(?:dual )?licen[sc]ed under"),
-        ("licensed", "released under", r"(?:released|distributed|published|available) under the(?: \S+){1,8}? licen[sc]e"),
+        ("licensed", "license", r"(?:released|distributed|published|available) under the(?: \S+){1,8}? licen[sc]e"),
         ("licensed", "license agreement", r"(?:end user )?licen[sc]e agreement"),
         ("copyright", "copyright", r"copyright(?: c)?(?: by)?(?: \d{4})+"),
         ("copyright", "copyright", r"copyright c"),
         ("proprietary", "proprietary", r"proprietary and confidential"),
         ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use)"),
         ("reserved", "rights reserved", r"(?:all|some|no) rights reserved"),
-        ("warranty", "without warranty", r"without (?:any )?warranty"),
+        ("warranty", "warranty", r"without (?:any )?warranty"),
         ("warranty", "provided", r"provided (?:as is|by the copyright holders)"),
         ("open-source", "open source license", r"open source licen[sc]e"),
         ("spdx", "spdx", r"spdx licen[sc]e identifier(?: \S+){1,3}"),
@@ -209,11 +210,12 @@ def _gate_words() -> list[str]:
     """One word of every keyword and base phrase; a text with none of them has no match.
 
     Patterns consist of whole words, so a keyword's longest unusual word stands in the text as a word,
-    except for the first parts of words that may be written as one.
+    except for the first parts of words that may be written as one, and in either spelling of a license.
     """
     usual = {"by", "the", "in", "is", "not", "as", "or"}
     words = {max(reversed(k.split()), key=lambda w: (w not in usual, len(w))) for k in [k for _, _, k, _ in RULES] + [p for p, _ in BASE]}
-    return sorted(words | {"beerware", "openrail"})
+    words |= {"beerware", "openrail"}
+    return sorted(words | {w.replace("license", "licence") for w in words})
 
 
 def _spans(words: F.Column, rule: F.Column) -> F.Column:
@@ -280,7 +282,9 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
     words = F.col("_words")
     pieces = [F.when(F.contains(words, F.lit(f" {p} ")), F.split(words, f" {p}(?= )", -1)).alias(f"_base{i}") for i, (p, _) in enumerate(BASE)]
-    hits = F.flatten(F.transform(F.filter(_rules(), lambda r: F.contains(words, r["keyword"])), lambda r: _spans(words, r)))
+    one_spelling = F.col("_one_spelling")
+    rows = rows.withColumn("_one_spelling", F.replace(words, F.lit("licence"), F.lit("license")))
+    hits = F.flatten(F.transform(F.filter(_rules(), lambda r: F.contains(one_spelling, r["keyword"])), lambda r: _spans(words, r)))
     rows = rows.select("_key", "n_words", *pieces, F.when(words.isNotNull(), hits).alias("_hits"))
     base = [F.col(f"_base{i}") for i in range(len(BASE))]
     firsts = [_blanks(F.element_at(b, 1)) for b in base]

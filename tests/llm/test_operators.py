@@ -261,6 +261,53 @@ def test_license_rules_with_repeats(spark):
     assert row["n_base"] == 3000 and row["last_word"] == 5998 and {"cc-by", "mit"} <= set(row["labels"])
 
 
+def alternatives(pattern):
+    """Strings that the pattern matches: every alternative, option and character class taken at least once."""
+    from re import _parser
+
+    def join(parts):  # the first of each, and every other one beside the first of the rest
+        first = "".join(p[0] for p in parts)
+        return [first] + ["".join(q[0] for q in parts[:i]) + x + "".join(q[0] for q in parts[i + 1 :]) for i, p in enumerate(parts) for x in p[1:]]
+
+    def of(tree):
+        parts = []
+        for kind, value in tree:
+            kind = str(kind)
+            if kind == "LITERAL":
+                parts.append([chr(value)])
+            elif kind == "IN":
+                chars = [chr(v) if str(k) == "LITERAL" else {"CATEGORY_NOT_SPACE": "x", "CATEGORY_DIGIT": "2"}[str(v)] for k, v in value]
+                parts.append(chars)
+            elif kind == "SUBPATTERN":
+                parts.append(of(value[3]))
+            elif kind == "BRANCH":
+                parts.append([x for b in value[1] for x in of(b)])
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, _, inner = value
+                inner = of(inner)
+                parts.append([x * max(low, 1) for x in inner] + ([""] if low == 0 else []))
+            else:
+                assert kind == "ASSERT_NOT", kind
+        return join(parts)
+
+    return [x for x in dict.fromkeys(of(_parser.parse(pattern))) if re.fullmatch(pattern, x)]
+
+
+def test_license_gates_lose_no_match(spark, monkeypatch):
+    """With and without the gates the spans agree on a string for every alternative of every rule."""
+    made = [x for _, _, _, pattern in licenses.RULES for x in alternatives(pattern)]
+    assert all(alternatives(pattern) for _, _, _, pattern in licenses.RULES)
+    for word in ("without any warranty", "distributed under the x license", "bsd style licence", "mit like license", "zlib libpng license"):
+        assert word in made
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(made))], "doc_id long, text string").repartition(8)
+    gated = rows(licenses.scanned(df), "doc_id", "labels", "spans", "score")
+    monkeypatch.setattr(licenses, "RULES", [(label, priority, "", pattern) for label, priority, _, pattern in licenses.RULES])
+    words = sorted({w for x in made for w in x.split()})
+    monkeypatch.setattr(licenses, "_gate_words", lambda: words)
+    assert gated == rows(licenses.scanned(df), "doc_id", "labels", "spans", "score")
+    assert all(spans for _, _, spans, _ in gated)
+
+
 # --- suffix de-duplication ------------------------------------------------------------------
 
 
