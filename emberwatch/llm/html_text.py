@@ -41,8 +41,16 @@ _NAMES = (
     "searchbox|skip|copyright|legal|complementary|contentinfo"
 )
 UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?=$|[\s_-])", re.I)
+#: Class words that say what stands beside an element, not what it is.
+MODIFIER = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]", re.I)
+#: Ids of a furniture word, or of such words and a general one; other ids are slugs of a title.
+FURNITURE_ID = re.compile(
+    rf"(?:(?:{_NAMES})(?:[_-](?:{_NAMES}|list|box|bar|section|container|wrapper|buttons?|links?|area|block|panel|form|posts|articles|\d+))*)\Z", re.I
+)
+#: Names of parts that hold other people's texts or other articles, however long they are.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|disqus|related|recommended)(?=$|[\s_-])", re.I)
 SITE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head)(?=$|[\s_-])", re.I)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*(?:>|\Z)""", re.S
@@ -53,6 +61,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG, STOPS, LINKS = 40, 120, 0.08, 0.33
 #: A page whose article part holds at least this share of its free text is read from that part alone.
 BODY_SHARE = 0.25
+#: A name does not drop an element with at least this share of the page's text.
+MOST = 0.5
 
 
 class Block:
@@ -62,11 +72,24 @@ class Block:
         self.text, self.links, self.inside, self.heading, self.label = text, links, inside, heading, None
 
 
+class Named:
+    """An element whose class, id or role is that of page furniture: dropped unless it holds the article."""
+
+    __slots__ = ("parent", "foreign", "size", "article", "main")
+
+    def __init__(self, parent: int, foreign: bool):
+        self.parent, self.foreign, self.size, self.article, self.main = parent, foreign, 0, False, False
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page outside unwanted elements, in page order."""
-    found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, unwanted, article part
+    found: list[tuple[Block, int]] = []  # with the innermost named element
+    named: list[Named] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # open block elements: name, unwanted, article part, named element around
     unwanted = inside = 0
+    within = -1
+    kept_until: dict[str, int] = {}
+    whole: list[int] = []
     parts: list[str] = []
     links = breaks = 0
     in_link = heading = False
@@ -87,7 +110,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, links, inside > 0, heading))
+                found.append((Block(text, links, inside > 0, heading), within))
         parts, links, breaks, in_link = [], 0, 0, False
 
     while at < size:
@@ -117,10 +140,15 @@ def blocks(page: str) -> list[Block]:
             in_link = not ending
             continue
         if name not in BLOCK:
-            if not ending and name not in VOID and not attributes.endswith("/") and attributes and is_unwanted(name, attributes, inside):
-                # An unwanted inline element: its text goes as a whole.
-                shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = shut.end() if shut else at
+            if not ending and name not in VOID and not attributes.endswith("/") and attributes and at >= kept_until.get(name, 0):
+                hidden = is_unwanted(name, attributes, inside)
+                if hidden or has_furniture_name(name, attributes, inside):
+                    # An unwanted inline element: its text goes as a whole.
+                    shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                    if shut and not hidden and holds_article(page, at, shut.start(), whole):
+                        kept_until[name] = shut.start()
+                    elif shut:
+                        at = shut.end()
             continue
         close()
         if name == "hr":
@@ -128,7 +156,8 @@ def blocks(page: str) -> list[Block]:
         if ending:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    for _, bad, body in stack[depth:]:
+                    within = stack[depth][3]
+                    for _, bad, body, _ in stack[depth:]:
                         unwanted -= bad
                         inside -= body
                     del stack[depth:]
@@ -137,29 +166,89 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in HEADINGS or name == "p":  # never nested: a new one ends the last
             while stack and (stack[-1][0] == "p" or stack[-1][0] in HEADINGS):
-                _, bad, body = stack.pop()
+                _, bad, body, within = stack.pop()
                 unwanted -= bad
                 inside -= body
         heading = name in HEADINGS
         bad, body = is_unwanted(name, attributes, inside), name in BODY
         if not attributes.endswith("/"):
-            stack.append((name, bad, body))
+            stack.append((name, bad, body, within))
+            if not bad and has_furniture_name(name, attributes, inside):
+                named.append(Named(within, any(FOREIGN.search("".join(n[1:])) for n in NAMED.findall(attributes))))
+                within = len(named) - 1
             unwanted += bad
             inside += body
+            if body and not unwanted and within >= 0:
+                named[within].article = True
+                named[within].main |= name == "main"
     close()
-    return found
+    dropped = furniture(named, found)
+    return [b for b, e in found if e < 0 or not dropped[e]]
+
+
+def furniture(named: list[Named], found: list[tuple[Block, int]]) -> list[bool]:
+    """Which named elements go: those that hold neither the article nor most of the page's text.
+
+    Where an article stands outside all of them, only most of the text keeps one, and nothing keeps
+    comments and the like, which may hold articles of their own.
+    """
+    outside = any(b.inside for b, e in found if e < 0)
+    for b, e in found:
+        if e >= 0:
+            named[e].size += len(b.text)
+    for n in reversed(named):
+        if n.parent >= 0:
+            up = named[n.parent]
+            up.size += n.size
+            up.article |= n.article
+            up.main |= n.main
+    total = sum([len(b.text) for b, _ in found])
+    dropped = []
+    for n in named:
+        most = n.size >= MOST * total
+        kept = n.main or (most and not n.foreign if outside else n.article or most)
+        dropped.append(not kept or (n.parent >= 0 and dropped[n.parent]))
+    return dropped
+
+
+def holds_article(page: str, start: int, end: int, whole: list[int]) -> bool:
+    """Whether a stretch of a page opens an article or main, or holds most of the page's text."""
+    def size(text):
+        return len("".join(re.sub(r"<(script|style)\b.*?</\1|<[^>]*>", "", text, flags=re.S | re.I).split()))
+
+    if re.compile(r"<(?:article|main)\b", re.I).search(page, start, end):
+        return True
+    if not whole:
+        whole.append(size(page))
+    return size(page[start:end]) >= MOST * whole[0]
 
 
 def is_unwanted(name: str, attributes: str, inside: int) -> bool:
-    """Whether an element's kind, names or state set its text apart from an article's."""
+    """Whether an element's kind or state sets its text apart from an article's."""
     if name in OUTSIDE_TEXT or (name == "header" and not inside):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    if HIDDEN.search(attributes):
-        return True
-    for names in NAMED.findall(attributes):
+    return bool(HIDDEN.search(attributes))
+
+
+def has_furniture_name(name: str, attributes: str, inside: int) -> bool:
+    """Whether an element's class, id or role is one of page furniture.
+
+    Class words such as has-sidebar name another element.  Ids of an article's headings and paragraphs
+    are free, and those of its other parts, like those of headings and paragraphs elsewhere, count only
+    if they are no slug of a title.
+    """
+    if not attributes or name in ("html", "body", "article", "main"):
+        return False
+    titled = name in HEADINGS or name == "p"
+    for kind, *names in NAMED.findall(attributes):
         value = "".join(names)
+        if kind.lower() == "id" and (inside or titled):
+            if not (inside and titled) and FURNITURE_ID.match(value.strip()):
+                return True
+            continue
+        value = " ".join([w for w in value.split() if not MODIFIER.search(w)])
         if UNWANTED.search(value) or (not inside and SITE_HEAD.search(value)):
             return True
     return False

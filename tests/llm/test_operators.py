@@ -461,6 +461,25 @@ def test_page_rules(page, want):
     assert html_text.main_text(page) == want
 
 
+LINE = "The first part of the text is here and is long enough for it."
+
+
+@pytest.mark.parametrize("names", ["class='site has-sidebar'", "class=no-sidebar", "class='layout-sidebar-right'", "id=with-menu", "class='sidebar page'"])
+@pytest.mark.parametrize("name", ["div", "span"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_page_wrappers_keep_the_article(names, name, inner):
+    page = f"<{name} {names}><{inner}><h1>Title</h1><p>{LINE}</p></{inner}></{name}><div class=sidebar><p>All of the offers of the day.</p></div>"
+    assert html_text.main_text(page) == f"Title\n{LINE}"
+
+
+def test_page_ids_of_an_article():
+    body = f"<h2 id='related-work'>Related work</h2><section id='legal-history'><p>{LINE}</p></section><p id='social-effects'>{LINE}</p>"
+    assert html_text.main_text(f"<article>{body}</article>") == f"Related work\n{LINE}\n{LINE}"
+    rest = f"<section class=comments><article><p>{LINE * 9}</p></article></section><div id=related-posts><p>{LINE}</p></div>"
+    for page in (f"<article>{body}</article>{rest}", f"<article>{body}{rest}</article>"):
+        assert html_text.main_text(page) == f"Related work\n{LINE}\n{LINE}"
+
+
 def test_pages_on_odd_rows(spark):
     pages = [(1, "u", None), (None, None, "<p>The text is here for all of the readers.</p>"), (2, "u", "<a " * 20_000), (3, "u", "<div>" * 20_000 + "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
