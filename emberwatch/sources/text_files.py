@@ -9,8 +9,8 @@ from emberwatch import dictionaries as D
 from emberwatch.functions import blocks, text
 from emberwatch.session import written
 
-#: Columns of a CSV export that are read; exports have about twenty.
-CSV_COLUMNS = 64
+#: Columns of a CSV export that are read unless a header is wider, and the most; exports have about twenty.
+CSV_COLUMNS, MOST_CSV_COLUMNS = 64, 20_480
 LOG_GLOB = "*{" + ",".join(D.SUPPORTED_SUFFIXES) + "}"
 
 
@@ -132,11 +132,11 @@ def _winlog_line(pick) -> Column:
     )
 
 
-def read_winlog_csv(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
-    """Event-log CSV exports, each with its own header → file, file_time, line_id, raw."""
-    names = [f"c{i}" for i in range(CSV_COLUMNS)]
+def _csv_rows(spark: SparkSession, paths, recursive: bool, names: list[str], *more: Column) -> DataFrame:
     df = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
+        spark.read.schema(", ".join(f"{n} string" for n in [*names, *(["_record"] if more else [])]))
+        .option("columnNameOfCorruptRecord", "_record")
+        .option("maxColumns", MOST_CSV_COLUMNS + 1)
         .option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", "*.csv")
         .option("multiLine", "true")
@@ -145,12 +145,26 @@ def read_winlog_csv(spark: SparkSession, paths, recursive: bool = False) -> Data
         .option("encoding", "UTF-8")
         .csv(paths)
     )
-    rows = df.select(
+    return df.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_modification_time").alias("file_time"),
         F.monotonically_increasing_id().alias("_id"),
         F.array(*names).alias("_cells"),
+        *more,
     )
+
+
+def read_winlog_csv(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
+    """Event-log CSV exports, each with its own header → file, file_time, line_id, raw."""
+    # a row that is not as wide as the schema keeps its record, whose commas bound the width from above
+    names = [f"c{i}" for i in range(CSV_COLUMNS)]
+    probe = _csv_rows(spark, paths, recursive, names, F.struct(F.size(F.split("_record", ",")), "c0").alias("_width"))
+    widest = probe.groupBy("file").agg(F.min_by("_width", "_id").alias("_width")).agg(F.max("_width")).first()[0]
+    if widest and widest[0] > CSV_COLUMNS:  # with a cell, as Spark reads no record by itself
+        if widest[0] > MOST_CSV_COLUMNS:
+            raise ValueError(f"a CSV header may have {widest[0]} columns, more than {MOST_CSV_COLUMNS}: an open quote?")
+        names = [f"c{i}" for i in range(widest[0])]
+    rows = _csv_rows(spark, paths, recursive, names)
     # a multi-line CSV file is one split, so its rows are consecutive and the header comes first
     first = rows.groupBy("file").agg(F.min("_id").alias("_base"), F.min_by("_cells", "_id").alias("_header"))
     trimmed = F.transform("_header", lambda c: F.trim(F.ltrim(F.coalesce(c, F.lit("")), F.lit("﻿"))))

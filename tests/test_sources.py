@@ -135,6 +135,15 @@ def test_csv_exports_with_their_own_headers(spark, folder):
     }
 
 
+def test_csv_exports_wider_than_the_usual(spark, folder):
+    """Columns count however far right they stand, behind empty header cells too."""
+    wide = ",".join(["x"] * 70) + "," * 30
+    put(folder, "winlog a.csv", f"{wide},TimeCreated,LevelDisplayName,Id,Message\n{wide},2024-01-01 00:00:00,Error,1,first\n")
+    put(folder, "winlog b.csv", "TimeCreated,LevelDisplayName,Id,Message\n2024-01-02 00:00:00,Error,2,second\n")
+    got = sorted(r["raw"] for r in text_files.read_winlog_csv(spark, folder).collect())
+    assert got == ["2024-01-01 00:00:00 [Error] EventID=1 first", "2024-01-02 00:00:00 [Error] EventID=2 second"]
+
+
 def test_event_xml_keeps_other_data_elements(spark):
     xml = (
         "<Event><System><EventRecordID>7</EventRecordID><EventID>9</EventID><Channel>C</Channel></System>"
