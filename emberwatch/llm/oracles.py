@@ -62,3 +62,78 @@ SELECT s.id AS doc_id, len(s.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT
   sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM split s LEFT JOIN hit h ON h.id = s.id LEFT JOIN items i ON i.id = s.id WHERE s.kind = 'd'
 """
+
+# Targets: sources stop in the order of size by weight; the level is that of the first prefix of
+# stopped sources after which no further one passes its bound.
+MIXTURE = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 AS schedule FROM d GROUP BY source
+), w AS (SELECT *, [5.0, 2.0, 1.0][schedule + 1]::DOUBLE AS weight FROM s),
+levels AS (
+  SELECT ((SELECT sum(source_size) FROM w) - coalesce(sum(3 * source_size) OVER earlier, 0))::DOUBLE
+    / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER earlier, 0)) AS level, weight, source_size
+  FROM w WINDOW earlier AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT w.*, least(w.weight * (SELECT max(level) FROM levels), (3 * w.source_size)::DOUBLE) AS target FROM w
+), streams AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.schedule, t.weight,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), passes AS (
+  SELECT *, list_sum(list_transform([0, 1, 2], lambda p: greatest(least(size, floor(target + 0.5)::BIGINT - (p * source_size + start)), 0)))::BIGINT AS taken,
+    start::DOUBLE / target * weight AS area
+  FROM streams
+)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN size = 0 OR start >= floor(target + 0.5) THEN NULL WHEN area <= 0 THEN 0 WHEN area >= weight THEN 1.0
+    WHEN schedule = 0 THEN 2.0::DOUBLE * area / (7.5::DOUBLE + sqrt(greatest(56.25::DOUBLE + (-10.0)::DOUBLE * area, 0)))
+    WHEN schedule = 1 THEN 2.0::DOUBLE * area / (2.0::DOUBLE + sqrt(greatest(4.0::DOUBLE + 0.0::DOUBLE * area, 0)))
+    ELSE 2.0::DOUBLE * area / (0.5::DOUBLE + sqrt(greatest(0.25::DOUBLE + 2.0::DOUBLE * area, 0))) END AS position
+FROM passes
+"""
+
+# CRC-32 byte by byte over a table made here; two words are near if deleting one letter from the
+# longer, or one at the same place from both, makes them equal.
+SPELLING = """
+WITH RECURSIVE crc(v, b, i) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, b, i + 1 FROM crc WHERE i < 8
+), crc_table AS (SELECT list(v ORDER BY b) AS tab FROM crc WHERE i = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), bytes AS (
+  SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+    lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) AS h
+  FROM bytes, crc_table
+), counts AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY ALL
+), words AS (SELECT word, n FROM counts WHERE length(word) >= 7 AND n >= 2),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near
+), forms AS (
+  SELECT w.word, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near,
+    CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END::BIGINT AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1
+), chains AS (
+  SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT c.word, c.at AS root FROM chains c JOIN forms f ON f.word = c.at WHERE f.form IS NULL
+)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN roots r ON r.word = f.word
+"""

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, oracles, quality, secrets, suffix_dedup, topk, toxicity
+from emberwatch.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    licenses,
+    minhash,
+    mixture,
+    oracles,
+    quality,
+    secrets,
+    spelling,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from emberwatch.llm.common import Query, table
 from emberwatch.session import written
 
@@ -14,6 +28,8 @@ ORACLES: dict[str, str] = {
     "op2_topk": oracles.TOPK,
     "op4_minhash": oracles.MINHASH,
     "op7_decontamination": oracles.DECONTAMINATION,
+    "op12_mixture": oracles.MIXTURE,
+    "op13_spelling": oracles.SPELLING,
 }
 
 
@@ -104,3 +120,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@register
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixture.scheduled(table(spark, sf_dir, "documents"))
+    position = F.try_element_at("places", F.lit(1))["position"]
+    rows = planned.select("doc_id", "size", "source_size", "target", mixture.taken().alias("taken"), position.alias("position"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+@register
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
