@@ -63,6 +63,32 @@ SELECT s.id AS doc_id, len(s.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT
 FROM split s LEFT JOIN hit h ON h.id = s.id LEFT JOIN items i ON i.id = s.id WHERE s.kind = 'd'
 """
 
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, w[i:i + k - 1] AS g, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE len(g) = 1 GROUP BY lang),
+often AS (SELECT * FROM grams WHERE f >= 30),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM often WHERE len(g) > 1) c
+  JOIN often x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN often y ON y.lang = c.lang AND y.g = c.g[c.k + 1:]
+), lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cuts) WHERE place = 1
+), around AS (
+  SELECT lang, g[s:s + m - 1] AS g, max(f) AS f
+  FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS s FROM often, (SELECT unnest([2, 3]) AS m) WHERE len(g) > m) GROUP BY ALL
+), ranked AS (
+  SELECT c.lang, array_to_string(c.g, ' ') AS phrase, c.a, c.l, c.r, c.score,
+    row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, array_to_string(c.g, ' ')) AS rank
+  FROM lowest c LEFT JOIN around x ON x.lang = c.lang AND x.g = c.g WHERE x.f IS NULL OR 100 * x.f < 80 * c.a
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM ranked r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000
+"""
+
 # Targets: sources stop in the order of size by weight; the level is that of the first prefix of
 # stopped sources after which no further one passes its bound.
 MIXTURE = """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.llm import (
     bpe,
+    collocations,
     decontaminate,
     html_text,
     licenses,
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op2_topk": oracles.TOPK,
     "op4_minhash": oracles.MINHASH,
     "op7_decontamination": oracles.DECONTAMINATION,
+    "op11_collocations": oracles.COLLOCATIONS,
     "op12_mixture": oracles.MIXTURE,
     "op13_spelling": oracles.SPELLING,
 }
@@ -122,6 +124,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+@register
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @register
 def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixture.scheduled(table(spark, sf_dir, "documents"))
