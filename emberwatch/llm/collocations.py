@@ -41,7 +41,7 @@ INSIDE_PERCENT = 80
 BEST = 2000
 UNKNOWN = "und"
 #: Layout only: text in one automaton, arcs in a written block, arcs in a range before it is united.
-SHARD_BYTES, BLOCK_ARCS, RANGE_ARCS = 8 << 20, 1 << 16, 1 << 20
+SHARD_BYTES, BLOCK_ARCS, RANGE_ARCS = 8 << 20, 1 << 14, 1 << 20
 
 #: Lower-cases A-Z, ends pieces with a byte that no text holds, and makes tabs blanks.
 _BYTES = bytes(
@@ -86,10 +86,10 @@ def _strings(sequence: list[bytes]) -> list[str]:
     return [w.decode() for w in sequence]
 
 
-def blocks_of(counted: Transducer) -> Iterator[tuple[list[str], int, bytes]]:
+def blocks_of(counted: Transducer, size: int) -> Iterator[tuple[list[str], int, bytes]]:
     parents = counted.parents()
-    for start in range(0, len(counted), BLOCK_ARCS):
-        stop = min(start + BLOCK_ARCS, len(counted))
+    for start in range(0, len(counted), size):
+        stop = min(start + size, len(counted))
         yield _strings(counted.sequence(start, parents)), stop - start, counted.cut(start, stop, parents).packed()
 
 
@@ -105,32 +105,35 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(size: int):
     def out(texts) -> Iterator[pa.RecordBatch]:
-        for first, arcs, blob in blocks_of(phrase_counts(texts)):
+        for first, arcs, blob in blocks_of(phrase_counts(texts), size):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([first], pa.list_(pa.string())), pa.array([arcs], pa.int64()), pa.array([blob], pa.binary())], names=["first", "arcs", "blob"]
             )
 
-    texts, held = {}, 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.as_buffer()
-            for part in _pieces(bytes(raw).translate(_BYTES)) if raw else ():
-                texts.setdefault(lang.encode(), []).append(part)
-                held += len(part)
-                if held >= SHARD_BYTES:
-                    yield from out(texts)
-                    texts, held = {}, 0
-    if held:
-        yield from out(texts)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, held = {}, 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_buffer()
+                for part in _pieces(bytes(raw).translate(_BYTES)) if raw else ():
+                    texts.setdefault(lang.encode(), []).append(part)
+                    held += len(part)
+                    if held >= SHARD_BYTES:
+                        yield from out(texts)
+                        texts, held = {}, 0
+        if held:
+            yield from out(texts)
+
+    return count
 
 
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Sorted blocks of the automata of all texts: first sequence, arcs, the packed block."""
     with_package(docs.sparkSession)
     read = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return read.mapInArrow(_count_batches, BLOCK)
+    return read.mapInArrow(_count_batches(BLOCK_ARCS), BLOCK)
 
 
 def cut_points(blocks: DataFrame) -> list[list[bytes]]:
