@@ -179,9 +179,9 @@ def _unite(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "range": frame["range"].iloc[0],
-            "lang": [s[0].decode() for s in sequences],
+            "lang": pd.Series([s[0].decode() for s in sequences], dtype=object),
             "words": counted.depth[kept].astype(np.int32),
-            "phrase": [b" ".join(s[1:]).decode() for s in sequences],
+            "phrase": pd.Series([b" ".join(s[1:]).decode() for s in sequences], dtype=object),
             "f": counted.weight[kept],
         }
     )
