@@ -13,6 +13,7 @@ from emberwatch.plans import features_queries as FQ
 from emberwatch.plans import sqltext as S
 from emberwatch.plans.registry import query
 from emberwatch.plans.views import cte, over, table, view
+from emberwatch.schemas import struct
 from emberwatch.session import configure, fresh_dir
 from emberwatch.sources import records
 from emberwatch.streaming import jobs
@@ -34,18 +35,75 @@ def drain(spark, df, purpose):
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def grow(lines, folder, name):
+    """Append ``lines`` (file, order, raw) to the files of a folder, each by one task and in order."""
+
+    def append(rows):
+        import os
+        from itertools import groupby
+
+        os.makedirs(folder, exist_ok=True)
+        for file, own in groupby(rows, key=lambda r: r["file"]):
+            with open(f"{folder}/{file}.{name}", "a", encoding="utf-8") as out:
+                out.writelines(r["raw"] + "\n" for r in own)
+
+    lines.select("file", "order", "raw").repartition("file").sortWithinPartitions("file", "order").foreachPartition(append)
+
+
+def tail_growing(spark, lines, folder, name, run):
+    """Run a tailing job while its files grow: started, appended to, appended to and rotated, begun anew."""
+    import os
+
+    folder = folder.removeprefix("file://")
+    part = F.pmod("order", F.lit(4))
+    grow(lines.filter(part == 0), folder, name)
+    run()
+    grow(lines.filter(part == 1), folder, name)
+    run()
+    grow(lines.filter(part == 2), folder, name)
+    for file in sorted(os.listdir(folder)):
+        os.rename(f"{folder}/{file}", f"{folder}/{file}.1")
+    grow(lines.filter(part == 3), folder, name)
+    run()
+
+
 @query(
     "stream_file_tail",
     oracle=cte("log_events") + " SELECT raw, source FROM log_events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'",
 )
 def stream_file_tail(spark, sf_dir):
-    """Log files tailed from a start time on."""
-    base = fresh_dir(spark, "tail-input")
-    view(spark, sf_dir, "log_events").select("raw", "source").write.partitionBy("source").text(base)
-    lines = jobs.tail_text(spark, base, F.lit("2024-01-10").cast("timestamp"))
-    out = drain(spark, lines, "tail")
-    # written folders name the source; files do not
-    return out.select("raw", F.concat(F.lit("svc"), F.regexp_extract("raw", r"app\[\d*(\d)\]", 1)).alias("source"))
+    """One log file per service, tailed from a start time on while all grow and rotate."""
+    base = fresh_dir(spark, "tail")
+    lines = view(spark, sf_dir, "log_events").select(F.col("source").alias("file"), F.col("line_id").alias("order"), "raw")
+
+    def run():
+        tailed = jobs.tail_text(spark, f"{base}/in", F.lit("2024-01-10").cast("timestamp"), pattern="*.log")
+        jobs.to_files(tailed.select("raw", "source"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+
+    tail_growing(spark, lines, f"{base}/in", "log", run)
+    return spark.read.schema("raw string, source string").parquet(f"{base}/out")
+
+
+@query(
+    "stream_linux_events",
+    oracle=cte("log_events")
+    + ", c AS (SELECT *, CASE "
+    + " ".join(f"WHEN {S.any_of(w)} THEN '{c.upper()}'" for c, w in D.REALTIME_KEYWORDS.items())
+    + " ELSE 'INFO' END AS template_id FROM log_events) SELECT raw, concat('app_', regexp_extract(raw, 'app\\[(\\d+)\\]', 1)) AS block_id,"
+    " source, 'host-1' AS source_machine, 'linux' AS os, template_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS collected_at FROM c",
+)
+def stream_linux_events(spark, sf_dir):
+    """Tailed lines in the shape of staged events."""
+    base = fresh_dir(spark, "linux")
+    lines = view(spark, sf_dir, "log_events").select(F.col("source").alias("file"), F.col("line_id").alias("order"), "raw")
+
+    def run():
+        events = jobs.linux_events(jobs.tail_text(spark, f"{base}/in", pattern="*.log"), F.lit("host-1"))
+        jobs.to_files(events, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+
+    tail_growing(spark, lines, f"{base}/in", "log", run)
+    collected = F.date_format("collected_at", "yyyy-MM-dd HH:mm:ss").alias("collected_at")
+    return spark.read.parquet(f"{base}/out").select("raw", "block_id", "source", "source_machine", "os", "template_id", collected)
 
 
 @query(
@@ -54,17 +112,21 @@ def stream_file_tail(spark, sf_dir):
     + " SELECT block_id, priority, num_events FROM scored_blocks WHERE alert_id % 10 <> 0",
 )
 def stream_alert_feed(spark, sf_dir):
-    """Alert lines re-read from a feed folder in which every tenth line is damaged."""
-    base = fresh_dir(spark, "feed-input")
+    """Alert lines of a feed that grows between reads; every tenth line is damaged."""
+    base = fresh_dir(spark, "feed")
     rows = AQ.scored(spark, sf_dir).select(
         "alert_id", F.to_json(F.struct("block_id", "priority", "num_events")).alias("line")
     )
     damaged = F.when(F.col("alert_id") % 10 == 0, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line"))
-    rows.select(damaged.alias("value")).write.text(base)
-    from emberwatch.schemas import struct
+    lines = rows.select(F.concat(F.lit("alerts-"), F.col("alert_id") % 8).alias("file"), F.col("alert_id").alias("order"), damaged.alias("raw"))
+    schema = struct("block_id string, priority string, num_events bigint")
+
+    def run():
+        feed = jobs.tail_json(spark, f"{base}/in", schema, ["block_id"], pattern="*.jsonl")
+        jobs.to_files(feed, f"{base}/out", f"{base}/checkpoint").awaitTermination()
 
-    feed = jobs.tail_json(spark, base, struct("block_id string, priority string, num_events bigint"), ["block_id"])
-    return drain(spark, feed, "feed")
+    tail_growing(spark, lines, f"{base}/in", "jsonl", run)
+    return spark.read.schema(schema).parquet(f"{base}/out")
 
 
 @query(

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from emberwatch.functions import text
+from emberwatch.functions import blocks, text, threats
 from emberwatch.operators import alerts, features, feedback, forest
 from emberwatch.operators.cooldown import cooldown
 from emberwatch.schemas import struct
 from emberwatch.session import written
+from emberwatch.sources import growing_files
 from emberwatch.sources.records import parse_json_lines
 
 COLLECT_INTERVAL = "30 seconds"
-FILES_PER_BATCH = 1000
 
 
 # --- sources --------------------------------------------------------------------------
@@ -31,36 +31,43 @@ def tail_text(
     spark: SparkSession,
     path: str,
     start_at: Column | None = None,
-    files_per_batch: int = FILES_PER_BATCH,
+    start: str = "beginning",
+    pattern: str = "*",
     recursive: bool = True,
 ) -> DataFrame:
-    """New log lines of a folder: raw, source (file stem), event time.
+    """New log lines of a folder whose files grow and rotate: raw, source (file stem), event time.
 
-    The checkpoint is the cursor and a rotated file counts as a new one.  ``start_at``
-    skips history: only events from that time on are passed.
+    The checkpoint is the cursor, by byte for every file.  ``start="end"`` skips what the files hold
+    at the first run; ``start_at`` skips events from before a time.
     """
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .text(path)
-        .select(
-            text.strip("value").alias("raw"),
-            F.regexp_replace(
-                F.substring_index("_metadata.file_path", "/", -1), r"\.[^.]*$", ""
-            ).alias("source"),
-            F.coalesce(text.parse_timestamp("value"), F.col("_metadata.file_modification_time")).alias("ts"),
-        )
-        .filter(F.col("raw") != "")
-    )
+    lines = growing_files.read_stream(spark, path, pattern, start, recursive)
+    lines = lines.select("raw", "source", F.coalesce(text.parse_timestamp("raw"), "modified").alias("ts"))
     return lines if start_at is None else lines.filter(F.col("ts") >= start_at)
 
 
 def tail_json(
-    spark: SparkSession, path: str, schema: T.StructType, required: list[str], files_per_batch: int = FILES_PER_BATCH
+    spark: SparkSession, path: str, schema: T.StructType, required: list[str], start: str = "beginning", pattern: str = "*"
 ) -> DataFrame:
-    """New JSON lines of a folder; malformed lines are skipped."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return parse_json_lines(lines.select("value"), "value", schema, required)
+    """New JSON lines of a folder whose files grow; malformed lines are skipped."""
+    lines = growing_files.read_stream(spark, path, pattern, start)
+    return parse_json_lines(lines.select(F.col("raw").alias("value")), "value", schema, required)
+
+
+def linux_events(lines: DataFrame, machine: Column) -> DataFrame:
+    """Tailed lines as staged events: the category stands for the template, the line id is unknown.
+
+    ``lines`` carries raw, source and ts; ``machine`` names the host that the files belong to.
+    """
+    return lines.select(
+        "raw",
+        blocks.block_by_process(F.col("raw"), F.col("source"), F.col("ts")).alias("block_id"),
+        "source",
+        machine.alias("source_machine"),
+        F.lit("linux").alias("os"),
+        threats.first_category(F.lower("raw")).alias("template_id"),
+        F.lit(None).cast("bigint").alias("line_id"),
+        F.col("ts").alias("collected_at"),
+    )
 
 
 # --- sinks ----------------------------------------------------------------------------

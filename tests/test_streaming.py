@@ -1,11 +1,13 @@
 import json
 import os
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from emberwatch.operators.cooldown import cooldown
 from emberwatch.schemas import struct
+from emberwatch.sources import growing_files
 from emberwatch.streaming import jobs
 from emberwatch.streaming.windows import minute_blocks
 
@@ -35,6 +37,107 @@ def test_tail_resumes_after_restart(spark, folder):
     assert {r["source"] for r in spark.read.parquet(out).collect()} == {"auth", "sys"}
 
 
+def append(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "a") as f:
+        f.write(text)
+
+
+class Tail:
+    """A tailing job that is started anew for every look."""
+
+    def __init__(self, spark, folder, **options):
+        self.spark, self.src, self.folder, self.options = spark, folder + "/in", folder, options
+        os.makedirs(self.src)
+
+    def look(self):
+        lines = growing_files.read_stream(self.spark, self.src, **self.options)
+        jobs.to_files(lines, self.folder + "/out", self.folder + "/mark").awaitTermination()
+        rows = self.spark.read.schema(growing_files.SCHEMA).parquet(self.folder + "/out").collect()
+        return sorted((r["source"], r["raw"]) for r in rows)
+
+
+def test_tail_follows_growth_and_renaming(spark, folder):
+    tail = Tail(spark, folder, pattern="*.log")
+    append(tail.src, "auth.log", "one\n\n  \ntwo\nthr")
+    append(tail.src, "other.txt", "not followed\n")
+    assert tail.look() == [("auth", "one"), ("auth", "two")]  # an unfinished line waits
+    append(tail.src, "auth.log", "ee\nfour\n")
+    assert [r for _, r in tail.look()] == ["four", "one", "three", "two"]
+    # lines added just before the renaming are read under the new name, nothing is read twice
+    append(tail.src, "auth.log", "five\n")
+    os.rename(tail.src + "/auth.log", tail.src + "/auth.log.1")
+    append(tail.src, "auth.log", "six\n")
+    append(tail.src, "new.log", "seven\n")
+    want = ["five", "four", "one", "six", "three", "two"]
+    assert tail.look() == [("auth", r) for r in want] + [("new", "seven")]
+    os.rename(tail.src + "/auth.log.1", tail.src + "/auth.log.2")
+    os.rename(tail.src + "/auth.log", tail.src + "/auth.log.1")
+    assert tail.look() == [("auth", r) for r in want] + [("new", "seven")]
+
+
+def test_tail_follows_copies_and_rewritten_files(spark, folder):
+    tail = Tail(spark, folder, pattern="*.log")
+    append(tail.src, "a.log", "a1\na2\n")
+    append(tail.src, "b.log", "b1 long enough\n")
+    tail.look()
+    # a.log is copied with a line not yet read, then emptied and written on; b.log is replaced by longer text
+    append(tail.src, "a.log", "a3\n")
+    with open(tail.src + "/a.log") as f:
+        append(tail.src, "a.log.1", f.read())
+    for name, text in (("a.log", "a4\n"), ("b.log", "b2 other text\nb3 more\n")):
+        with open(f"{tail.src}/{name}", "w") as f:
+            f.write(text)
+    assert [r for _, r in tail.look()] == ["a1", "a2", "a3", "a4", "b1 long enough", "b2 other text", "b3 more"]
+
+
+def test_tail_starts_at_the_end(spark, folder):
+    tail = Tail(spark, folder, start="end", pattern="*.log")
+    append(tail.src, "auth.log", "history\n")
+    assert tail.look() == []
+    append(tail.src, "auth.log", "now\n")
+    append(tail.src, "late.log", "whole\n")
+    assert tail.look() == [("auth", "now"), ("late", "whole")]
+
+
+def test_tail_splits_files_between_lines(spark, folder):
+    tail = Tail(spark, folder, split_bytes=7)
+    text = "".join(f"{'é' * (i % 9)}{i}\n" for i in range(60)) + "\xff\n"
+    os.makedirs(tail.src + "/sub")
+    with open(tail.src + "/sub/wide.log", "wb") as f:
+        f.write(text.encode("utf-8") + b"\xfe\xff bad\n")
+    got = tail.look()
+    assert len(got) == 62 and [s for s, _ in got] == ["wide"] * 62
+    assert {r for _, r in got} == {f"{'é' * (i % 9)}{i}" for i in range(60)} | {"\xff", "\ufffd\ufffd bad"}
+
+
+def test_polling_goes_on_after_a_restart(spark, folder):
+    """Interval polling: two runs with a trigger interval, stopped in between while the file grows."""
+    src = folder + "/in"
+    append(src, "auth.log", "".join(f"line {i}\n" for i in range(10)))
+
+    def poll(until):
+        lines = growing_files.read_stream(spark, src, pattern="*.log")
+        job = jobs.to_files(lines, folder + "/out", folder + "/mark", processing="1 second")
+        try:
+            for _ in range(60):
+                time.sleep(1)
+                done = sorted(int(r["raw"][5:]) for r in spark.read.schema(growing_files.SCHEMA).parquet(folder + "/out").collect())
+                if len(done) >= until:
+                    return done
+                append(src, "auth.log", f"line {poll.next}\n" if poll.next < until else "")
+                poll.next += poll.next < until
+        finally:
+            job.stop()
+        raise AssertionError(f"{done} after a minute")
+
+    poll.next = 10
+    assert poll(13) == list(range(13))
+    append(src, "auth.log", "line 13\n")
+    poll.next = 14
+    assert poll(16) == list(range(16))
+
+
 SCHEMA = struct("key string, ts timestamp, tie bigint")
 
 
