@@ -45,20 +45,27 @@ def rule_alerts(
         F.sum("num_events").alias("num_events"),
         *[F.sum(c).alias(c) for c in names],
     )
-    level = literal_map({c: p for c, p, _ in rules})
     needed = literal_map({c: n for c, _, n in rules}, value_type="int")
     hits = blocks.unpivot(
         ["block_id", "origin", "last_at", "num_events"], names, "category", "hits"
     )
-    fired = hits.filter(F.col("hits") >= F.element_at(needed, F.col("category"))).withColumn(
-        "priority", F.element_at(level, F.col("category"))
-    )
+    fired = hits.filter(F.col("hits") >= F.element_at(needed, F.col("category")))
+    return alerts_of_rules(fired.withColumn("source_machine", F.col("origin.source_machine")), rules, at)
+
+
+def alerts_of_rules(fired: DataFrame, rules=D.RULES, at: Column | None = None) -> DataFrame:
+    """Alerts of blocks and categories whose hits reached the rule's minimum.
+
+    ``fired``: block_id, source_machine, last_at, num_events, category, hits.
+    """
+    level = literal_map({c: p for c, p, _ in rules})
+    fired = fired.withColumn("priority", F.element_at(level, F.col("category")))
     cve = alerting.cve_for_category(F.array("category"))
     info = fired.withColumn("_cve", F.coalesce(cve, alerting.cve_struct(D.CVE_GENERIC)))
     return info.select(
         (F.col("last_at") if at is None else at).alias("alert_at"),
         "block_id",
-        F.coalesce(F.col("origin.source_machine"), F.lit("unknown")).alias("source_machine"),
+        F.coalesce(F.col("source_machine"), F.lit("unknown")).alias("source_machine"),
         F.lit(0.0).alias("anomaly_score"),
         alerting.default_cvss(F.col("priority")).alias("cvss_score"),
         "num_events",
@@ -114,12 +121,20 @@ def model_alerts(
     seed: DataFrame | None = None,
 ) -> DataFrame:
     """Scored blocks → prioritised, de-duplicated alerts."""
+    return alerts_of_model(cooldown(signed(scored, threshold, scale), "signature", at, seconds, tie, seed), at)
+
+
+def signed(scored: DataFrame, threshold: float = ANOMALY_THRESHOLD, scale: str = "auto") -> DataFrame:
+    """Anomalous blocks with priority and signature, before any cooldown."""
     hits = [c for c in scored.columns if c.endswith("_hits")]
     named = with_priority(scored.filter(F.col("anomaly_score") < threshold), scale)
-    named = named.withColumn("_signature_cats", alerting.categories(hits)).withColumn(
+    return named.withColumn("_signature_cats", alerting.categories(hits)).withColumn(
         "signature", alerting.signature(F.col("_signature_cats"), F.col("anomaly_score"))
     )
-    kept = cooldown(named, "signature", at, seconds, tie, seed)
+
+
+def alerts_of_model(kept: DataFrame, at: str = "alert_at") -> DataFrame:
+    """Alert columns of signed blocks."""
     return kept.select(
         F.col(at).alias("alert_at"),
         "block_id",

@@ -216,7 +216,7 @@ def kept_times(slots: DataFrame, wait: int, chunk_cooldowns: int = CHUNK_COOLDOW
     return marked.unionByName(alone)
 
 
-def _key_name(key: Column) -> Column:
+def key_name(key: Column) -> Column:
     """Text of a key that is never null, so joins on it keep null keys."""
     return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
 
@@ -241,11 +241,11 @@ def cooldown(
     wait = int(round(seconds * 1_000_000))
     named = F.col(key) if isinstance(key, str) else key
     timed = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumns({"_key": _key_name(named), "_t": timed}).filter(F.col("_t").isNotNull())
+    rows = df.withColumns({"_key": key_name(named), "_t": timed}).filter(F.col("_t").isNotNull())
     pairs = rows.select("_key", "_t")
     if seed is not None:
         known = seed.select(
-            _key_name(F.col("key")).alias("_key"),
+            key_name(F.col("key")).alias("_key"),
             F.unix_micros(F.col("last_at").cast("timestamp")).alias("_seed"),
         ).filter(F.col("_seed").isNotNull())
         rows = (

@@ -33,6 +33,7 @@ def measured(df: DataFrame, keywords: dict, groups=GROUPS) -> DataFrame:
     if "origin" in groups:
         threat = F.col("priority_threat") if "priority_threat" in df.columns else F.lit("")
         cols += ["source_machine"] + ([] if "gaps" in groups else ["line_id"])
+        cols += ["ts"] if "ts" in df.columns else []
         extra.append((F.coalesce(threat, F.lit("")) != "").alias("_priority"))
     if "hits" in groups:
         extra += threats.threat_flags(F.col("_lower"), keywords)
@@ -40,9 +41,14 @@ def measured(df: DataFrame, keywords: dict, groups=GROUPS) -> DataFrame:
 
 
 def block_features(
-    df: DataFrame, keywords: dict = D.BATCH_KEYWORDS, groups=GROUPS
+    df: DataFrame, keywords: dict = D.BATCH_KEYWORDS, groups=GROUPS, span: str | None = None
 ) -> DataFrame:
-    """One feature row per block; ``groups`` picks which features are computed."""
+    """One feature row per block; ``groups`` picks which features are computed.
+
+    With ``span`` (such as '1 hour') a block is taken in parts of that length of event time, with
+    ``opened_at`` and ``closed_at``.  On a stream with a watermark every part leaves once, when the
+    watermark has passed its end; both steps then keep sums per template and block, never events.
+    """
     events = measured(df, keywords, groups)
     first = [F.count(F.lit(1)).alias("n")]
     second = [F.sum("n").alias("num_events")]
@@ -117,8 +123,10 @@ def block_features(
         gap = F.col("line_max") - F.col("line_min") + 1 - F.col("_lines")
         tail.append(F.coalesce(gap, F.lit(0)).alias("gap_count"))
     if "origin" in groups:
+        # without line ids the earliest event names the machine
+        order = [F.col("line_id").isNull().alias("unordered"), "line_id", *(["ts"] if "ts" in events.columns else [])]
         first += [
-            F.min(F.struct("line_id", "source_machine")).alias("origin"),
+            F.min(F.struct(*order, "source_machine")).alias("origin"),
             F.count_if("_priority").alias("priority_hits"),
         ]
         second += [F.min("origin").alias("origin"), F.sum("priority_hits").alias("priority_hits")]
@@ -129,7 +137,13 @@ def block_features(
             second.append(F.sum(f"{category}_hits").alias(f"{category}_hits"))
             tail.append(f"{category}_hits")
 
-    out = events.groupBy("block_id", "template_id").agg(*first).groupBy("block_id").agg(*second)
+    part = [] if span is None else [F.window("ts", span).alias("part")]
+    again = [] if span is None else [F.window(F.col("part"), span).alias("part")]
+    if span is not None:
+        second.append(F.max("last_at").alias("last_at"))
+        first.append(F.max("ts").alias("last_at"))
+        tail += [F.col("part.start").alias("opened_at"), F.col("part.end").alias("closed_at"), "last_at"]
+    out = events.groupBy(*part, "block_id", "template_id").agg(*first).groupBy(*again, "block_id").agg(*second)
     if "gaps" in groups:
         out = out.join(distinct_bits(df, "block_id", "line_id", "_lines"), "block_id", "left")
     return out.select(*tail)
@@ -191,14 +205,17 @@ def realtime_block_features(
     keywords: dict = D.REALTIME_KEYWORDS,
     min_events: int = 3,
     fallback_machine: str = "unknown",
+    span: str | None = None,
 ) -> DataFrame:
     """Features of freshly collected blocks: small blocks dropped, time fields zero.
 
+    ``span`` takes blocks in parts of event time, as in ``block_features``.
+
     ``source_machine`` is that of the block's first event; ``priority_hits`` counts
     events with a priority threat.
     """
     groups = ("counts", "lengths", "levels", "shape", "origin", "hits")
-    base = block_features(df, keywords, groups).filter(F.col("num_events") >= min_events)
+    base = block_features(df, keywords, groups, span).filter(F.col("num_events") >= min_events)
     machine = F.coalesce(F.nullif(F.col("source_machine"), F.lit("")), F.lit(fallback_machine))
     hits = [f"{c}_hits" for c in keywords]
     outer = ["block_id", "source_machine", "priority_hits", *hits]

@@ -152,10 +152,7 @@ def stream_minute_blocks(spark, sf_dir):
 def stream_cooldown(spark, sf_dir):
     base = fresh_dir(spark, "cooldown")
     stream = events_stream(spark, sf_dir).select("event_type", "event_id", "ts")
-    job = jobs.cooldown_job(
-        stream, "event_type", "ts", 1800, "event_id", f"{base}/out", f"{base}/state", f"{base}/checkpoint"
-    )
-    job.awaitTermination()
+    jobs.cooldown_job(stream, "event_type", "ts", 1800, "event_id", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_type", "event_id")
 
 
@@ -183,13 +180,24 @@ def stream_dedup(spark, sf_dir):
 def stream_latest_health(spark, sf_dir):
     base = fresh_dir(spark, "health")
     stream = over(events_stream(spark, sf_dir), "health_log")
-    job, state = jobs.latest_health_job(stream, f"{base}/state", f"{base}/checkpoint")
+    job, table = jobs.latest_health_job(stream, f"{base}/out", f"{base}/checkpoint")
     job.awaitTermination()
-    last = job.lastProgress["batchId"]
-    return state.before(last + 1).select("machine", "cpu", "seq")
+    return table.latest().select("machine", "cpu", "seq")
+
+
+def in_order(events, path, parts):
+    """Write events as so many files, one after the other by time, and read them as micro-batches."""
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if low is not None:
+        slot = F.floor((F.unix_micros("ts") - low) * parts / (high - low + 1))
+        for part in range(parts):
+            events.filter(slot == part).coalesce(1).write.mode("append").parquet(path)
+    else:
+        events.write.parquet(path)
+    return events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def score_cycle(spark, sf_dir, source, base):
+def score_cycle(spark, sf_dir, source, base, want):
     """Windows events streamed through features, forest, rules and cooldown."""
     past = FQ.parsed_windows(spark, sf_dir).withColumn("ts", F.lit(None).cast("timestamp"))
     from emberwatch.operators.features import realtime_block_features
@@ -207,8 +215,9 @@ def score_cycle(spark, sf_dir, source, base):
         threat.alias("priority_threat"),
         F.concat(F.lit("win_"), F.col("user_id").cast("string")).alias("block_id"),
     )
-    jobs.score_cycle_job(stream, model, base, f"{base}/checkpoint", threshold=0.1).awaitTermination()
-    return spark.read.parquet(f"{base}/alerts")
+    cycle = jobs.score_cycle_job(stream, model, base, f"{base}/checkpoint", threshold=0.1, span="7 days", want=want)
+    cycle.awaitTermination()
+    return cycle
 
 
 @query(
@@ -226,13 +235,29 @@ def stream_rule_alerts(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     events.repartition(3, F.xxhash64("event_id")).write.parquet(f"{base}/in")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    out = score_cycle(spark, sf_dir, source, base).filter("rule_based")
+    out = score_cycle(spark, sf_dir, source, base, ("rules",)).alerts()
     return out.select("block_id", F.element_at("threat_categories", 1).alias("category"), "priority")
 
 
-@query("stream_score_cycle")
+@query(
+    "stream_score_cycle",
+    oracle=cte("windows_events")
+    + f", flagged AS (SELECT *, concat('win_', user_id) AS block_id, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS opened,"
+    f" {S.event_threat('win_id')} AS threat, {S.level()} AS level, {S.flags(D.REALTIME_KEYWORDS)} FROM windows_events)"
+    " SELECT block_id, strftime(opened, '%Y-%m-%d') AS opened, arg_min(source_machine, record_id) AS source_machine, count(*) AS num_events,"
+    " count(DISTINCT win_id) AS unique_templates, max(length(raw))::INTEGER AS max_msg_len, count(*) FILTER (level = 'ERROR') AS error_count,"
+    f" count(*) FILTER (threat IS NOT NULL) AS priority_hits, {S.hits(D.REALTIME_KEYWORDS)}, true AS scored FROM flagged"
+    " WHERE opened + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM windows_events)"
+    " GROUP BY block_id, opened HAVING count(*) >= 3",
+)
 def stream_score_cycle(spark, sf_dir):
-    return score_cycle(spark, sf_dir, events_stream(spark, sf_dir), fresh_dir(spark, "cycle")).select(
-        "block_id", "source_machine", "priority", "cvss_score", "rule_based",
-        F.array_join("threat_categories", ",").alias("categories"), "vulnerability_name",
+    """The weeks of blocks that the score cycle has closed and scored, over seven micro-batches."""
+    base = fresh_dir(spark, "cycle")
+    source = in_order(table(spark, sf_dir, "events"), f"{base}/in", 7)
+    parts = score_cycle(spark, sf_dir, source, base, ("blocks",)).blocks()
+    counts = ["num_events", "unique_templates", "error_count", "priority_hits", *[f"{c}_hits" for c in D.REALTIME_KEYWORDS]]
+    return parts.select(
+        "block_id", F.date_format("opened_at", "yyyy-MM-dd").alias("opened"), "source_machine",
+        *[F.col(c).cast("bigint") for c in counts], F.col("max_msg_len").cast("int"),
+        F.col("anomaly_score").between(-1.0, 1.0).alias("scored"),
     )

@@ -12,6 +12,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # keyed state lives on disk and is checkpointed by changes, not as whole maps
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # sources written in Python then end a bounded run with the batch that closes what is due
     "spark.sql.streaming.triggerAvailableNowWrapper.enabled": "true",
     # HotSpot does not compile methods above 8000 bytes of bytecode.  Fused stages with
@@ -78,3 +81,26 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = fresh_dir(spark, purpose)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    place, store = _place(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, store = _place(spark, path)
+    return store.exists(place)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this package wrote."""
+    place, store = _place(spark, path)
+    store.delete(place, True)

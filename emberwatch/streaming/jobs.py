@@ -15,11 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberwatch.functions import blocks, text, threats
 from emberwatch.operators import alerts, features, feedback, forest
-from emberwatch.operators.cooldown import cooldown
-from emberwatch.schemas import struct
-from emberwatch.session import written
+from emberwatch.session import exists, listed, removed
 from emberwatch.sources import growing_files
 from emberwatch.sources.records import parse_json_lines
+from emberwatch.streaming import state
 
 COLLECT_INTERVAL = "30 seconds"
 
@@ -86,36 +85,6 @@ def to_files(
     return _trigger(writer.outputMode("append"), processing).start()
 
 
-def each_batch(df: DataFrame, run, checkpoint: str, processing: str | None = None) -> StreamingQuery:
-    writer = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _trigger(writer, processing).start()
-
-
-# --- versioned state ------------------------------------------------------------------
-
-
-class StateTable:
-    """Small keyed state of a foreachBatch job, one Parquet folder per micro-batch.
-
-    A batch reads the newest version below its own id and writes its own, so running the
-    same batch again after a failure gives the same result.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/v{batch:012d}"
-
-    def before(self, batch: int) -> DataFrame:
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(batch - 1))
-
-    def save(self, batch: int, df: DataFrame) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(batch))
-
-
 # --- jobs -----------------------------------------------------------------------------
 
 
@@ -134,62 +103,89 @@ def cooldown_job(
     seconds: float,
     tie: str,
     out: str,
-    state: str,
     checkpoint: str,
     processing: str | None = None,
     retain_seconds: float | None = None,
 ) -> StreamingQuery:
-    """Cooldown across micro-batches: last kept time per key is the state.
+    """Cooldown across micro-batches into files; the last kept time of every key is Spark's state.
 
-    Each micro-batch runs the batch operator, which splits hot keys over time.  With
-    ``retain_seconds`` a key is forgotten once the newest kept time is that much later
-    (at least the cooldown plus the lateness to expect), which bounds the state.
+    ``retain_seconds`` (at least the cooldown plus the lateness to expect) bounds the state.
     """
-    spark = stream.sparkSession
-    table = StateTable(spark, state, struct("key string, last_at timestamp"))
+    return to_files(state.cooled(stream, key, ts, seconds, tie, retain_seconds), out, checkpoint, processing)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        seed = table.before(batch_id)
-        kept = cooldown(batch, key, ts, seconds, tie, seed)
-        folder = f"{out}/batch={batch_id}"
-        kept.write.mode("overwrite").parquet(folder)
-        saved = spark.read.schema(kept.schema).parquet(folder)
-        newest = saved.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("last_at"))
-        table.save(batch_id, last_kept(newest.unionByName(seed), retain_seconds))
 
-    return each_batch(stream, run, checkpoint, processing)
+class Upserts:
+    """The latest row per key of a stream as change files: a batch writes the keys it changed only.
 
+    Every ``every`` batches the files so far become one base and are removed, so their number stays
+    bounded; a batch that is repeated after a failure writes its own folder again.
+    """
 
-def last_kept(times: DataFrame, retain_seconds: float | None = None) -> DataFrame:
-    """Newest time per key, without the keys that fell too far behind."""
-    state = times.groupBy("key").agg(F.max("last_at").alias("last_at"))
-    if retain_seconds is None:
-        return state
-    newest = times.agg(F.unix_micros(F.max("last_at"))).scalar()
-    return state.filter(F.unix_micros("last_at") >= newest - int(retain_seconds * 1_000_000))
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, every: int = 32):
+        self.spark, self.path, self.key, self.every = spark, path, key, every
+        self.names, self.schema = schema.names, T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
 
+    def folders(self) -> list[str]:
+        """The newest finished base and the changes after it, older ones left out."""
+        found = sorted(f for f in listed(self.spark, self.path) if f.startswith(("base=", "change=")))
+        bases = [f for f in found if f.startswith("base=") and exists(self.spark, f"{self.path}/{f}/_SUCCESS")]
+        return [f for f in found if f in bases[-1:] or f.startswith("change=") and (not bases or f[7:] > bases[-1][5:])]
 
-def still_open(events: DataFrame, seconds: float | None, arrived: DataFrame) -> DataFrame:
-    """Events of blocks that just arrived or whose last event is recent enough."""
-    if seconds is None:
-        return events
-    newest = events.agg(F.unix_micros(F.max("ts"))).scalar()
-    last = events.groupBy("block_id").agg(F.unix_micros(F.max("ts")).alias("_last"))
-    recent = last.filter(F.col("_last") >= newest - int(seconds * 1_000_000)).select("block_id")
-    alive = recent.union(arrived.select("block_id")).distinct()
-    return events.join(alive, "block_id", "left_semi").select(*events.columns)
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
+        newest = rows.groupBy(self.key).agg(F.max("_batch").alias("_batch"))
+        return rows.join(newest, [self.key, "_batch"], "left_semi").select(*self.schema.names)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        if number and number % self.every == 0:
+            base = f"base={number - 1:012d}"
+            before = [f for f in self.folders() if f != base and f.split("=")[1] < f"{number:012d}"]
+            if before and base not in self.folders():
+                self._rows(before).write.mode("overwrite").parquet(f"{self.path}/{base}")
+            for folder in listed(self.spark, self.path):
+                if folder != base and folder.startswith(("base=", "change=")) and folder.split("=")[1] < f"{number:012d}":
+                    removed(self.spark, f"{self.path}/{folder}")
+        change = batch.select(*self.names).withColumn("_batch", F.lit(number).cast("bigint"))
+        change.write.mode("overwrite").parquet(f"{self.path}/change={number:012d}")
+
+    def latest(self) -> DataFrame:
+        return self._rows(self.folders()).select(*self.names)
+
+
+def latest_health_job(stream: DataFrame, out: str, checkpoint: str, processing: str | None = None) -> tuple[StreamingQuery, Upserts]:
+    """Keep the newest snapshot per machine: Spark's state holds it, changed machines are written."""
+    latest = feedback.latest_health(stream)
+    table = Upserts(stream.sparkSession, out, latest.schema, "machine")
+    writer = latest.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, processing).start(), table
+
+
+CYCLE = ("blocks", "rules", "model")
 
 
-def latest_health_job(
-    stream: DataFrame, state: str, checkpoint: str, processing: str | None = None
-) -> tuple[StreamingQuery, StateTable]:
-    """Keep the newest snapshot per machine."""
-    table = StateTable(stream.sparkSession, state, stream.schema)
+class ScoreCycle:
+    """The queries of a score cycle and where their results are."""
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        table.save(batch_id, feedback.latest_health(batch.unionByName(table.before(batch_id))))
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.out, self.queries, self.schemas = spark, out, {}, {}
 
-    return each_batch(stream, run, checkpoint, processing), table
+    def awaitTermination(self) -> None:
+        for job in self.queries.values():
+            job.awaitTermination()
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.out}/{name}")
+
+    def blocks(self) -> DataFrame:
+        """Every closed part of a block once, with features and score."""
+        return self._read("blocks")
+
+    def alerts(self) -> DataFrame:
+        """Rule alerts and model alerts, as far as the cycle makes them, enriched."""
+        kinds = [self._read(k) for k in ("rules", "model") if k in self.queries]
+        return alerts.enrich(kinds[0] if len(kinds) == 1 else alerts.union_alerts(*kinds))
 
 
 def score_cycle_job(
@@ -200,50 +196,42 @@ def score_cycle_job(
     threshold: float = alerts.ANOMALY_THRESHOLD,
     min_events: int = 3,
     seconds: float = alerts.RULE_COOLDOWN_SEC,
+    span: str = "1 hour",
+    lateness: str = "10 minutes",
     processing: str | None = None,
     retain_seconds: float | None = None,
-    open_seconds: float | None = None,
-) -> StreamingQuery:
-    """Collect → featurise → score → alert, one cycle per micro-batch.
-
-    ``stream`` carries collected events with block id, template id, machine and time.
-    Rule alerts and model alerts go to one table; both are de-duplicated across batches.
-
-    The events of open blocks are state: a cycle judges every block that got new events as a
-    whole, so alerts do not depend on where micro-batches begin.  ``open_seconds`` closes a
-    block once the newest event is that much later than the block's last one, and bounds the
-    state; without it blocks stay open.
+    want: tuple[str, ...] = CYCLE,
+) -> ScoreCycle:
+    """Collect → featurise → score → alert.
+
+    ``stream`` carries collected events with block id, template id, machine and time.  Three queries
+    work on it, and none depends on where micro-batches begin:
+
+    * blocks are taken in parts of ``span`` of event time; each part is scored once, when the watermark
+      (``lateness`` behind the newest event) passes its end.  State holds sums per template and block of
+      open parts.  Events later than that are left out; events without a time belong to no part.
+    * keyword hits of a block add up over its whole life, and each category is raised as soon as its
+      rule is met, once.  ``retain_seconds`` forgets blocks without new events.
+    * scored parts below ``threshold`` pass the cooldown by signature and become model alerts, at the
+      time of the part's last event.
+
+    Without an interval the queries run one after the other to the end of what is there.  ``want`` picks
+    queries; ``model`` reads what ``blocks`` wrote.
     """
-    spark = stream.sparkSession
-    cooled = StateTable(spark, f"{out}/state/cooldown", struct("key string, last_at timestamp"))
-    fired = StateTable(spark, f"{out}/state/rules", struct("block_id string, category string"))
-    opened = StateTable(spark, f"{out}/state/open", stream.schema)
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{out}/alerts/batch={batch_id}"
-        seen, seed = fired.before(batch_id), cooled.before(batch_id)
-        arrived = written(batch, "cycle-events")
-        opened.save(batch_id, still_open(arrived.unionByName(opened.before(batch_id)), open_seconds, arrived))
-        whole = spark.read.schema(stream.schema).parquet(opened._folder(batch_id))
-        whole = whole.join(arrived.select("block_id").distinct(), "block_id", "left_semi")
-        blocks = features.realtime_block_features(whole, min_events=min_events)
-        times = whole.groupBy("block_id").agg(F.max("ts").alias("alert_at"))
-        # one row per block, written because the cooldown reads it several times
-        scored = written(
-            forest.score(blocks.join(times, "block_id"), model).drop("is_anomaly", "prediction"), "cycle"
-        )
-        from_model = alerts.model_alerts(scored, threshold, seconds, seed=seed)
-        from_rules = alerts.dedup_rules(alerts.rule_alerts(whole), seen)
-        both = alerts.enrich(alerts.union_alerts(from_rules, from_model))
-        both.write.mode("overwrite").parquet(folder)
-        saved = spark.read.schema(both.schema).parquet(folder)
-        new_rules = saved.filter("rule_based").select(
-            "block_id", F.element_at("threat_categories", 1).alias("category")
-        )
-        fired.save(batch_id, seen.unionByName(new_rules).distinct())
-        newest = saved.filter(~F.col("rule_based")).select(
-            F.col("signature").alias("key"), F.col("alert_at").alias("last_at")
-        )
-        cooled.save(batch_id, last_kept(newest.unionByName(seed), retain_seconds))
-
-    return each_batch(stream, run, checkpoint, processing)
+    spark, cycle = stream.sparkSession, ScoreCycle(stream.sparkSession, out)
+
+    def start(name: str, rows: DataFrame) -> None:
+        cycle.schemas[name] = rows.schema
+        if name in want:
+            cycle.queries[name] = to_files(rows, f"{out}/{name}", f"{checkpoint}/{name}", processing)
+            if processing is None:
+                cycle.queries[name].awaitTermination()
+
+    start("rules", alerts.alerts_of_rules(state.fired_rules(stream, retain_seconds=retain_seconds)))
+    parts = features.realtime_block_features(stream.withWatermark("ts", lateness), min_events=min_events, span=span)
+    start("blocks", forest.score(parts, model).drop("is_anomaly", "prediction").withColumnRenamed("last_at", "alert_at"))
+    if "model" in want:
+        closed = spark.readStream.schema(cycle.schemas["blocks"]).parquet(f"{out}/blocks")
+        kept = state.cooled(alerts.signed(closed, threshold), "signature", "alert_at", seconds, "block_id", retain_seconds)
+        start("model", alerts.alerts_of_model(kept))
+    return cycle

@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from emberwatch import dictionaries as D
+from emberwatch.operators import alerts, features, forest, preparation
 from emberwatch.operators.cooldown import cooldown
 from emberwatch.schemas import struct
 from emberwatch.sources import growing_files
@@ -145,22 +147,34 @@ def feed(folder, name, rows):
     put(folder, name, [json.dumps({"key": k, "ts": t.isoformat() + "Z", "tie": i}) for k, t, i in rows])
 
 
+def file_stream(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
+
+
 def test_cooldown_over_batches_equals_batch(spark, folder):
+    """Three restarts; null keys, times and ties, and ties beyond 2^53, come out as in the batch operator."""
     src = folder + "/in"
-    rows = [("k" + str(i % 3), T0 + timedelta(seconds=17 * i), i) for i in range(60)]
+    rows = [(None if i % 7 == 0 else "k" + str(i % 3), T0 + timedelta(seconds=17 * i), None if i % 5 == 0 else i + 2**53) for i in range(60)]
+    untimed = [("k1", None, i) for i in (1, 2)]
     for part in range(3):
-        feed(src, f"p{part}.json", rows[20 * part : 20 * part + 20])
-        stream = jobs.tail_json(spark, src, SCHEMA, ["key"])
-        jobs.cooldown_job(stream, "key", "ts", 60, "tie", folder + "/out", folder + "/state", folder + "/mark").awaitTermination()
-    got = sorted(r["tie"] for r in spark.read.parquet(folder + "/out").collect())
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert got == sorted(r["tie"] for r in cooldown(df, "key", "ts", 60, "tie").collect())
-
-
-def test_state_forgets_old_keys(spark):
-    df = spark.createDataFrame([("a", T0), ("b", T0 + timedelta(seconds=500)), ("a", T0 + timedelta(seconds=5))], "key string, last_at timestamp")
-    assert jobs.last_kept(df).count() == 2
-    assert [r["key"] for r in jobs.last_kept(df, 100).collect()] == ["b"]
+        put(src, f"p{part}.json", [json.dumps({"key": k, "ts": t.isoformat() + "Z", "tie": i}) for k, t, i in rows[20 * part : 20 * part + 20]])
+        if part == 1:
+            put(src, "untimed.json", [json.dumps({"key": k, "tie": i}) for k, _, i in untimed])
+        jobs.cooldown_job(file_stream(spark, src, SCHEMA), "key", "ts", 60, "tie", folder + "/out", folder + "/mark").awaitTermination()
+    df = spark.createDataFrame(rows + untimed, SCHEMA)
+    assert sorted(map(str, spark.read.parquet(folder + "/out").collect())) == sorted(map(str, cooldown(df, "key", "ts", 60, "tie").collect()))
+
+
+def test_cooldown_state_stays_flat(spark, folder):
+    """New keys in every micro-batch, old ones forgotten by their timers."""
+    for part in range(24):
+        feed(folder + "/in", f"p{part:02d}.json", [(f"k{part}-{i}", T0 + timedelta(minutes=10 * part, seconds=i), i) for i in range(20)])
+        os.utime(f"{folder}/in/p{part:02d}.json", (1_700_000_000 + part,) * 2)
+    job = jobs.cooldown_job(file_stream(spark, folder + "/in", SCHEMA), "key", "ts", 60, "tie", folder + "/out", folder + "/mark", retain_seconds=1200)
+    job.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
+    # a key has its last time and a timer; without timers the last batch would hold 24 * 20 keys
+    assert len(sizes) >= 24 and max(sizes[8:]) <= max(sizes[:8]) and spark.read.parquet(folder + "/out").count() == 480
 
 
 def test_dedup_remembers_across_batches(spark, folder):
@@ -187,12 +201,67 @@ def test_late_events_join_their_minute_once(spark, folder):
     assert got == {"00:00:00": 2, "00:01:00": 1, "00:06:00": 1}
 
 
-def test_latest_health(spark, folder):
+def test_latest_health_writes_changes_and_compacts(spark, folder):
     schema = struct("machine string, cpu double, updated_at timestamp, seq bigint")
-    for part, cpu in enumerate([1.0, 2.0]):
-        rows = [{"machine": m, "cpu": cpu, "updated_at": (T0 + timedelta(part)).isoformat() + "Z", "seq": part} for m in ("PC1", f"pc{part + 5}")]
+    for part in range(7):
+        rows = [{"machine": m, "cpu": float(part), "updated_at": (T0 + timedelta(part)).isoformat() + "Z", "seq": part} for m in ("PC1", f"pc{part + 5}")]
+        rows.append({"machine": "pc1", "cpu": -1.0, "updated_at": T0.isoformat() + "Z", "seq": -part})
         put(folder + "/in", f"p{part}.json", [json.dumps(r) for r in rows])
-        job, state = jobs.latest_health_job(jobs.tail_json(spark, folder + "/in", schema, []), folder + "/state", folder + "/mark")
-        job.awaitTermination()
-    got = {r["machine"]: r["cpu"] for r in state.before(2).collect()}
-    assert got == {"pc1": 2.0, "pc5": 1.0, "pc6": 2.0}
+        os.utime(f"{folder}/in/p{part}.json", (1_700_000_000 + part,) * 2)
+    job, table = jobs.latest_health_job(file_stream(spark, folder + "/in", schema), folder + "/out", folder + "/mark")
+    job.awaitTermination()
+    want = {"pc1": 6.0} | {f"pc{p + 5}": float(p) for p in range(7)}
+    assert {r["machine"]: r["cpu"] for r in table.latest().collect()} == want
+    # a batch wrote the two machines it changed; a base takes the place of the changes before it
+    assert {r["machine"] for r in spark.read.parquet(f"{folder}/out/change={3:012d}").collect()} == {"pc1", "pc8"}
+    table.every = 7
+    empty = spark.createDataFrame([], table.latest().schema)
+    for again in range(2):  # a batch repeated after a failure
+        table.write(empty, 7)
+        assert table.folders() == [f"base={6:012d}", f"change={7:012d}"]
+        assert {r["machine"]: r["cpu"] for r in table.latest().collect()} == want
+
+
+EVENT = struct("block_id string, template_id string, source_machine string, line_id bigint, ts timestamp, raw string, priority_threat string")
+
+
+def test_score_cycle_does_not_depend_on_batches(spark, folder):
+    """Parts of blocks equal the batch features, rules fire once, model alerts pass the cooldown."""
+    words = ["failed password for root", "ERROR connection refused", "privilege change for admin", "all fine", "scheduled task created"]
+    rows = []
+    for i in range(240):
+        at = T0 + timedelta(minutes=2 * i)
+        rows.append((None if i % 11 == 0 else f"b{i % 4}", f"t{i % 5}", f"m{i % 3}" if i % 13 else None, None if i % 2 else i, at, f"{words[i % 5]} {i}", "x" if i % 17 == 0 else None))
+    names = EVENT.names
+
+    def stream(parts):
+        src = f"{folder}/in{parts}"
+        for part in range(parts):
+            own = rows[part * len(rows) // parts : (part + 1) * len(rows) // parts]
+            put(src, f"p{part}.json", [json.dumps(dict(zip(names, r)) | {"ts": r[4].isoformat() + "Z"}) for r in own])
+            os.utime(f"{src}/p{part}.json", (1_700_000_000 + part,) * 2)
+        return file_stream(spark, src, EVENT)
+
+    events = spark.createDataFrame(rows, EVENT)
+    whole = features.realtime_block_features(events, min_events=3, span="1 hour")
+    model = forest.fit(preparation.zero_fill(whole, D.MODEL_FEATURES), D.MODEL_FEATURES, trees=20, contamination=0.2)
+    newest = max(r[4] for r in rows)
+    due = whole.filter(F.col("closed_at") <= F.lit(newest - timedelta(minutes=10)))
+    want = forest.score(due, model).drop("is_anomaly", "prediction").withColumnRenamed("last_at", "alert_at")
+
+    def told(df, *columns):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.select(*columns).collect())
+
+    rules = None
+    for parts in (1, 5):
+        out = f"{folder}/out{parts}"
+        cycle = jobs.score_cycle_job(stream(parts), model, out, f"{out}/mark", threshold=0.0, seconds=3600)
+        cycle.awaitTermination()
+        assert told(cycle.blocks(), *want.columns) == told(want, *want.columns) and cycle.blocks().count() > 20
+        found = cycle.alerts()
+        kept = alerts.model_alerts(want, threshold=0.0, seconds=3600)
+        columns = ["block_id", "alert_at", "priority", "anomaly_score", "num_events"]
+        assert told(found.filter("not rule_based"), *columns) == told(kept, *columns) and kept.count() > 0
+        pairs = told(found.filter("rule_based"), "block_id", F.element_at("threat_categories", 1), "priority")
+        rules = rules or told(alerts.rule_alerts(events), "block_id", F.element_at("threat_categories", 1), "priority")
+        assert pairs == rules and len(pairs) > 5
