@@ -3,12 +3,14 @@ import os
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
 from emberwatch.operators import alerts, features, forest, preparation
 from emberwatch.operators.cooldown import cooldown
 from emberwatch.schemas import struct
+from emberwatch.session import written
 from emberwatch.sources import growing_files
 from emberwatch.streaming import jobs
 from emberwatch.streaming.windows import minute_blocks
@@ -165,16 +167,25 @@ def test_cooldown_over_batches_equals_batch(spark, folder):
     assert sorted(map(str, spark.read.parquet(folder + "/out").collect())) == sorted(map(str, cooldown(df, "key", "ts", 60, "tie").collect()))
 
 
-def test_cooldown_state_stays_flat(spark, folder):
+@pytest.fixture
+def one_partition(spark):
+    """State of a stream keeps the number of partitions it began with; few make small batches quick."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_cooldown_state_stays_flat(spark, folder, one_partition):
     """New keys in every micro-batch, old ones forgotten by their timers."""
-    for part in range(24):
+    for part in range(10):
         feed(folder + "/in", f"p{part:02d}.json", [(f"k{part}-{i}", T0 + timedelta(minutes=10 * part, seconds=i), i) for i in range(20)])
         os.utime(f"{folder}/in/p{part:02d}.json", (1_700_000_000 + part,) * 2)
     job = jobs.cooldown_job(file_stream(spark, folder + "/in", SCHEMA), "key", "ts", 60, "tie", folder + "/out", folder + "/mark", retain_seconds=1200)
     job.awaitTermination()
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
-    # a key has its last time and a timer; without timers the last batch would hold 24 * 20 keys
-    assert len(sizes) >= 24 and max(sizes[8:]) <= max(sizes[:8]) and spark.read.parquet(folder + "/out").count() == 480
+    # a key has its last time and a timer; without timers the last batch would hold 10 * 20 keys
+    assert len(sizes) >= 10 and max(sizes[6:]) <= max(sizes[:6]) and spark.read.parquet(folder + "/out").count() == 200
 
 
 def test_dedup_remembers_across_batches(spark, folder):
@@ -225,7 +236,7 @@ def test_latest_health_writes_changes_and_compacts(spark, folder):
 EVENT = struct("block_id string, template_id string, source_machine string, line_id bigint, ts timestamp, raw string, priority_threat string")
 
 
-def test_score_cycle_does_not_depend_on_batches(spark, folder):
+def test_score_cycle_does_not_depend_on_batches(spark, folder, one_partition):
     """Parts of blocks equal the batch features, rules fire once, model alerts pass the cooldown."""
     words = ["failed password for root", "ERROR connection refused", "privilege change for admin", "all fine", "scheduled task created"]
     rows = []
@@ -242,26 +253,24 @@ def test_score_cycle_does_not_depend_on_batches(spark, folder):
             os.utime(f"{src}/p{part}.json", (1_700_000_000 + part,) * 2)
         return file_stream(spark, src, EVENT)
 
-    events = spark.createDataFrame(rows, EVENT)
-    whole = features.realtime_block_features(events, min_events=3, span="1 hour")
-    model = forest.fit(preparation.zero_fill(whole, D.MODEL_FEATURES), D.MODEL_FEATURES, trees=20, contamination=0.2)
+    events = written(spark.createDataFrame(rows, EVENT), "events")
+    whole = written(features.realtime_block_features(events, min_events=3, span="1 hour"), "parts")
+    model = forest.fit(preparation.zero_fill(whole, D.MODEL_FEATURES), D.MODEL_FEATURES, trees=10, contamination=0.2)
     newest = max(r[4] for r in rows)
     due = whole.filter(F.col("closed_at") <= F.lit(newest - timedelta(minutes=10)))
-    want = forest.score(due, model).drop("is_anomaly", "prediction").withColumnRenamed("last_at", "alert_at")
+    want = written(forest.score(due, model).drop("is_anomaly", "prediction").withColumnRenamed("last_at", "alert_at"), "scored")
 
     def told(df, *columns):
         return sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.select(*columns).collect())
 
-    rules = None
-    for parts in (1, 5):
-        out = f"{folder}/out{parts}"
-        cycle = jobs.score_cycle_job(stream(parts), model, out, f"{out}/mark", threshold=0.0, seconds=3600)
-        cycle.awaitTermination()
-        assert told(cycle.blocks(), *want.columns) == told(want, *want.columns) and cycle.blocks().count() > 20
-        found = cycle.alerts()
-        kept = alerts.model_alerts(want, threshold=0.0, seconds=3600)
-        columns = ["block_id", "alert_at", "priority", "anomaly_score", "num_events"]
-        assert told(found.filter("not rule_based"), *columns) == told(kept, *columns) and kept.count() > 0
-        pairs = told(found.filter("rule_based"), "block_id", F.element_at("threat_categories", 1), "priority")
-        rules = rules or told(alerts.rule_alerts(events), "block_id", F.element_at("threat_categories", 1), "priority")
-        assert pairs == rules and len(pairs) > 5
+    out = f"{folder}/out"
+    cycle = jobs.score_cycle_job(stream(3), model, out, f"{out}/mark", threshold=0.0, seconds=3600)
+    cycle.awaitTermination()
+    assert told(cycle.blocks(), *want.columns) == told(want, *want.columns) and want.count() > 20
+    found = written(cycle.alerts(), "alerts")
+    columns = ["block_id", "alert_at", "priority", "anomaly_score", "num_events"]
+    kept = told(alerts.model_alerts(want, threshold=0.0, seconds=3600), *columns)
+    assert told(found.filter("not rule_based"), *columns) == kept and kept
+    pair = ["block_id", F.element_at("threat_categories", 1), "priority"]
+    rules = told(alerts.rule_alerts(events), *pair)
+    assert told(found.filter("rule_based"), *pair) == rules and len(rules) > 5
