@@ -21,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from emberwatch.llm.common import keyed_text
+from emberwatch.llm.common import keyed_text, map_keyed
 
 #: Fixed values of this tokenizer family: the split rule and the end-of-word mark.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -220,7 +220,6 @@ def encoded_digests(docs: DataFrame, spec: str, key: str = "doc_id", text: str =
 
 def _mapped(docs, spec, key, text, columns, shown):
     rows = keyed_text(docs, key, text)
-    kind = rows.schema["_key"].dataType.simpleString()
     names = [c.split()[0] for c in columns.split(",")]
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
@@ -235,5 +234,4 @@ def _mapped(docs, spec, key, text, columns, shown):
         # The worker goes on to other stages: it keeps the tables of the vocabulary, not the strings.
         encoder.strings.clear()
 
-    result = rows.mapInPandas(run, f"_key {kind}, n_tokens long, {columns}")
-    return result.withColumnRenamed("_key", key)
+    return map_keyed(rows, run, f"n_tokens long, {columns}").withColumnRenamed("_key", key)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +50,18 @@ def keyed_text(df: DataFrame, key: str, text: str, as_bytes: bool = False) -> Da
     return df.select(F.col(f"`{key}`").alias("_key"), (value.cast("binary") if as_bytes else value).alias("_text"))
 
 
+def map_keyed(rows: DataFrame, run, columns: str, key: str = "_key") -> DataFrame:
+    """``rows.mapInPandas(run)`` with the key first, then ``columns``; the key comes back as it was.
+
+    pandas makes floats of whole numbers beside a null, which lose digits above 2^53, so such keys
+    travel as text.
+    """
+    kind = rows.schema[key].dataType
+    sent = rows.withColumn(key, F.col(key).cast("string")) if isinstance(kind, T.IntegralType) else rows
+    made = sent.mapInPandas(run, f"{key} {sent.schema[key].dataType.simpleString()}, {columns}")
+    return made.withColumn(key, F.col(key).cast(kind))
+
+
 def alnum_words(raw: bytes) -> list[bytes]:
     """Lower-cased words of letters, digits and non-ASCII characters."""
     return raw.translate(WORD_BYTES).split()

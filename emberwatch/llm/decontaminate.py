@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberwatch.llm.common import alnum_words, chunks, keyed_text
 
@@ -211,8 +212,11 @@ def contamination(
     Null and empty texts have no words; an item without words has no window; an item without id
     goes by the empty id.  Document rows are independent, repeated ones and null keys included.
     """
-    state = keyed_text(docs, key, text, as_bytes=True).select(
-        "_key",
+    rows = keyed_text(docs, key, text, as_bytes=True)
+    kind = rows.schema["_key"].dataType
+    state = rows.select(
+        # pandas would make floats of whole numbers beside a null
+        (F.col("_key").cast("string") if isinstance(kind, T.IntegralType) else F.col("_key")).alias("_key"),
         "_text",
         F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<struct<start: long, words: long>>").alias("_runs"),
@@ -223,7 +227,7 @@ def contamination(
     for block in list(benchmark_blocks(benchmark, item_key, item_text)) or [[]]:
         state = searched(state, block, window)
     n_hit = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["words"])
-    return state.select(F.col("_key").alias(key), "n_words", n_hit.alias("n_hit"), "items", "matches")
+    return state.select(F.col("_key").cast(kind).alias(key), "n_words", n_hit.alias("n_hit"), "items", "matches")
 
 
 def decontaminated(

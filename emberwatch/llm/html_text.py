@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.llm.common import map_keyed
+
 # HTML's element groups and common words of four languages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math select button canvas object video audio".split())
@@ -316,12 +318,12 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     repeated rows repeat their result and null keys pass through.
     """
     rows = pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"), F.col(f"`{page}`").alias("_page"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    url_kind = rows.schema["_url"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [main_text(p) for p in frame["_page"]]
             yield pd.DataFrame({"_key": frame["_key"], "_url": frame["_url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    made = rows.mapInPandas(run, f"_key {kinds['_key']}, _url {kinds['_url']}, text string, n_chars long")
+    made = map_keyed(rows, run, f"_url {url_kind}, text string, n_chars long")
     return made.withColumnsRenamed({"_key": key, "_url": url})

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import mix64
+from emberwatch.llm.common import map_keyed, mix64
 from emberwatch.llm.components import components
 from emberwatch.session import written
 
@@ -105,7 +105,6 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     Within a task only the first document of a class carries bands and planes.
     """
     rows = _text(docs, key, text)
-    kind = rows.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
@@ -127,7 +126,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             made = pd.DataFrame(out, columns=["class", "n", "bands", "planes"])
             yield pd.concat([frame[["id", "text_key"]].reset_index(drop=True), made], axis=1)
 
-    return rows.mapInPandas(run, f"id {kind}, text_key long, class binary, n long, bands array<long>, planes array<long>")
+    return map_keyed(rows, run, "text_key long, class binary, n long, bands array<long>, planes array<long>", "id")
 
 
 def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:

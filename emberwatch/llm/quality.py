@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import chunks, keyed_text
+from emberwatch.llm.common import chunks, keyed_text, map_keyed
 from emberwatch.llm.toxicity import COMMON
 
 STATISTICS = [
@@ -120,7 +120,6 @@ class Discriminant:
 def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key and one double column per statistic."""
     rows = keyed_text(docs, key, text, as_bytes=True)
-    kind = rows.schema["_key"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -128,7 +127,7 @@ def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             made.insert(0, "_key", frame["_key"].to_numpy())
             yield made
 
-    return rows.mapInPandas(run, f"_key {kind}, " + ", ".join(f"{s} double" for s in STATISTICS)).withColumnRenamed("_key", key)
+    return map_keyed(rows, run, ", ".join(f"{s} double" for s in STATISTICS)).withColumnRenamed("_key", key)
 
 
 def fitted(values: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Discriminant | float:
@@ -152,13 +151,12 @@ def fitted(values: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
 
 def scored(values: DataFrame, model: Discriminant | float, key: str = "doc_id") -> DataFrame:
     """Per row of ``described``: key and ``score``."""
-    kind = values.schema[key].dataType.simpleString()
     shared = values.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pickle.loads(shared.value)
         for frame in frames:
             score = np.full(len(frame), own) if isinstance(own, float) else own.scores(frame[STATISTICS].to_numpy())
-            yield pd.DataFrame({"_key": frame["_key"] if "_key" in frame else frame[key], "score": score})
+            yield pd.DataFrame({"_key": frame["_key"], "score": score})
 
-    return values.mapInPandas(run, f"_key {kind}, score double").withColumnRenamed("_key", key)
+    return map_keyed(values.withColumnRenamed(key, "_key"), run, "score double").withColumnRenamed("_key", key)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import keyed_text
+from emberwatch.llm.common import keyed_text, map_keyed
 
 # The base patterns and their kinds in order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -203,7 +203,6 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Null and empty texts have no spans.  Rows are independent; null keys pass through.
     """
     rows = keyed_text(docs, key, text, as_bytes=True)
-    kind = rows.schema["_key"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         novelty = Novelty()
@@ -211,7 +210,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t, novelty)] for t in frame["_text"]]
             yield pd.DataFrame({"_key": frame["_key"], "spans": spans})
 
-    return rows.mapInPandas(run, f"_key {kind}, spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("_key", key)
+    return map_keyed(rows, run, "spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("_key", key)
 
 
 def joined(spans: F.Column) -> F.Column:

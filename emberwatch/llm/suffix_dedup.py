@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberwatch.llm.common import keyed_text, mix64
 from emberwatch.session import fresh_dir, written
@@ -311,9 +312,12 @@ def _joined(replies: pd.DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts in batches of about BATCH_BYTES, written as a table bucketed by batch."""
+    """Texts in batches of about BATCH_BYTES, written as a table bucketed by batch; whole-number keys as text."""
     spark = docs.sparkSession
     rows = keyed_text(docs, key, text, as_bytes=True)
+    if isinstance(rows.schema["_key"].dataType, T.IntegralType):
+        # pandas would make floats of whole numbers beside a null
+        rows = rows.withColumn("_key", F.col("_key").cast("string"))
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,5 +396,5 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     replies = one.union(written(two.withColumn("step", F.lit(2)), "repeats"))
     schema = f"_key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     found = rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(results, schema)
-    found = found.withColumnRenamed("_key", key)
+    found = found.withColumn("_key", F.col("_key").cast(docs.schema[key].dataType)).withColumnRenamed("_key", key)
     return found if keep_text else found.drop("kept")

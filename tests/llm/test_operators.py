@@ -486,3 +486,44 @@ def test_pages_on_odd_rows(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extracted(df).collect()}
     assert got[1] == "" and got[None].startswith("The text") and got[3] == "x"
     assert html_text.extracted(df.limit(0)).count() == 0
+
+
+# --- keys -------------------------------------------------------------------------------
+
+BIG = [9007199254740993, 9007199254740995, -9007199254740993, None]
+
+
+def test_whole_number_keys_keep_every_digit(spark):
+    """Keys beyond 2^53 beside a null, in one batch, through every operator."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, f"{passage} own{i % 2} token = abcdefgh1234") for i, k in enumerate(BIG)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(BIG[0], 1, 1), (BIG[1], 0, 0)], "doc_id long, toxic int, quality int")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    values = quality.described(docs)
+    results = {
+        "toxicity": toxicity.scored(docs, toxicity.trained(docs, labels)),
+        "secrets": secrets.scanned(docs),
+        "minhash": minhash.grouped(docs),
+        "suffix_dedup": suffix_dedup.without_repeats(docs),
+        "decontaminate": decontaminate.contamination(docs, bench),
+        "described": values,
+        "quality": quality.scored(values, quality.fitted(values, labels)),
+        "bpe": bpe.encoded_digests(docs, queries.tokenizer_spec()),
+        "html": html_text.extracted(docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")).withColumnRenamed("page_id", "doc_id"),
+    }
+    for name, got in results.items():
+        assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType, name
+        assert sorted(map(str, (r[0] for r in got.select("doc_id").collect()))) == sorted(map(str, BIG)), name
+    assert {r["component_id"] for r in results["minhash"].collect()} == {-9007199254740993}
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_class_of_labels_drops_no_document(spark, odd, label):
+    labels = spark.createDataFrame([(1, label), (4, label), (5, label)], "doc_id long, toxic int")
+    assert toxicity.clean(odd, toxicity.trained(odd, labels)).count() == len(ODD)
+
+
+def test_documents_without_words_stay(spark, odd):
+    model = toxicity.Model([np.array([1]), np.array([2])], [np.array([1]), np.array([2])])
+    model.thresholds[:] = -1e9  # everything with words would go
+    assert {r[0] for r in toxicity.clean(odd, model).select("text").collect()} == {None, "", " \n\t "}
