@@ -13,6 +13,7 @@ the shingles that both could share are provably too few.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import map_keyed, mix64
+from emberwatch.llm.common import chunks, map_keyed, mix64
 from emberwatch.llm.components import components
 from emberwatch.session import written
 
@@ -43,6 +44,8 @@ _FACTORS = _DRAW.integers(1, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _DRAW.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _PLACES = mix64(_DRAW.integers(1, 1 << 62, SHINGLE_WORDS, dtype=np.uint64)) | np.uint64(1)
 _CHUNK = 4096
+#: Words that are hashed and mixed at once.
+MIX_WORDS = 1 << 15
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -60,6 +63,23 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(mix64(total))
 
 
+def all_shingles(texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+    """``shingles`` of each word list; the words of many texts are hashed and mixed in one array."""
+    for a, b in chunks([len(t) for t in texts], MIX_WORDS):
+        part = texts[a:b]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(part)), np.uint64, sum(map(len, part)))
+        last = max(len(h) - SHINGLE_WORDS + 1, 0)
+        total = h[:last] * _PLACES[0]
+        for i in range(1, SHINGLE_WORDS):
+            total += mix64(h[i : i + last] + _PLACES[i])
+        total, start = mix64(total), 0
+        for words in part:
+            n = len(words)
+            # shingles that run over a text's end belong to none
+            yield shingles(words) if n < SHINGLE_WORDS else np.unique(total[start : start + n - SHINGLE_WORDS + 1])
+            start += n
+
+
 def minima(shingle: np.ndarray) -> np.ndarray:
     """Minimum of every hash function over a set of shingles."""
     x = (shingle >> np.uint64(32)).astype(np.uint32)
@@ -109,20 +129,16 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
         for frame in frames:
-            out = []
-            for raw in frame["_text"]:
-                words = raw.lower().split()
-                if not words:
-                    out.append((None, 0, None, None))
-                    continue
-                own = xxhash.xxh3_128_digest(b" ".join(words))
-                if own in seen:
-                    out.append((own, seen[own], None, None))
-                    continue
-                found = shingles(words)
+            texts = [raw.lower().split() for raw in frame["_text"]]
+            names = [xxhash.xxh3_128_digest(b" ".join(words)) if words else None for words in texts]
+            new = {own: i for i, own in reversed(list(enumerate(names))) if own and own not in seen}
+            firsts = sorted(new.values())
+            made_here = {}
+            for i, found in zip(firsts, all_shingles([texts[i] for i in firsts]), strict=True):
                 low = minima(found)
-                seen[own] = len(found)
-                out.append((own, len(found), band_keys(low), bit_planes(low)))
+                seen[names[i]] = len(found)
+                made_here[i] = (band_keys(low), bit_planes(low))
+            out = [(own, seen.get(own, 0), *made_here.get(i, (None, None))) for i, own in enumerate(names)]
             made = pd.DataFrame(out, columns=["class", "n", "bands", "planes"])
             yield pd.concat([frame[["id", "text_key"]].reset_index(drop=True), made], axis=1)
 
@@ -139,7 +155,7 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         for frame in frames:
             words = [t.lower().split() for t in frame["_text"]]
             yield pd.DataFrame(
-                {"class": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "shingles": [shingles(w).tobytes() for w in words]}
+                {"class": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "shingles": [s.tobytes() for s in all_shingles(words)]}
             )
 
     return rows.mapInPandas(run, "class binary, shingles binary")

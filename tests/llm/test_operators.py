@@ -527,3 +527,10 @@ def test_documents_without_words_stay(spark, odd):
     model = toxicity.Model([np.array([1]), np.array([2])], [np.array([1]), np.array([2])])
     model.thresholds[:] = -1e9  # everything with words would go
     assert {r[0] for r in toxicity.clean(odd, model).select("text").collect()} == {None, "", " \n\t "}
+
+
+def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(minhash, "MIX_WORDS", 20)
+    draw = random.Random(2)
+    texts = [[b"w%d" % draw.randrange(9) for _ in range(draw.choice([0, 1, 3, 4, 5, 6, 30, 70]))] for _ in range(80)]
+    assert all((a == minhash.shingles(t)).all() and len(a) == len(minhash.shingles(t)) for a, t in zip(minhash.all_shingles(texts), texts, strict=True))
