@@ -109,12 +109,12 @@ def block_features(
             F.max("at_max").alias("at_max"),
             F.sum("at_n").alias("at_n"),
         ]
-        span = F.when(F.col("at_n") >= 2, F.col("at_max") - F.col("at_min"))
+        lasted = F.when(F.col("at_n") >= 2, F.col("at_max") - F.col("at_min"))
         tail += [
-            F.coalesce(span.cast("double"), F.lit(0.0)).alias("block_duration_sec"),
-            F.when(span.isNull(), 0.0)
-            .when(span == 0, -1.0)
-            .otherwise(F.try_divide(n, span))
+            F.coalesce(lasted.cast("double"), F.lit(0.0)).alias("block_duration_sec"),
+            F.when(lasted.isNull(), 0.0)
+            .when(lasted == 0, -1.0)
+            .otherwise(F.try_divide(n, lasted))
             .alias("events_per_sec"),
         ]
     if "gaps" in groups:
