@@ -134,7 +134,8 @@ def signed(scored: DataFrame, threshold: float = ANOMALY_THRESHOLD, scale: str =
 
 
 def alerts_of_model(kept: DataFrame, at: str = "alert_at") -> DataFrame:
-    """Alert columns of signed blocks."""
+    """Alert columns of signed blocks; the description names the first known category's vulnerability."""
+    named = alerting.cve_info(F.col("_signature_cats"))["name"]
     return kept.select(
         F.col(at).alias("alert_at"),
         "block_id",
@@ -146,6 +147,9 @@ def alerts_of_model(kept: DataFrame, at: str = "alert_at") -> DataFrame:
         F.col("_signature_cats").alias("threat_categories"),
         "priority",
         "signature",
+        F.format_string(
+            "%s — %s | score %.4f", F.col("priority"), named, F.round("anomaly_score", 6)
+        ).alias("description"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
@@ -153,3 +153,63 @@ def threat_category_analysis(
         for c in present
     ]
     return df.agg(*totals).select(F.inline(F.array(*rows)))
+
+
+def report(df: DataFrame, score: str, truth="y_true", pred="y_pred") -> DataFrame:
+    """All measures of judged rows in long form: (section, metric, value).
+
+    Sections are ``overall``, the classes with their averages, and the threat categories that ``df`` has
+    hit columns for.  ``df`` is read once per measure, so pass a written table.
+    """
+
+    def long(part: DataFrame, name: str | None = None) -> DataFrame:
+        section = F.lit("overall") if name is None else F.col(name)
+        cells = [
+            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+            for c in part.columns
+            if c != name
+        ]
+        return part.select(section.alias("section"), F.inline(F.array(*cells)))
+
+    out = long(confusion_matrix(df, truth, pred))
+    for part in (
+        long(roc_auc(df, score, truth)),
+        long(average_precision(df, score, truth)),
+        long(classification_report(df, truth, pred), "class"),
+    ):
+        out = out.unionByName(part)
+    if any(f"{c}_hits" in df.columns for c in D.BATCH_KEYWORDS):
+        out = out.unionByName(long(threat_category_analysis(df, truth, pred), "category"))
+    return out
+
+
+REPORT_SCHEMA = (
+    "evaluated_at timestamp, n_features bigint, feature_columns array<string>, n_blocks bigint,"
+    " metrics map<string, map<string, double>>, threat_analysis map<string, map<string, double>>"
+)
+
+
+def write_report(report: DataFrame, blocks: int, columns: list[str], path: str) -> None:
+    """One JSON object: when, features, number of blocks, and the measures by section.
+
+    The report has some dozens of rows whatever the input, so they gather in one map.
+    """
+    section = F.map_from_entries(F.collect_list(F.struct("metric", "value")))
+    sections = report.groupBy("section").agg(section.alias("values"))
+    threats = F.col("section").isin(*D.BATCH_KEYWORDS)
+
+    def gathered(which: Column, name: str) -> Column:
+        return F.map_from_entries(F.collect_list(F.when(which, F.struct("section", "values")))).alias(name)
+
+    sections.agg(gathered(~threats, "metrics"), gathered(threats, "threat_analysis")).select(
+        F.current_timestamp().alias("evaluated_at"),
+        F.lit(len(columns)).cast("bigint").alias("n_features"),
+        F.array(*[F.lit(c) for c in columns]).cast("array<string>").alias("feature_columns"),
+        F.lit(blocks).cast("bigint").alias("n_blocks"),
+        "metrics",
+        "threat_analysis",
+    ).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT_SCHEMA).json(path)

@@ -410,6 +410,12 @@ MODEL_ALERTS = (
     + f", anomalies AS (SELECT *, {SIGNATURE} AS signature FROM rated WHERE anomaly_score < 0.1::DOUBLE)"
 )
 MODEL_ALERTS = MODEL_ALERTS.replace("WITH ", "WITH RECURSIVE ", 1)
+FIRST_KNOWN_NAME = S.cve_case(
+    "list_filter([" + ", ".join(f"CASE WHEN {c}_hits > 0 THEN '{c}' END" for c in HITS if c in D.CVE_BY_CATEGORY)
+    + "], lambda c: c IS NOT NULL)[1]",
+    D.CVE_BY_CATEGORY,
+    "name",
+)
 MODEL_KEPT = kept_rows("anomalies", "signature", 3600 * 1_000_000, "alert_id")
 
 
@@ -419,7 +425,9 @@ MODEL_KEPT = kept_rows("anomalies", "signature", 3600 * 1_000_000, "alert_id")
     + MODEL_KEPT
     + " SELECT epoch_us(a.alert_at) AS alert_us, a.block_id, a.source_machine,"
     " round(a.anomaly_score, 6) AS anomaly_score, a.cvss AS cvss_score, a.num_events, a.error_count,"
-    f" array_to_string({CATEGORIES}, ',') AS categories, a.level AS priority"
+    f" array_to_string({CATEGORIES}, ',') AS categories, a.level AS priority,"
+    f" concat(a.level, ' — ', coalesce({FIRST_KNOWN_NAME}, {S.quote(D.CVE_GENERIC['name'])}), ' | score ',"
+    " printf('%.4f', round(a.anomaly_score, 6))) AS description"
     " FROM anomalies a JOIN chosen c ON a.signature = c.k AND a.alert_id = c.tie",
 )
 def model_alerts(spark, sf_dir):
@@ -435,6 +443,7 @@ def model_alerts(spark, sf_dir):
         "error_count",
         F.array_join("threat_categories", ",").alias("categories"),
         "priority",
+        "description",
     )
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from emberwatch import dictionaries as D
 from emberwatch.operators import evaluation, feedback
 from emberwatch.plans import sqltext as S
-from emberwatch.plans.registry import query, rounded
+from emberwatch.plans.registry import query, registered, rounded
 from emberwatch.plans.views import cte, table, view
+from emberwatch.session import fresh_dir, written
 
 ALLOWED = ", ".join(S.quote(n) for n in D.ANALYST_LABELS)
 LABELS = cte("label_log")
@@ -331,3 +332,55 @@ THREATS = {
 )
 def threat_category_analysis(spark, sf_dir):
     return evaluation.threat_category_analysis(evaluated(spark, sf_dir))
+
+
+OVERALL = {
+    "confusion_matrix": ["true_positives", "true_negatives", "false_positives", "false_negatives", "accuracy"],
+    "roc_auc": ["roc_auc"],
+    "average_precision": ["avg_precision"],
+}
+CLASS_MEASURES = ["precision", "recall", "f1_score", "support"]
+THREAT_MEASURES = ["blocks_with_hits", "true_anomaly_hits", "correctly_detected", "detection_rate_pct"]
+
+
+def long_sql(name: str, section: str, measures: list[str]) -> str:
+    """The rows of an earlier query's SQL in long form."""
+    return " UNION ALL ".join(
+        f"SELECT {section} AS section, '{m}' AS metric, round({m}::DOUBLE, 6) AS value FROM ({registered(name)})"
+        for m in measures
+    )
+
+
+@query(
+    "evaluation_report",
+    oracle=" UNION ALL ".join(
+        [
+            *[long_sql(name, "'overall'", measures) for name, measures in OVERALL.items()],
+            long_sql("classification_report", "class", CLASS_MEASURES),
+            long_sql("threat_category_analysis", "category", THREAT_MEASURES),
+            f"SELECT 'report' AS section, 'n_blocks' AS metric, count(*)::DOUBLE AS value FROM ({registered('label_map')})",
+            "SELECT 'report', 'n_features', 2::DOUBLE",
+        ]
+    ),
+)
+def evaluation_report(spark, sf_dir):
+    """The whole report of judged rows, written as JSON and read back."""
+    path = fresh_dir(spark, "evaluation")
+    rows = written(evaluated(spark, sf_dir), "judged")
+    evaluation.write_report(evaluation.report(rows, "score"), rows.count(), ["n_chars", "network_hits"], path)
+    back = evaluation.read_report(spark, path)
+    measures = back.select(F.explode(F.map_concat("metrics", "threat_analysis")).alias("section", "values")).select(
+        "section", F.explode("values").alias("metric", "value")
+    )
+    sizes = back.select(
+        F.lit("report").alias("section"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                    for c in ("n_blocks", "n_features")
+                ]
+            )
+        ),
+    )
+    return rounded(measures.unionByName(sizes))

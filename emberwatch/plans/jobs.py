@@ -61,6 +61,7 @@ def train(
         "scored-test",
     )
     report = prep.score_distribution(scored, "anomaly_score", F.col("prediction") == -1)
+    sizes = clean.agg(F.count_if(F.col("split") == "train").alias("n"))
     settings = {
         "contamination": contamination,
         "n_estimators": trees,
@@ -69,10 +70,13 @@ def train(
         "random_state": seed,
         "n_features": len(columns),
     }
-    report = report.select(*[F.lit(v).alias(k) for k, v in settings.items()], "*")
+    report = report.select(
+        *[F.lit(v).alias(k) for k, v in settings.items()], sizes.scalar().alias("train_blocks"), "*"
+    )
     if path:
         model.save(spark, f"{path}/model")
-        report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+        stamped = report.withColumn("trained_at", F.current_timestamp())
+        stamped.coalesce(1).write.mode("overwrite").json(f"{path}/report")
     return Training(model, report, scored)
 
 
@@ -81,8 +85,9 @@ def evaluate(
     truth: DataFrame,
     model: forest.IsolationForest,
     threshold: float | None = None,
+    path: str | None = None,
 ) -> DataFrame:
-    """Evaluation report in long form: (section, metric, value)."""
+    """Evaluation report in long form: (section, metric, value); ``path`` also takes it as JSON."""
     joined = evaluation.map_labels(evaluation.join_truth(table, truth))
     ready = prep.reconcile_columns(joined.drop("BlockId"), model.columns, excluded=[*D.NON_FEATURES_EVALUATION, "y_true"])
     filled = prep.impute_median(ready, model.columns)
@@ -98,34 +103,10 @@ def evaluate(
         ),
         "evaluated",
     )
-
-    def long(df, section):
-        numbers = [c for c in df.columns if c not in ("class", "category")]
-        return df.select(
-            F.lit(section).alias("section")
-            if section
-            else F.col(df.columns[0]).alias("section"),
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                        for c in numbers
-                    ]
-                )
-            ),
-        )
-
-    parts = [
-        long(evaluation.confusion_matrix(rows), "overall"),
-        long(evaluation.roc_auc(rows, "anomaly_score"), "overall"),
-        long(evaluation.average_precision(rows, "anomaly_score"), "overall"),
-        long(evaluation.classification_report(rows), None),
-        long(evaluation.threat_category_analysis(rows), None),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    report = evaluation.report(rows, "anomaly_score")
+    if path:
+        evaluation.write_report(report, rows.count(), model.columns, path)
+    return report
 
 
 def retrain(
@@ -160,9 +141,9 @@ def retrain(
     return training, audit
 
 
-def end_to_end(spark: SparkSession, path: str, recursive: bool = False, **settings) -> Training:
+def end_to_end(
+    spark: SparkSession, path: str, recursive: bool = False, model_path: str | None = None, **settings
+) -> Training:
     """Log directory → trained model, without intermediate hand-over files."""
     blocks, _ = features_from_logs(spark, path, recursive)
-    return train(written(blocks, "block-features"), **settings)
-
-
+    return train(written(blocks, "block-features"), path=model_path, **settings)

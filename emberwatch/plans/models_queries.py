@@ -9,6 +9,8 @@ from emberwatch.operators import evaluation, features, feedback, forest
 from emberwatch.operators import preparation as prep
 from emberwatch.plans import features_queries as FQ
 from emberwatch.plans import jobs
+from emberwatch.plans import sqltext as S
+from emberwatch.plans.alerts_queries import LATEST_LABELS as LATEST
 from emberwatch.plans.registry import query, rounded
 from emberwatch.plans.views import cte, spread, table, view
 from emberwatch.session import fresh_dir, written
@@ -196,3 +198,144 @@ def evaluate_report(spark, sf_dir):
     )
     training = jobs.train(blocks, contamination=0.05, trees=50)
     return jobs.evaluate(blocks, truth, training.model)
+
+
+# --- what must hold of models and jobs, whatever the random draws ----------------------
+
+
+@query(
+    "iforest_trees",
+    oracle="SELECT range::INTEGER AS tree, 1::BIGINT AS leaves_over_splits, 1.0::DOUBLE AS leaf_share, true AS splits_in_range,"
+    " true AS depth_bounded, (SELECT least(256, count(*)) FROM lineitem)::BIGINT AS sample_size FROM range(100)",
+)
+def iforest_trees(spark, sf_dir):
+    """The shape of every tree: a full binary tree whose splits lie inside the scaled data.
+
+    ``leaf_share`` adds 2 to the power of minus its level over all leaves, which is 1 for a tree in which
+    every split has two children and every child one parent.
+    """
+    rows = lines(spark, sf_dir).select("block_id", *NUMBERS)
+    model = forest.fit(rows, NUMBERS, trees=100, contamination=0.01)
+    scaled = prep.standard_scale(rows, NUMBERS)
+    ends = scaled.agg(
+        F.array(*[F.min(c) for c in NUMBERS]).alias("low"), F.array(*[F.max(c) for c in NUMBERS]).alias("high")
+    )
+    nodes = model.node_table(spark)
+    leaf = F.col("feature") < 0
+    # levels from the root down: a tree is no deeper than the logarithm of its sample
+    level = nodes.filter(F.col("node") == 0).select("tree", "node", F.lit(0).alias("level"))
+    placed, depth = level, max(1, (model.sample_size - 1).bit_length())
+    for step in range(depth):
+        inner = level.join(nodes.filter(~leaf), ["tree", "node"])
+        level = inner.select("tree", F.explode(F.array("left", F.col("left") + 1)).alias("node"), F.lit(step + 1).alias("level"))
+        placed = placed.unionByName(level)
+    whole = nodes.join(placed, ["tree", "node"], "left").crossJoin(F.broadcast(ends))
+    at = F.col("feature") + 1
+    inside = F.col("threshold").between(F.element_at("low", F.greatest(at, F.lit(1))), F.element_at("high", F.greatest(at, F.lit(1))))
+    return whole.groupBy("tree").agg(
+        (F.count_if(leaf) - F.count_if(~leaf)).alias("leaves_over_splits"),
+        F.round(F.sum(F.when(leaf, F.pow(F.lit(2.0), -F.col("level")))), 6).alias("leaf_share"),
+        F.bool_and(leaf | inside).alias("splits_in_range"),
+        F.bool_and(F.coalesce(F.col("level") <= depth, F.lit(False))).alias("depth_bounded"),
+        F.lit(model.sample_size).cast("bigint").alias("sample_size"),
+    )
+
+
+@query(
+    "iforest_flagged",
+    oracle="SELECT count(*) AS rows_scored, count(DISTINCT concat(l_orderkey, '_', l_linenumber)) AS blocks_scored,"
+    " floor(0.01::DOUBLE * (count(*) - 1))::BIGINT + 1 AS flagged, 0::BIGINT AS out_of_range, 0::BIGINT AS disagreeing FROM lineitem",
+)
+def iforest_flagged(spark, sf_dir):
+    """Scores against the contamination quantile: every row scored once, the lowest hundredth flagged."""
+    rows = lines(spark, sf_dir).select("block_id", *NUMBERS)
+    model = forest.fit(rows, NUMBERS, trees=100, contamination=0.01)
+    value = F.col("anomaly_score")
+    return forest.score(rows, model).agg(
+        F.count(value).alias("rows_scored"),
+        F.count_distinct("block_id").alias("blocks_scored"),
+        F.count_if("is_anomaly").alias("flagged"),
+        F.count_if(~value.between(-1.0, 1.0)).alias("out_of_range"),
+        F.count_if(F.col("is_anomaly") != (F.col("prediction") == -1)).alias("disagreeing"),
+    )
+
+
+def split_sql(blocks: str) -> str:
+    """Sizes of the two parts of a table of block ids."""
+    place = "('0x' || substr(md5(concat(block_id, ':42')), 1, 8))::BIGINT % 10000"
+    return (
+        f"(SELECT count(*) FILTER ({place} < 8000) FROM {blocks}) AS train_blocks,"
+        f" (SELECT count(*) FILTER ({place} >= 8000) FROM {blocks}) AS test_blocks"
+    )
+
+
+REPORTED = ["contamination", "n_estimators", "n_features", "train_blocks", "test_blocks"]
+
+
+def consistent(report):
+    """The score statistics of a training report in their only possible order."""
+    order = ["score_min", "score_p5", "score_p95", "score_max"]
+    rising = F.lit(True)
+    for low, high in zip(order, order[1:]):
+        rising = rising & (F.col(low) <= F.col(high))
+    rate = F.round(100 * F.col("flagged_anomalies") / F.col("test_blocks"), 2)
+    mean = F.col("score_mean").between(F.col("score_min"), F.col("score_max"))
+    return (rising & mean & (F.col("anomaly_rate_pct") == rate)).alias("consistent")
+
+
+@query(
+    "retrain_audit",
+    oracle=cte("windows_events", "label_log")
+    + ", blocks AS (SELECT concat('app_', user_id) AS block_id FROM windows_events WHERE os = 'windows' OR format = 'winlog'"
+    " GROUP BY user_id HAVING count(*) >= 3)"
+    + LATEST
+    + f", signed AS (SELECT b.block_id, {S.case_of('l.label', D.FEEDBACK_SIGN)} AS sign FROM blocks b LEFT JOIN latest l USING (block_id))"
+    " SELECT 'model_retrained' AS event, '2024-02-01 00:00:00' AS retrained_at, (SELECT count(*) FROM latest) AS n_labels_used,"
+    " (SELECT round(CASE WHEN count(sign) >= 5 THEN least(0.5::DOUBLE, greatest(0.01::DOUBLE, count(*) FILTER (sign = -1)"
+    " / count(sign)::DOUBLE)) ELSE 0.01 END, 6) FROM signed) AS contamination, 50::INTEGER AS n_estimators,"
+    # live blocks count one category more than the batch features do
+    f" {len(D.MODEL_FEATURES) + len(set(D.REALTIME_KEYWORDS) - set(D.BATCH_KEYWORDS))}::INTEGER AS n_features, "
+    + split_sql("blocks")
+    + ", true AS consistent",
+)
+def retrain_audit(spark, sf_dir):
+    """A retraining's audit row, read back from its sink, next to what its report must say."""
+    path = fresh_dir(spark, "retrained")
+    windows = FQ.parsed_windows(spark, sf_dir).withColumn(
+        "block_id", F.concat_ws("_", F.lit("app"), F.substring_index("block_id", "_", -1))
+    )
+    jobs.retrain(
+        windows, block_table(spark, sf_dir), view(spark, sf_dir, "label_log"), "2024-02-01 00:00:00", path=path, trees=50
+    )
+    audit = spark.read.schema("event string, timestamp timestamp, contamination double, n_labels_used bigint").json(f"{path}/audit")
+    report = spark.read.json(f"{path}/report").withColumn("event", F.lit("model_retrained"))
+    joined = audit.drop("contamination").join(report, "event")
+    return rounded(
+        joined.select(
+            "event",
+            F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("retrained_at"),
+            "n_labels_used",
+            *[F.col(c).cast("int").alias(c) if c.startswith("n_") else c for c in REPORTED],
+            consistent(report),
+        )
+    )
+
+
+@query(
+    "end_to_end_report",
+    oracle=cte("log_events")
+    # lines that open with an ISO time are of no known log format, so their minute names the block
+    + f", blocks AS (SELECT DISTINCT concat('generic_', {S.MINUTE}) AS block_id FROM log_events) SELECT 0.01::DOUBLE AS contamination, 50::INTEGER AS n_estimators,"
+    " 22::INTEGER AS n_features, "
+    + split_sql("blocks")
+    + ", true AS consistent",
+)
+def end_to_end_report(spark, sf_dir):
+    """Log files to a saved model; the report is read back from its sink."""
+    folder, path = fresh_dir(spark, "rawlogs"), fresh_dir(spark, "trained")
+    view(spark, sf_dir, "log_events").select("raw", "source").write.partitionBy("source").text(folder)
+    jobs.end_to_end(spark, folder, recursive=True, model_path=path, trees=50)
+    report = spark.read.json(f"{path}/report")
+    return rounded(
+        report.select(*[F.col(c).cast("int").alias(c) if c.startswith("n_") else c for c in REPORTED], consistent(report))
+    )

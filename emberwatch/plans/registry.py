@@ -27,6 +27,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def registered(name: str) -> str:
+    """SQL of a query registered earlier, to build on."""
+    return _oracles[name]
+
+
 def load() -> None:
     for module in MODULES:
         import_module(f"emberwatch.plans.{module}_queries")

@@ -261,3 +261,65 @@ def stream_score_cycle(spark, sf_dir):
         *[F.col(c).cast("bigint") for c in counts], F.col("max_msg_len").cast("int"),
         F.col("anomaly_score").between(-1.0, 1.0).alias("scored"),
     )
+
+
+AGENT_ITEMS = (
+    cte("windows_events")
+    + f", items AS (SELECT ts, trim(raw) AS raw, concat('agent_', channel, '_', {S.MINUTE}) AS block_id,"
+    f" channel AS source, {S.event_threat('win_id')} AS threat, record_id FROM windows_events)"
+    f", flagged AS (SELECT *, {S.level()} AS level, {S.flags(D.REALTIME_KEYWORDS)} FROM items)"
+    f", block AS (SELECT block_id, source AS source_machine, count(*) AS num_events, max(date_trunc('minute', ts)) AS opened,"
+    " count(*) FILTER (level = 'ERROR') AS error_count, count(*) FILTER (threat IS NOT NULL) AS priority_hits,"
+    f" {S.hits(D.REALTIME_KEYWORDS)} FROM flagged GROUP BY block_id, source)"
+)
+AGENT_RULES = " || ".join(
+    f"CASE WHEN {c}_hits >= {n} THEN ['{p} — ' || {S.quote(D.CVE_BY_CATEGORY.get(c, D.CVE_GENERIC)['name'])}] ELSE [] END"
+    for c, p, n in D.RULES
+)
+
+
+@query(
+    "agent_ingest_alerts",
+    oracle=AGENT_ITEMS
+    + ", judged AS (SELECT *, opened + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM items) AS closed FROM block)"
+    " SELECT block_id, source_machine, num_events AS staged,"
+    " CASE WHEN closed THEN num_events ELSE 0 END AS scored_events, CASE WHEN closed THEN error_count ELSE 0 END AS error_count,"
+    " CASE WHEN closed THEN priority_hits ELSE 0 END AS priority_hits,"
+    f" array_to_string(list_sort({AGENT_RULES}), '; ') AS rules, true AS model_agrees FROM judged",
+)
+def agent_ingest_alerts(spark, sf_dir):
+    """Batches of agents, a batch per channel and minute, through staging, rules, score and cooldown.
+
+    ``model_agrees``: model alerts of a block, if any, carry its own score below the threshold.
+    """
+    base = fresh_dir(spark, "agents")
+    past = FQ.parsed_windows(spark, sf_dir)
+    from emberwatch.operators.features import realtime_block_features
+
+    history = prep.zero_fill(realtime_block_features(past), D.MODEL_FEATURES)
+    model = forest.fit(history, D.MODEL_FEATURES, trees=50, contamination=0.05)
+    sent = view(spark, sf_dir, "windows_events").select(
+        "ts", F.to_json(F.array(F.struct(F.col("raw").alias("log"), F.col("channel").alias("source")))).alias("payload")
+    )
+    stream = in_order(sent, f"{base}/in", 3)
+    ingest = jobs.agent_ingest_job(stream, model, base, f"{base}/checkpoint", received_at="ts", threshold=0.1)
+    ingest.awaitTermination()
+    staged = ingest.events().groupBy("block_id", "source_machine").agg(F.count(F.lit(1)).alias("staged"))
+    scored = ingest.blocks().select("block_id", F.col("num_events").alias("scored_events"), "error_count", "priority_hits", "anomaly_score")
+    raised = ingest.alerts().groupBy("block_id").agg(
+        F.array_join(
+            F.sort_array(F.collect_list(F.when(F.col("rule_based"), F.regexp_replace("description", r" \(\d+ indicator\(s\)\)$", "")))), "; "
+        ).alias("rules"),
+        F.collect_list(F.when(~F.col("rule_based"), F.struct("anomaly_score", "description"))).alias("model"),
+    )
+    own = F.round("anomaly_score", 6)
+    agrees = F.forall(
+        F.coalesce("model", F.array().cast("array<struct<anomaly_score:double,description:string>>")),
+        lambda m: (m["anomaly_score"] == own) & (own < 0.1) & m["description"].contains(F.format_string("score %.4f", own)),
+    )
+    none = F.lit(0).cast("bigint")
+    return staged.join(scored, "block_id", "left").join(raised, "block_id", "left").select(
+        "block_id", "source_machine", "staged",
+        *[F.coalesce(F.col(c).cast("bigint"), none).alias(c) for c in ("scored_events", "error_count", "priority_hits")],
+        F.coalesce("rules", F.lit("")).alias("rules"), agrees.alias("model_agrees"),
+    )

@@ -17,7 +17,7 @@ from emberwatch.functions import blocks, text, threats
 from emberwatch.operators import alerts, features, feedback, forest
 from emberwatch.session import exists, listed, removed
 from emberwatch.sources import growing_files
-from emberwatch.sources.records import parse_json_lines
+from emberwatch.sources.records import agent_events, parse_json_lines
 from emberwatch.streaming import state
 
 COLLECT_INTERVAL = "30 seconds"
@@ -235,3 +235,44 @@ def score_cycle_job(
         kept = state.cooled(alerts.signed(closed, threshold), "signature", "alert_at", seconds, "block_id", retain_seconds)
         start("model", alerts.alerts_of_model(kept))
     return cycle
+
+
+class AgentIngest(ScoreCycle):
+    """A score cycle over what agents sent, and the staged events themselves."""
+
+    def events(self) -> DataFrame:
+        return self._read("events")
+
+
+def agent_ingest_job(
+    batches: DataFrame,
+    model: forest.IsolationForest,
+    out: str,
+    checkpoint: str,
+    payload: str = "payload",
+    received_at: str = "received_at",
+    processing: str | None = None,
+    **settings,
+) -> AgentIngest:
+    """Agent batches → staged events, rule alerts and model alerts.
+
+    ``batches`` carries JSON lists of {log, source} and their time of receipt.  The payload is parsed
+    once; staged events go to files, and the score cycle reads those files as its stream.  An agent's
+    block is one source and minute, so blocks are taken in parts of a minute, and one event is enough
+    for a score.  Rules do not wait for the model or the watermark.  Every sink commits whole
+    micro-batches, so a restart repeats none.  A null or malformed payload holds no events; a batch
+    without time of receipt has events and no block.  ``settings`` are those of ``score_cycle_job``.
+    """
+    spark = batches.sparkSession
+    staged = agent_events(batches, payload, received_at)
+    job = to_files(staged, f"{out}/events", f"{checkpoint}/events", processing)
+    if processing is None:
+        job.awaitTermination()
+    arrived = spark.readStream.schema(staged.schema).parquet(f"{out}/events")
+    arrived = arrived.withColumns({"ts": F.col("collected_at"), "line_id": F.lit(None).cast("bigint")})
+    settings = {"min_events": 1, "span": "1 minute", "processing": processing} | settings
+    cycle = score_cycle_job(arrived, model, out, checkpoint, **settings)
+    ingest = AgentIngest(spark, out)
+    ingest.queries = {"events": job, **cycle.queries}
+    ingest.schemas = {"events": staged.schema, **cycle.schemas}
+    return ingest

@@ -7,7 +7,7 @@ from check_oracle import TABLES, compare
 from emberwatch.plans.registry import all_oracles, all_queries
 
 QUERIES, ORACLES = all_queries(), all_oracles()
-JOBS = ["retrain_job", "end_to_end_run", "evaluate_report", "iforest_score", "stream_score_cycle"]
+JOBS = ["retrain_job", "end_to_end_run", "evaluate_report", "iforest_score"]
 
 
 @pytest.fixture(scope="module")
