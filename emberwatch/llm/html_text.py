@@ -21,13 +21,17 @@ from emberwatch.llm.common import map_keyed
 # HTML's element groups and common words of four languages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math select button canvas object video audio".split())
+#: Of these, the ones whose content is text up to their end tag, or else to the end of the page.
+ONLY_TEXT = frozenset("script style textarea title iframe noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th "
     "thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OUTSIDE_TEXT = frozenset("nav footer aside form menu dialog head fieldset".split())
+OUTSIDE_TEXT = frozenset("nav footer aside menu dialog head".split())
+#: Dropped too, unless a whole page lies in one: then its article is kept.
+HOLDERS = frozenset("form fieldset".split())
 BODY = frozenset("article main".split())
 STOP_WORDS = frozenset(
     "the of and a to in is was that for it as with be by on not he i this are or his from at which but have an had they you were "
@@ -75,12 +79,13 @@ class Block:
 
 
 class Named:
-    """An element whose class, id or role is that of page furniture: dropped unless it holds the article."""
+    """A form, or an element whose class, id or role is that of page furniture: dropped unless it holds the article."""
 
-    __slots__ = ("parent", "foreign", "size", "article", "main")
+    __slots__ = ("parent", "foreign", "holder", "size", "article", "main")
 
-    def __init__(self, parent: int, foreign: bool):
-        self.parent, self.foreign, self.size, self.article, self.main = parent, foreign, 0, False, False
+    def __init__(self, parent: int, foreign: bool, holder: bool):
+        self.parent, self.foreign, self.holder = parent, foreign, holder
+        self.size, self.article, self.main = 0, False, False
 
 
 def blocks(page: str) -> list[Block]:
@@ -90,6 +95,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, int]] = []  # open block elements: name, unwanted, article part, named element around
     unwanted = inside = 0
     within = -1
+    opened: dict[str, int] = {}  # how many elements of a name are open
+    unclosed: set[str] = set()  # names without an end tag in the rest of the page
     kept_until: dict[str, int] = {}
     whole: list[int] = []
     parts: list[str] = []
@@ -115,6 +122,12 @@ def blocks(page: str) -> list[Block]:
                 found.append((Block(text, links, inside > 0, heading), within))
         parts, links, breaks, in_link = [], 0, 0, False
 
+    def shut_from(name, pattern):
+        shut = None if name in unclosed else re.compile(pattern, re.I).search(page, at)
+        if shut is None:
+            unclosed.add(name)
+        return shut
+
     while at < size:
         token = TOKEN.search(page, at)
         if token is None:
@@ -128,8 +141,9 @@ def blocks(page: str) -> list[Block]:
         name, ending, attributes = token[2].lower(), token[1], token[3] or ""
         if name in RAW:
             if not ending and not attributes.endswith("/"):
-                shut = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                at = shut.end() if shut else size
+                shut = shut_from(name, rf"</{name}\b[^>]*>?")
+                if shut or name in ONLY_TEXT:
+                    at = shut.end() if shut else size
             continue
         if name == "br":
             breaks += 1
@@ -146,7 +160,7 @@ def blocks(page: str) -> list[Block]:
                 hidden = is_unwanted(name, attributes, inside)
                 if hidden or has_furniture_name(name, attributes, inside):
                     # An unwanted inline element: its text goes as a whole.
-                    shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                    shut = shut_from(name, rf"</{name}\s*>")
                     if shut and not hidden and holds_article(page, at, shut.start(), whole):
                         kept_until[name] = shut.start()
                     elif shut:
@@ -156,10 +170,11 @@ def blocks(page: str) -> list[Block]:
         if name == "hr":
             continue
         if ending:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
                 if stack[depth][0] == name:
                     within = stack[depth][3]
-                    for _, bad, body, _ in stack[depth:]:
+                    for other, bad, body, _ in stack[depth:]:
+                        opened[other] -= 1
                         unwanted -= bad
                         inside -= body
                     del stack[depth:]
@@ -168,15 +183,18 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in HEADINGS or name == "p":  # never nested: a new one ends the last
             while stack and (stack[-1][0] == "p" or stack[-1][0] in HEADINGS):
-                _, bad, body, within = stack.pop()
+                other, bad, body, within = stack.pop()
+                opened[other] -= 1
                 unwanted -= bad
                 inside -= body
         heading = name in HEADINGS
         bad, body = is_unwanted(name, attributes, inside), name in BODY
         if not attributes.endswith("/"):
             stack.append((name, bad, body, within))
-            if not bad and has_furniture_name(name, attributes, inside):
-                named.append(Named(within, any(FOREIGN.search("".join(n[1:])) for n in NAMED.findall(attributes))))
+            opened[name] = opened.get(name, 0) + 1
+            if not bad and (name in HOLDERS or has_furniture_name(name, attributes, inside)):
+                foreign = any(FOREIGN.search("".join(n[1:])) for n in NAMED.findall(attributes))
+                named.append(Named(within, foreign, name in HOLDERS))
                 within = len(named) - 1
             unwanted += bad
             inside += body
@@ -192,24 +210,30 @@ def furniture(named: list[Named], found: list[tuple[Block, int]]) -> list[bool]:
     """Which named elements go: those that hold neither the article nor most of the page's text.
 
     Where an article stands outside all of them, only most of the text keeps one, and nothing keeps
-    comments and the like, which may hold articles of their own.
+    comments and the like, which may hold articles of their own.  A form goes unless the article is in it.
     """
     outside = any(b.inside for b, e in found if e < 0)
-    for b, e in found:
-        if e >= 0:
-            named[e].size += len(b.text)
     for n in reversed(named):
         if n.parent >= 0:
-            up = named[n.parent]
-            up.size += n.size
-            up.article |= n.article
-            up.main |= n.main
-    total = sum([len(b.text) for b, _ in found])
+            named[n.parent].article |= n.article
+            named[n.parent].main |= n.main
     dropped = []
     for n in named:
+        kept = n.main or (n.article and not outside)
+        dropped.append((n.holder and not kept) or (n.parent >= 0 and dropped[n.parent]))
+    total = 0
+    for b, e in found:
+        if e < 0 or not dropped[e]:
+            total += len(b.text)
+            if e >= 0:
+                named[e].size += len(b.text)
+    for n in reversed(named):
+        if n.parent >= 0:
+            named[n.parent].size += n.size
+    for i, n in enumerate(named):
         most = n.size >= MOST * total
-        kept = n.main or (most and not n.foreign if outside else n.article or most)
-        dropped.append(not kept or (n.parent >= 0 and dropped[n.parent]))
+        kept = n.holder or n.main or (most and not n.foreign if outside else n.article or most)
+        dropped[i] |= not kept or (n.parent >= 0 and dropped[n.parent])
     return dropped
 
 
@@ -227,7 +251,7 @@ def holds_article(page: str, start: int, end: int, whole: list[int]) -> bool:
 
 def is_unwanted(name: str, attributes: str, inside: int) -> bool:
     """Whether an element's kind or state sets its text apart from an article's."""
-    if name in OUTSIDE_TEXT or (name == "header" and not inside):
+    if name in OUTSIDE_TEXT or (name == "header" and not inside) or (name in HOLDERS and inside):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False

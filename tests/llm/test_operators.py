@@ -534,3 +534,33 @@ def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
     draw = random.Random(2)
     texts = [[b"w%d" % draw.randrange(9) for _ in range(draw.choice([0, 1, 3, 4, 5, 6, 30, 70]))] for _ in range(80)]
     assert all((a == minhash.shingles(t)).all() and len(a) == len(minhash.shingles(t)) for a, t in zip(minhash.all_shingles(texts), texts, strict=True))
+
+
+PARAGRAPH = "<p>The quick fox is in the house and it was not at all that bad for the people of the town.</p>"
+
+
+@pytest.mark.parametrize("holder", ["form id=aspnetForm", "fieldset", "form class=search"])
+def test_html_keeps_the_article_inside_a_form(holder):
+    """A whole page may lie in one form; other forms go, whether the article is beside or around them."""
+    article, asked = f"<article><h1>Title</h1>{PARAGRAPH}</article>", "<div>Your name is not shown to the people that are in here</div>"
+    name = holder.split()[0]
+    whole = html_text.main_text(f"<{holder}>{asked}{article}</{name}>")
+    assert whole == html_text.main_text(article) and whole.startswith("Title\nThe quick")
+    assert html_text.main_text(f"<{holder}>{asked}</{name}>{article}") == whole
+    assert html_text.main_text(f"<article><h1>Title</h1>{PARAGRAPH}<{holder}>{asked}</{name}></article>") == whole
+    assert html_text.main_text(f"{article}<{holder}><article>{asked}</article></{name}>") == whole
+
+
+@pytest.mark.parametrize("name,left", [("button", 3), ("svg", 3), ("video", 3), ("select", 3), ("script", 1), ("style", 1)])
+def test_html_unclosed_elements(name, left):
+    """Without its end tag an element takes nothing with it, unless its content is text by definition."""
+    assert html_text.main_text(f"<article>{PARAGRAPH}<{name}>{PARAGRAPH}{PARAGRAPH}</article>").count("fox") == left
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60000 + "</ul>" * 60000, "<span class=share>x " * 60000, "<button>" * 60000 + "</svg>" * 60000], ids=["ends", "spans", "buttons"])
+def test_html_long_broken_pages_take_linear_time(page):
+    import time
+
+    begin = time.time()
+    assert "The quick fox" in html_text.main_text(page + PARAGRAPH)
+    assert time.time() - begin < 20
