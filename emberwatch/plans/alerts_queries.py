@@ -280,6 +280,34 @@ def route_recipients(spark, sf_dir):
     )
 
 
+@query(
+    "alert_recipients",
+    oracle=cte("scored_blocks", "users")
+    + ", paired AS (SELECT lower(trim(source_machine)) AS machine, array_to_string(list_sort(list(DISTINCT email)), ',') AS emails"
+    " FROM users WHERE email <> '' GROUP BY 1)"
+    " SELECT a.alert_id, coalesce(p.emails, 'soc@example.com') AS recipients FROM scored_blocks a"
+    " LEFT JOIN paired p ON lower(trim(a.source_machine)) = p.machine",
+)
+def alert_recipients(spark, sf_dir):
+    """Every alert with the addresses it goes to."""
+    routed = alerts.with_recipients(scored(spark, sf_dir), view(spark, sf_dir, "users"), "soc@example.com")
+    return routed.select("alert_id", F.array_join("recipients", ",").alias("recipients"))
+
+
+@query(
+    "scope_paired_machine",
+    oracle=cte("log_events", "users")
+    + " SELECT line_id, source, source_machine, raw FROM log_events WHERE source_machine ="
+    " (SELECT lower(trim(source_machine)) FROM users WHERE role <> 'admin' AND email <> '' ORDER BY username LIMIT 1)",
+)
+def scope_paired_machine(spark, sf_dir):
+    """The events that the first paired user of the directory may see."""
+    users = view(spark, sf_dir, "users").filter((F.col("role") != "admin") & (F.col("email") != ""))
+    caller = users.orderBy("username").select(F.trim("source_machine").alias("machine")).first()
+    events = view(spark, sf_dir, "log_events").select("line_id", "source", "source_machine", "raw")
+    return alerts.scope_by_machine(events, "user", caller and caller["machine"])
+
+
 @query(
     "recent_alerts",
     oracle=SCORED

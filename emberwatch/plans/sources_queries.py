@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
@@ -11,7 +12,7 @@ from emberwatch.plans import features_queries as FQ
 from emberwatch.plans import sqltext as S
 from emberwatch.plans.registry import query, rounded
 from emberwatch.plans.views import cte, table, view
-from emberwatch.schemas import struct
+from emberwatch.schemas import TEMPLATE_CATALOG, struct
 from emberwatch.session import fresh_dir
 from emberwatch.sources import records, text_files
 
@@ -282,6 +283,26 @@ def template_catalog(spark, sf_dir):
     return parsing.template_catalog(FQ.parsed(spark, sf_dir))
 
 
+@query(
+    "catalog_sorted",
+    oracle=FQ.PARSED
+    + ", catalog AS (SELECT template_id, arg_max(template, line_id) AS template FROM parsed GROUP BY template_id)"
+    " SELECT row_number() OVER (ORDER BY template_id) AS place, template_id, template FROM catalog",
+)
+def catalog_sorted(spark, sf_dir):
+    """The catalog as written: a line's place counts lines from the first file on, in the order of file names."""
+    path = fresh_dir(spark, "catalog")
+    records.write_catalog(parsing.template_catalog(FQ.parsed(spark, sf_dir)), path)
+    lines = text_files.read_log_lines(spark, path, glob="*.json")
+    files = lines.groupBy("file").agg(F.max("line_id").alias("n"))
+    # one row per file of the catalog
+    earlier = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    row = F.from_json("raw", TEMPLATE_CATALOG)
+    placed = lines.join(starts, "file").select((F.col("start") + F.col("line_id")).alias("place"), row.alias("row"))
+    return placed.select("place", "row.*")
+
+
 @query(
     "filter_windows_events",
     oracle=cte("windows_events")

@@ -171,3 +171,25 @@ def test_cooldown_takes_a_row_without_tie_value(spark):
     df = spark.createDataFrame([(None, "k"), (None, "k")], "id int, k string").withColumn("ts", F.timestamp_seconds(F.lit(5)))
     out = cooldown(df, "k", "ts", 60, "id").collect()
     assert [r["k"] for r in out] == ["k"]
+
+
+def test_recipients_of_every_alert(spark):
+    """Names are compared trimmed and lower-cased; without an address the fallback gets the alert."""
+    alerts_ = spark.createDataFrame(
+        [(1, " Web1"), (2, "web2"), (3, None), (4, "web1"), (4, "web1")], "alert_id int, source_machine string"
+    )
+    users = spark.createDataFrame(
+        [("b@x", "WEB1 "), ("a@x", "web1"), ("a@x", "web1"), ("", "web2"), (None, "web2"), ("c@x", None)],
+        "email string, source_machine string",
+    )
+    got = [(r["alert_id"], r["recipients"]) for r in alerts.with_recipients(alerts_, users, "f@x").orderBy("alert_id").collect()]
+    assert got == [(1, ["a@x", "b@x"]), (2, ["f@x"]), (3, ["f@x"]), (4, ["a@x", "b@x"]), (4, ["a@x", "b@x"])]
+    assert alerts.with_recipients(alerts_, users.limit(0), "f@x").count() == 5
+    assert alerts.with_recipients(alerts_.limit(0), users, "f@x").count() == 0
+
+
+def test_scope_of_an_unpaired_caller_is_empty(spark):
+    rows = spark.createDataFrame([(1, "web1"), (2, None)], "alert_id int, source_machine string")
+    assert alerts.scope_by_machine(rows, "user", None).count() == 0
+    assert [r["alert_id"] for r in alerts.scope_by_machine(rows, "user", "WEB1").collect()] == [1]
+    assert alerts.scope_by_machine(rows, "admin", None).count() == 2
