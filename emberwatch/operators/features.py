@@ -7,12 +7,12 @@ second folds the template rows of a block.  No row list is ever collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
 from emberwatch.functions import text, threats
-from emberwatch.operators.ordering import distinct_bits, sliced_gaps, sliced_position
+from emberwatch.operators.ordering import SLICE_BITS, distinct_bits, sliced_gaps, sliced_position
 
 GROUPS = ("counts", "lengths", "levels", "shape", "time", "gaps", "hits")
 
@@ -165,9 +165,41 @@ def missing_line_ids(df: DataFrame) -> DataFrame:
     return sliced_gaps(df, "block_id", "line_id")
 
 
+def _placed(df: DataFrame, at: Column, ties: list[str], digest: Column) -> DataFrame:
+    """Add event_index: by line id, and by time where there is none; events with neither come first.
+
+    ``digest`` is a hexadecimal hash that the ties begin with.  Files that number their lines from one
+    again fill a block's slices with equal ids; those are cut by id and then by hash.  Slices of events
+    without line id hold 67 seconds and are cut to milliseconds, then to microseconds.
+    """
+    rows = df.withColumn("_at", F.unix_micros(at))
+    start = F.conv(F.substring(digest, 1, 3), 16, 10).cast("bigint")
+    time = F.col("_at")
+    spread = F.when(time.isNull(), start).otherwise(F.shiftright(time, 26) + (1 << 40))
+    line = F.col("line_id").cast("bigint")
+    near = F.coalesce(line.bitwiseAND((1 << SLICE_BITS) - 1), F.shiftright(time, 10).bitwiseAND(0xFFFF), F.lit(0))
+    nearer = F.when(line.isNotNull(), F.shiftright(start, 2)).otherwise(F.coalesce(time.bitwiseAND(0x3FF), F.lit(0)))
+    # ids that repeat are taken by their ties, whatever the time
+    when = F.when(line.isNull(), time)
+    out = sliced_position(
+        rows.withColumn("_at", when), "block_id", "line_id", ["_at", *ties], "event_index", null_slice=spread, finer=(near, nearer)
+    )
+    return out.drop("_at")
+
+
+def _arrival(df: DataFrame) -> Column:
+    """Time at which an event came, as far as its columns tell."""
+    known = [F.col(c).cast("timestamp") for c in ("ts", "collected_at") if c in df.columns]
+    return F.coalesce(*known) if known else F.lit(None).cast("timestamp")
+
+
 def event_index(df: DataFrame, ties=("raw",)) -> DataFrame:
-    """Add the 0-based arrival position of each event within its block."""
-    return sliced_position(df, "block_id", "line_id", list(ties), "event_index")
+    """Add the 0-based arrival position of each event within its block: by line id, else by time.
+
+    Events that agree in these stand in the order of a hash of ``ties``, whichever file they are from.
+    """
+    digest = F.md5(F.concat_ws("\n", *[F.col(t).cast("string") for t in ties]))
+    return _placed(df.withColumn("_digest", digest), _arrival(df), ["_digest"], F.col("_digest")).drop("_digest")
 
 
 def event_features(df: DataFrame, keywords: dict = D.BATCH_KEYWORDS) -> DataFrame:
@@ -180,6 +212,7 @@ def event_features(df: DataFrame, keywords: dict = D.BATCH_KEYWORDS) -> DataFram
         "template_id",
         "line_id",
         F.md5("raw").alias("_tie"),
+        _arrival(df).alias("_came"),
         F.length("raw").alias("msg_len"),
         text.word_count("raw").alias("word_count"),
         (level == "ERROR").cast("int").alias("is_error"),
@@ -189,14 +222,11 @@ def event_features(df: DataFrame, keywords: dict = D.BATCH_KEYWORDS) -> DataFram
         *threats.threat_flags(lowered, keywords),
     )
     # only narrow numeric columns travel through the ordering shuffle
-    spread = F.conv(F.substring("_tie", 1, 3), 16, 10).cast("bigint")
-    placed = sliced_position(
-        flat, "block_id", "line_id", ["_tie"], "event_index", null_slice=spread
-    )
+    placed = _placed(flat, F.col("_came"), ["_tie"], F.coalesce("_tie", F.lit("")))
     return placed.select(
         "block_id",
         "event_index",
-        *[c for c in flat.columns if c not in ("block_id", "line_id", "_tie")],
+        *[c for c in flat.columns if c not in ("block_id", "line_id", "_tie", "_came")],
     )
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 SLICE_BITS = 16
 LOWEST_SLICE = -(1 << 60)
+#: Rows that one slice may hold before it is cut further.
+CROWD = 4 << SLICE_BITS
 
 
 def sliced_position(
@@ -23,39 +25,51 @@ def sliced_position(
     out: str,
     bits: int = SLICE_BITS,
     null_slice: Column | None = None,
+    finer: tuple[Column, ...] = (),
+    crowd: int = CROWD,
 ) -> DataFrame:
     """0-based position of each row within its key, ordered by ``order`` then ``ties``.
 
-    Slices hold ``2**bits`` consecutive order values; slice counts are summed to offsets.
-    Rows without an order value come first, by ``ties``; ``null_slice`` (a whole number
-    that grows with the first tie) spreads them over slices too.
+    Slices hold ``2**bits`` consecutive order values; slice counts are summed to offsets.  Rows without
+    an order value come first, by ``ties``; ``null_slice`` (a whole number from 0 that grows with the
+    ties) spreads them over slices too.  Order values may repeat, so a slice may hold any number of
+    rows: one with more than ``crowd`` is cut by ``finer``, whole numbers of which each grows with the
+    order among rows that agree in those before it.  Positions do not depend on the cuts.  A null key is
+    a key of its own.
     """
     unordered = F.lit(LOWEST_SLICE) if null_slice is None else LOWEST_SLICE + null_slice
     part = F.coalesce(F.shiftright(F.col(order).cast("bigint"), bits), unordered.cast("bigint"))
     rows = df.withColumn("_slice", part)
-    offsets = (
-        rows.groupBy(key, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_rows").over(
-                    Window.partitionBy(key)
-                    .orderBy("_slice")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .select(key, "_slice", "_before")
-    )
-    within = Window.partitionBy(key, "_slice").orderBy(order, *ties)
-    return (
-        rows.withColumn("_rank", F.row_number().over(within))
-        .join(offsets, [key, "_slice"])
-        .withColumn(out, (F.col("_rank") - 1 + F.col("_before")).cast("bigint"))
-        .drop("_slice", "_rank", "_before")
+    cuts = [f"_cut{i}" for i in range(len(finer))]
+
+    def joined(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+        """Join on names that may be null on both sides; the right side's copies go."""
+        other = right.withColumnsRenamed({n: f"_of_{n}" for n in names})
+        same = F.lit(True)
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"_of_{n}"))
+        return left.join(other, same, how).drop(*[f"_of_{n}" for n in names])
+
+    def before(*order: str) -> Column:
+        earlier = Window.partitionBy(key, *(() if order == ("_slice",) else ("_slice",))).orderBy(*order)
+        return F.coalesce(F.sum("_rows").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    size = F.count(F.lit(1)).alias("_rows")
+    slices = rows.groupBy(key, "_slice").agg(size).select(
+        key, "_slice", before("_slice").alias("_before"), (F.col("_rows") > crowd).alias("_crowded")
     )
+    rows = joined(rows, slices, [key, "_slice"], "inner")
+    rows = rows.withColumns({n: F.when(F.col("_crowded"), c.cast("bigint")).otherwise(F.lit(0)) for n, c in zip(cuts, finer)})
+    within = Window.partitionBy(key, "_slice", *cuts).orderBy(order, *ties)
+    placed = rows.withColumn("_rank", F.row_number().over(within))
+    ahead = F.lit(0)
+    if finer:
+        cells = rows.filter("_crowded").groupBy(key, "_slice", *cuts).agg(size)
+        cells = cells.select(key, "_slice", *cuts, before(*cuts).alias("_ahead"))
+        placed = joined(placed, cells, [key, "_slice", *cuts], "left")
+        ahead = F.coalesce("_ahead", F.lit(0))
+    at = F.col("_rank") - 1 + F.col("_before") + ahead
+    return placed.withColumn(out, at.cast("bigint")).drop("_slice", *cuts, "_rank", "_before", "_crowded", "_ahead")
 
 
 def sliced_gaps(df: DataFrame, key: str, order: str, bits: int = SLICE_BITS) -> DataFrame:

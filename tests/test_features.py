@@ -1,7 +1,11 @@
+import hashlib
 import math
+import random
 from collections import Counter
+from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
@@ -125,3 +129,52 @@ def test_realtime_blocks(spark):
     assert a["block_duration_sec"] == 0.0 and a["gap_count"] == 0
     wide = features.realtime_block_features(df, min_events=1)
     assert set(f"{c}_hits" for c in D.REALTIME_KEYWORDS) <= set(wide.columns)
+
+
+def _plain_positions(rows):
+    """Line id, then time, then hash; without a line id first, without both before them."""
+    def place(r):
+        line, at, raw = r
+        digest = hashlib.md5(raw.encode()).hexdigest()
+        return (line is not None, line or 0, at is not None and line is None, at if line is None and at else datetime.min, digest)
+
+    return [(r, i) for i, r in enumerate(sorted(rows, key=place))]
+
+
+@pytest.mark.parametrize("crowd", [8, 1 << 20])
+def test_positions_in_crowded_slices(spark, monkeypatch, crowd):
+    """Ids restart in every file and many events have none; the cuts change nothing."""
+    draw = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=f), f"file {f} line {i}") for f in range(20) for i in range(30)]
+    rows += [(None, start + timedelta(microseconds=draw.randrange(10**9)), f"tail {i}") for i in range(400)]
+    rows += [(None, start - timedelta(days=40000), "before the epoch"), *[(None, None, f"timeless {i}") for i in range(50)]]
+    draw.shuffle(rows)
+    df = spark.createDataFrame([("b", *r) for r in rows] + [(None, 1, start, "x"), (None, 0, start, "y")], "block_id string, line_id long, ts timestamp, raw string")
+    real = ordering.sliced_position
+    monkeypatch.setattr(features, "sliced_position", lambda *a, **k: real(*a, crowd=crowd, **k))
+    got = {(r["block_id"], r["line_id"], r["raw"]): r["event_index"] for r in features.event_index(df).collect()}
+    assert got == {**{("b", r[0], r[2]): i for r, i in _plain_positions(rows)}, (None, 0, "y"): 0, (None, 1, "x"): 1}
+
+
+def test_crowded_slices_are_cut(spark):
+    """One block over many files whose ids are 0 to 99: no group of rows is larger than an id's share."""
+    df = spark.range(200_000).select(
+        F.lit("b").alias("block_id"), (F.col("id") % 100).alias("line_id"), F.md5(F.col("id").cast("string")).alias("tie")
+    )
+    start = F.conv(F.substring("tie", 1, 3), 16, 10).cast("bigint")
+    out = ordering.sliced_position(df, "block_id", "line_id", ["tie"], "at", finer=(F.col("line_id"), start), crowd=1000)
+    facts = out.agg(F.count("at"), F.count_distinct("at"), F.min("at"), F.max("at")).first()
+    assert tuple(facts) == (200_000, 200_000, 0, 199_999)
+    assert out.filter(F.floor(F.col("at") / 2000) != F.col("line_id")).isEmpty()
+    cells = df.groupBy("line_id", start).count().agg(F.max("count")).first()[0]
+    assert cells < 20
+
+
+def test_tailed_events_stand_in_order_of_time(spark):
+    """Tailed events stand in the order of their times."""
+    start = datetime(2024, 1, 1)
+    rows = [("b", i, None, start + timedelta(seconds=i % 7), f"line {i} {'x' * i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "block_id string, template_id long, line_id long, collected_at timestamp, raw string")
+    got = [r["template_id"] % 7 for r in features.event_features(df).orderBy("event_index").collect()]
+    assert got == sorted(got) and len(got) == 50
