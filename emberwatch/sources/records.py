@@ -21,6 +21,9 @@ EVENT_XML = (
     "EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>"
 )
 
+#: Events whose data may hold elements beside plain Data ones; declarations may hide some.
+MORE_THAN_DATA = r"(?s)<!|<EventData.*?<(?!/?Data[\s/>]|/EventData\s*>|/Event\s*>)"
+
 
 def parse_json_lines(df: DataFrame, column: str, schema: T.StructType, required: list[str]) -> DataFrame:
     """JSON text → columns; malformed lines and lines lacking a required key are dropped."""
@@ -82,7 +85,9 @@ def xml_event_lines(df: DataFrame, column: str = "xml") -> DataFrame:
     appended so that the keyword rules can match.
     """
     others = [c for c in df.columns if c != column]
-    work = df.withColumn("_e", F.from_xml(F.col(column), EVENT_XML)).filter(F.col("_e.System").isNotNull())
+    # exploded, not filtered: a filter would be moved into the scan and parse every event twice
+    whole = F.filter(F.array(F.from_xml(F.col(column), EVENT_XML)), lambda e: e["System"].isNotNull())
+    work = df.withColumn("_e", F.explode(whole))
     system = "_e.System"
 
     def value(path, default):
@@ -105,13 +110,18 @@ def xml_event_lines(df: DataFrame, column: str = "xml") -> DataFrame:
     )
     # free-form user data has no fixed schema; its texts are read in document order
     loose = F.transform(F.xpath(F.col(column), F.lit("Event/UserData//text()")), lambda v: text.strip(v))
-    # other elements of the event data carry text too
+    # other elements of the event data carry text too; a path builds the whole document, so only
+    # events that may hold such an element are searched
     others_text = F.transform(
         F.xpath(F.col(column), F.lit("Event/EventData//*[name() != 'Data']/text()")), lambda v: text.strip(v)
     )
-    fields = F.when(
-        F.col("_e.EventData").isNotNull(), F.concat(F.coalesce(named, F.array().cast("array<string>")), others_text)
-    ).otherwise(loose)
+    named = F.coalesce(named, F.array().cast("array<string>"))
+    event_data = F.when(F.col(column).rlike(MORE_THAN_DATA), F.concat(named, others_text)).otherwise(named)
+    fields = (
+        F.when(F.col("_e.EventData").isNotNull(), event_data)
+        .when(F.contains(F.col(column), F.lit("UserData")) | F.contains(F.col(column), F.lit("<!")), loose)
+        .otherwise(F.array().cast("array<string>"))
+    )
     present = F.slice(F.filter(fields, lambda v: v.isNotNull() & (v != "")), 1, XML_DATA_FIELDS)
     words = lookup(D.EVENT_KEYWORDS, number.try_cast("bigint"), key_type="bigint")
     line = F.concat(

@@ -151,3 +151,29 @@ def test_event_xml_keeps_other_data_elements(spark):
     )
     line = records.xml_event_lines(spark.createDataFrame([(xml,)], "xml string")).first()["raw"]
     assert line.endswith(" | a=1 | FFEE")
+
+
+def test_event_xml_is_parsed_once(spark):
+    """Not in a filter that moves below the shuffle, where the input may be a single split."""
+    lines = records.xml_event_lines(spark.range(8).repartition(2).selectExpr("concat('<Event><System/></Event>', id) AS xml"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1
+
+
+def test_event_xml_searches_wherever_elements_may_hide(spark):
+    """Texts of all but plain data elements are found by path, whatever the event looks like."""
+    head = "<System><EventRecordID>{}</EventRecordID><EventID>9</EventID><Channel>C</Channel></System>"
+    data = [
+        "<EventData><Data>1</Data></EventData>",
+        "<EventData><Data/><Data Name='a'>1</Data >\n</EventData >",
+        "<EventData><Data>1<b>deep</b></Data></EventData>",
+        "<EventData><DataX>2</DataX></EventData>",
+        "<EventData><EventData>3</EventData></EventData>",
+        "<EventData/><UserData><x>4</x></UserData>",
+        "<UserData>5</UserData>",
+        "",
+    ]
+    rows = [(f"<Event>{head.format(i)}{d}</Event>",) for i, d in enumerate(data)]
+    rows.append((f"<Event><EventData><Binary>6</Binary></EventData>{head.format(len(data))}</Event>",))
+    got = {r["record_id"]: r["raw"].split("Time=")[1] for r in records.xml_event_lines(spark.createDataFrame(rows, "xml string")).collect()}
+    assert got == {0: " | 1", 1: " | a=1", 2: " | 1 | deep", 3: " | 2", 4: " | 3", 5: "", 6: " | 5", 7: "", 8: " | 6"}
