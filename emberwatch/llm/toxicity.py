@@ -1,10 +1,13 @@
-"""Toxicity by a convolutional text classifier trained here in numpy.
+"""Toxicity by a convolutional text classifier trained in numpy tasks over all labelled rows.
 
 A word enters as the sum of two hashed embeddings, one of the whole word and one of its first
 letters, so unseen endings of a known stem still count.  Filters of several widths slide over
 the words, each keeps its maximum over the whole text, and a logistic unit joins them.  A
 threshold for each language is fitted on rows kept out of the training; the language is read
 off the text by its common words, never from a column.  A score of 0.5 is that threshold.
+
+Training goes in rounds.  The labelled rows lie in shards of fixed content; in a round every shard
+takes its own gradient steps from the common model, and Spark averages what they changed.
 """
 
 from __future__ import annotations
@@ -15,24 +18,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import alnum_words, chunks, keyed_text, map_keyed
 
-#: Most rows of either class that the model is fitted on, chosen by hash over all labelled rows.
-MOST_POSITIVE, MOST_NEGATIVE = 2_500, 3_500
+#: Labelled rows to a shard, until so many shards exist; beyond, shards grow.
+SHARD_ROWS, MOST_SHARDS = 6_000, 64
+#: Rows and words that a shard holds at once; batches are made among them.
+WINDOW_ROWS, WINDOW_WORDS = 6_000, 4_000_000
+#: Embedding rows that are averaged in one group.
+BLOCK = 2_048
+#: Bits of the filter of labelled keys, and of one of its rows (fixed by Spark's bitmap functions).
+FILTER_BITS, BITMAP_BITS = 1 << 26, 1 << 15
 BUCKETS = 1 << 18
 STEM_BYTES = 4
 DIM, FILTERS, WIDTHS = 12, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 5, 48, 0.08, 1e-6
-#: A small sample is gone through more often, for at least so many steps in all.
+#: A small shard is gone through more often, for at least so many steps in all.
 LEAST_STEPS = 400
 #: A bucket gets an embedding if so many training texts have it; all others share a zero vector.
 LEAST_TEXTS = 3
 #: Languages with fewer calibration texts of either class take the threshold of all languages.
 LEAST_CALIBRATION = 15
-CALIBRATION_SHARE = 4  # one in so many sampled rows
+CALIBRATION_SHARE = 4  # one in so many labelled rows
+#: With more calibration rows than this their logits are counted in steps of 1 / LOGIT_STEPS.
+EXACT_LOGITS, LOGIT_STEPS = 100_000, 4_096
 #: Text bytes that are split into words and scored at once.
 BYTES_AT_ONCE = 400_000
 REMEMBERED = 250_000
@@ -59,9 +71,18 @@ class Model:
     """Embedding rows, filters and thresholds; small and of a size set by the parameters above."""
 
     def __init__(self, whole: list[np.ndarray], stems: list[np.ndarray], seed: int = 7):
+        self._begin(rows_of(whole), rows_of(stems), seed)
+
+    @classmethod
+    def of_rows(cls, whole: tuple[np.ndarray, int], stems: tuple[np.ndarray, int], seed: int = 7) -> Model:
+        """A model whose embedding rows are given as by ``rows_of``."""
+        model = cls.__new__(cls)
+        model._begin(whole, stems, seed)
+        return model
+
+    def _begin(self, whole: tuple[np.ndarray, int], stems: tuple[np.ndarray, int], seed: int) -> None:
         draw = np.random.default_rng(seed)
-        self.rows_whole, n_whole = rows_of(whole)
-        self.rows_stem, n_stem = rows_of(stems)
+        (self.rows_whole, n_whole), (self.rows_stem, n_stem) = whole, stems
         self.e_whole = draw.normal(0, 0.1, (n_whole, DIM)).astype(np.float32)
         self.e_stem = draw.normal(0, 0.1, (n_stem, DIM)).astype(np.float32)
         self.e_whole[0] = self.e_stem[0] = 0
@@ -71,77 +92,100 @@ class Model:
         self.bias = np.float32(0)
         self.thresholds = np.zeros(len(LANGUAGES))
 
-    def fit(self, whole, stems, labels: np.ndarray, weights: np.ndarray, seed: int = 11) -> None:
-        """Adaptive gradient steps on small batches; gradients pass through the maxima only."""
-        draw = np.random.default_rng(seed)
-        whole = [self.rows_whole[x] for x in whole]
-        stems = [self.rows_stem[x] for x in stems]
-        seen = {k: np.full_like(v, 1e-6) for k, v in (("w", self.e_whole), ("s", self.e_stem), ("o", self.out))}
-        seen_f = [np.full_like(f, 1e-6) for f in self.filters]
-        seen_b = [np.full_like(b, 1e-6) for b in self.shift]
-        seen_bias = 1e-6
+    def epoch(self, seen: Seen, whole, stems, labels: np.ndarray, weights: np.ndarray, rate: float, draw) -> None:
+        """Adaptive gradient steps on small batches, once over the rows; gradients pass through the maxima only."""
         # Texts of like length share a batch, so one long text does not set the size of many.
         order = np.argsort([len(x) for x in whole], kind="stable")
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-        epochs = max(EPOCHS, -(-LEAST_STEPS // len(batches)))
-        for epoch in range(epochs):
-            rate = RATE / (1 + EPOCHS * epoch / epochs)
-            for b in draw.permutation(len(batches)):
-                batch = batches[b]
-                sizes = np.array([len(whole[i]) for i in batch])
-                ids_w, ids_s = np.concatenate([whole[i] for i in batch]), np.concatenate([stems[i] for i in batch])
-                x = self.e_whole[ids_w] + self.e_stem[ids_s]
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                pooled = np.zeros((len(batch), len(self.out)), np.float32)
-                where = np.full((len(batch), len(self.out)), -1)
-                for k, w in enumerate(WIDTHS):
-                    if len(x) < w:
-                        continue
-                    c = sum(x[j : len(x) - w + 1 + j] @ self.filters[k][j] for j in range(w)) + self.shift[k]
-                    for r, (s, n) in enumerate(zip(starts, sizes, strict=True)):
-                        if n >= w:
-                            own = c[s : s + n - w + 1]
-                            at = own.argmax(0)
-                            top = own[at, np.arange(FILTERS)]
-                            cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                            pooled[r, cols] = np.maximum(top, 0)
-                            where[r, cols] = np.where(top > 0, s + at, -1)
-                p = 1 / (1 + np.exp(-(pooled @ self.out + self.bias)))
-                g = ((p - labels[batch]) * weights[batch] / len(batch)).astype(np.float32)
-                g_pool = g[:, None] * self.out[None, :]
-                g_out = g @ pooled + DECAY * self.out
-                ids, grads = [], []
-                for k, w in enumerate(WIDTHS):
-                    cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                    r, f = np.nonzero(where[:, cols] >= 0)
-                    at, gg = where[:, cols][r, f], g_pool[:, cols][r, f]
-                    g_f = np.zeros_like(self.filters[k])
-                    for j in range(w):
-                        np.add.at(g_f[j].T, f, gg[:, None] * x[at + j])
-                        ids.append(at + j)
-                        grads.append(gg[:, None] * self.filters[k][j].T[f])
-                    g_b = np.bincount(f, gg, FILTERS).astype(np.float32)
-                    seen_f[k] += g_f**2
-                    self.filters[k] -= rate * g_f / np.sqrt(seen_f[k])
-                    seen_b[k] += g_b**2
-                    self.shift[k] -= rate * g_b / np.sqrt(seen_b[k])
-                at, grad = np.concatenate(ids), np.concatenate(grads)
-                for name, table, own in (("w", self.e_whole, ids_w[at]), ("s", self.e_stem, ids_s[at])):
-                    rows, back = np.unique(own, return_inverse=True)
-                    total = np.zeros((len(rows), DIM), np.float32)
-                    np.add.at(total, back, grad)
-                    total[rows == 0] = 0
-                    seen[name][rows] += total**2
-                    table[rows] -= rate * total / np.sqrt(seen[name][rows])
-                seen["o"] += g_out**2
-                self.out -= rate * g_out / np.sqrt(seen["o"])
-                seen_bias += g.sum() ** 2
-                self.bias -= np.float32(rate * g.sum() / np.sqrt(seen_bias))
+        for b in draw.permutation(len(batches)):
+            batch = batches[b]
+            sizes = np.array([len(whole[i]) for i in batch])
+            ids_w, ids_s = np.concatenate([whole[i] for i in batch]), np.concatenate([stems[i] for i in batch])
+            x = self.e_whole[ids_w] + self.e_stem[ids_s]
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            pooled = np.zeros((len(batch), len(self.out)), np.float32)
+            where = np.full((len(batch), len(self.out)), -1)
+            for k, w in enumerate(WIDTHS):
+                if len(x) < w:
+                    continue
+                c = sum(x[j : len(x) - w + 1 + j] @ self.filters[k][j] for j in range(w)) + self.shift[k]
+                for r, (s, n) in enumerate(zip(starts, sizes, strict=True)):
+                    if n >= w:
+                        own = c[s : s + n - w + 1]
+                        at = own.argmax(0)
+                        top = own[at, np.arange(FILTERS)]
+                        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+                        pooled[r, cols] = np.maximum(top, 0)
+                        where[r, cols] = np.where(top > 0, s + at, -1)
+            p = 1 / (1 + np.exp(-(pooled @ self.out + self.bias)))
+            g = ((p - labels[batch]) * weights[batch] / len(batch)).astype(np.float32)
+            g_pool = g[:, None] * self.out[None, :]
+            g_out = g @ pooled + DECAY * self.out
+            ids, grads = [], []
+            for k, w in enumerate(WIDTHS):
+                cols = slice(k * FILTERS, (k + 1) * FILTERS)
+                r, f = np.nonzero(where[:, cols] >= 0)
+                at, gg = where[:, cols][r, f], g_pool[:, cols][r, f]
+                g_f = np.zeros_like(self.filters[k])
+                for j in range(w):
+                    np.add.at(g_f[j].T, f, gg[:, None] * x[at + j])
+                    ids.append(at + j)
+                    grads.append(gg[:, None] * self.filters[k][j].T[f])
+                g_b = np.bincount(f, gg, FILTERS).astype(np.float32)
+                seen.filters[k] += g_f**2
+                self.filters[k] -= rate * g_f / np.sqrt(seen.filters[k])
+                seen.shift[k] += g_b**2
+                self.shift[k] -= rate * g_b / np.sqrt(seen.shift[k])
+            at, grad = np.concatenate(ids), np.concatenate(grads)
+            for known, table, own in ((seen.e_whole, self.e_whole, ids_w[at]), (seen.e_stem, self.e_stem, ids_s[at])):
+                rows, back = np.unique(own, return_inverse=True)
+                total = np.zeros((len(rows), DIM), np.float32)
+                np.add.at(total, back, grad)
+                total[rows == 0] = 0
+                known[rows] += total**2
+                table[rows] -= rate * total / np.sqrt(known[rows])
+            seen.out += g_out**2
+            self.out -= rate * g_out / np.sqrt(seen.out)
+            seen.bias += g.sum() ** 2
+            self.bias -= np.float32(rate * g.sum() / np.sqrt(seen.bias))
+
+    def parts(self, seen: Seen) -> dict[str, np.ndarray]:
+        """All that training changes, with the squares seen, as rows that can be averaged one by one."""
+        one = [*self.filters, *self.shift, self.out, self.bias, *seen.filters, *seen.shift, seen.out, seen.bias]
+        return {
+            "whole": np.hstack([self.e_whole, seen.e_whole]),
+            "stem": np.hstack([self.e_stem, seen.e_stem]),
+            "one": np.concatenate([np.ravel(x) for x in one]).astype(np.float32)[None, :],
+        }
+
+    def take(self, seen: Seen, part: str, rows: np.ndarray, values: np.ndarray) -> None:
+        """Put rows of ``parts`` in their places."""
+        if part != "one":
+            table, known = (self.e_whole, seen.e_whole) if part == "whole" else (self.e_stem, seen.e_stem)
+            table[rows], known[rows] = values[:, :DIM], values[:, DIM:]
+            return
+        flat, at = values[0], 0
+        for own in (self, seen):
+            for x in [*own.filters, *own.shift, own.out]:
+                x[...] = flat[at : at + x.size].reshape(x.shape)
+                at += x.size
+            own.bias = type(own.bias)(flat[at])
+            at += 1
 
     def tables(self) -> Tables:
         return Tables(self)
 
 
+class Seen:
+    """Sums of squared gradients, shaped like the model."""
+
+    def __init__(self, model: Model):
+        self.e_whole, self.e_stem, self.out = (np.full_like(x, 1e-6) for x in (model.e_whole, model.e_stem, model.out))
+        self.filters = [np.full_like(f, 1e-6) for f in model.filters]
+        self.shift = [np.full_like(b, 1e-6) for b in model.shift]
+        self.bias = 1e-6
+
+
 class Codes(dict):
     """Word to whole row, stem row and language, packed in one integer."""
 
@@ -217,17 +261,22 @@ def rows_of(ids: list[np.ndarray]) -> tuple[np.ndarray, int]:
     texts = np.zeros(BUCKETS, np.int64)
     for x in ids:
         texts[np.unique(x)] += 1
+    return rows_for(texts)
+
+
+def rows_for(texts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The same from the number of texts that have each bucket."""
     rows = np.zeros(BUCKETS, np.int64)
     kept = np.flatnonzero(texts >= LEAST_TEXTS)
     rows[kept] = np.arange(1, len(kept) + 1)
     return rows, len(kept) + 1
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    """Middle of the widest gap among thresholds of least weighted error."""
-    order = np.argsort(logits)
-    x, y, w = logits[order], labels[order], weights[order]
-    wrong = np.r_[0, np.cumsum(np.where(y == 1, w, -w))] + w[y == 0].sum()
+def best_threshold(logits: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> float:
+    """Middle of the widest gap among thresholds of least weighted error; the weights of each logit are given."""
+    x, back = np.unique(logits, return_inverse=True)
+    y, n = np.bincount(back, positive), np.bincount(back, negative)
+    wrong = np.r_[0, np.cumsum(y - n)] + n.sum()
     edges = np.r_[x[0] - 2, x, x[-1] + 2]
     gaps = np.where(wrong <= wrong.min() + 1e-9, np.diff(edges), -1)
     i = gaps.argmax()
@@ -239,62 +288,161 @@ def is_held_out(key: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> pd.DataFrame:
-    """Words' buckets of at most MOST_POSITIVE and MOST_NEGATIVE labelled texts, and their weights.
+def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, dict, int]:
+    """Every labelled text in its shard, in an order of its own; weights of the classes; number of shards.
 
-    Labels of one key are merged by their maximum.  The chosen keys are few by parameter, so they
-    are broadcast and the documents stay in place.
+    Labels of one key are merged by their maximum.  A filter of fixed size, one bit to a hash of a key,
+    keeps most texts without a label out of the join; the join decides.
     """
     one = labels.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max(f"`{label}`").cast("int").alias("_label"))
     one = one.where("_key is not null and _label in (0, 1)")
+    keys = keyed_text(docs, key, key).select("_key").join(one, "_key").groupBy("_label").agg(F.count("*").alias("n"))
     totals = {r["_label"]: r["n"] for r in one.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    most = {1: MOST_POSITIVE, 0: MOST_NEGATIVE}
-    parts = [one.where(F.col("_label") == c).orderBy(F.xxhash64("_key"), "_key").limit(n) for c, n in most.items()]
-    chosen = parts[0].union(parts[1])
-    rows = keyed_text(docs, key, text, as_bytes=True).join(F.broadcast(chosen), "_key")
-    # A key may have several texts: the bound holds for rows as well.
-    rows = rows.withColumn("_order", F.xxhash64("_key", "_text")).orderBy("_order").limit(sum(most.values()))
+    got = {r["_label"]: r["n"] for r in keys.collect()}
+    shards = int(min(MOST_SHARDS, max(1, -(-sum(got.values()) // SHARD_ROWS))))
+
+    def slot(rows):
+        kind = docs.schema[key].dataType
+        return rows.withColumn("_slot", F.pmod(F.xxhash64(F.col("_key").cast(kind)), F.lit(FILTER_BITS)))
+
+    bits = slot(one).groupBy(F.expr(f"_slot div {BITMAP_BITS}").alias("_map")).agg(
+        F.bitmap_construct_agg(F.col("_slot") % BITMAP_BITS).alias("_bits")
+    )
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, int(_slot % {BITMAP_BITS} div 8) + 1, 1)")), 16, 10).cast("int")
+    rows = slot(keyed_text(docs, key, text, as_bytes=True)).withColumn("_map", F.expr(f"_slot div {BITMAP_BITS}"))
+    rows = rows.join(F.broadcast(bits), "_map").where(F.getbit(byte, (F.col("_slot") % 8).cast("int")) == 1)
+    rows = rows.select("_key", "_text").join(one, "_key")
+    rows = rows.select("_label", "_text", F.xxhash64("_key", "_text").alias("_order"))
+    rows = rows.withColumn("_calibrate", F.col("_order") % CALIBRATION_SHARE == 0)
+    placed = rows.repartition(shards, "_order").sortWithinPartitions("_order")
+    return placed, {c: totals.get(c, 0) / n for c, n in got.items()}, shards
+
+
+def bucket_texts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each bucket occurs, as whole word and as stem; at most two counts to a bucket."""
+
+    def run(frames):
+        texts = np.zeros((2, BUCKETS), np.int64)
+        for frame in frames:
+            for t in frame["_text"]:
+                for kind, ids in enumerate(buckets(alnum_words(t))):
+                    texts[kind][np.unique(ids)] += 1
+        at = np.flatnonzero(texts)
+        yield pd.DataFrame({"at": at, "n": texts.ravel()[at]})
+
+    counts = rows.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    texts = np.zeros(2 * BUCKETS, np.int64)
+    texts[counts["at"].to_numpy(np.int64)] = counts["n"]
+    return texts[:BUCKETS], texts[BUCKETS:]
+
+
+def windows(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[tuple[list, list, np.ndarray]]:
+    """Embedding rows of the words of consecutive texts, and their labels, a bounded number at a time."""
+    codes, whole, stems, labels, held = Codes(model.rows_whole, model.rows_stem), [], [], [], 0
+    for frame in frames:
+        for raw, y in zip(frame["_text"], frame["_label"], strict=True):
+            words = alnum_words(raw)
+            if labels and (len(labels) >= WINDOW_ROWS or held + len(words) > WINDOW_WORDS):
+                yield whole, stems, np.array(labels, np.float64)
+                whole, stems, labels, held = [], [], [], 0
+            own = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            whole.append((own >> 35).astype(np.int32))
+            stems.append(((own >> 8) & ((1 << 27) - 1)).astype(np.int32))
+            labels.append(y)
+            held += len(words)
+    if labels:
+        yield whole, stems, np.array(labels, np.float64)
+
+
+def trained_round(rows: DataFrame, model: Model, seen: Seen, balance: float, rates: list[float], number: int) -> None:
+    """One step of every shard over its rows, ``rates`` times, and the average of what they changed.
+
+    An embedding row is averaged over the shards that changed it.  Shards that are gone through more
+    than once are the only one and hold it; else rows pass by in windows.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps((model, seen)))
+
+    def run(frames):
+        shard = TaskContext.get().partitionId()
+        model, seen = pickle.loads(shared.value)
+        before = model.parts(seen)
+        draw = np.random.default_rng(11 if len(rates) > 1 or number == 0 == shard else [11, shard, number])
+        own = windows(frames, model)
+        held = list(own) if len(rates) > 1 else None
+        for rate in rates:
+            for whole, stems, y in held or own:
+                model.epoch(seen, whole, stems, y, np.where(y == 1, balance, 1.0), rate, draw)
+        for part, values in model.parts(seen).items():
+            changed = np.flatnonzero((values != before[part]).any(1))
+            for block in np.unique(changed // BLOCK):
+                at = changed[changed // BLOCK == block]
+                yield pd.DataFrame(
+                    {"part": [part], "block": [block], "shard": [shard], "rows": [at.astype("<i8").tobytes()], "values": [values[at].tobytes()]}
+                )
+
+    def average(frame):
+        at = [np.frombuffer(r, "<i8") for r in frame.sort_values("shard")["rows"]]
+        rows, back = np.unique(np.concatenate(at), return_inverse=True)
+        values = np.concatenate([np.frombuffer(v, np.float32) for v in frame.sort_values("shard")["values"]]).reshape(len(back), -1)
+        total = np.zeros((len(rows), values.shape[1]), np.float32)
+        np.add.at(total, back, values)
+        total /= np.bincount(back)[:, None].astype(np.float32)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "rows": [rows.tobytes()], "values": [total.tobytes()]})
+
+    made = rows.mapInPandas(run, "part string, block long, shard int, rows binary, values binary")
+    made = made.groupBy("part", "block").applyInPandas(average, "part string, rows binary, values binary")
+    for r in made.collect():
+        at = np.frombuffer(r["rows"], "<i8")
+        model.take(seen, r["part"], at, np.frombuffer(r["values"], np.float32).reshape(len(at), -1))
+    shared.destroy()
+
+
+def calibrated(rows: DataFrame, model: Model, weights: dict[int, float], n: int) -> None:
+    """Fit the thresholds on all calibration rows, whose logits are counted by language and class."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(frames):
+        tables = pickle.loads(shared.value).tables()
         for frame in frames:
-            both = [buckets(alnum_words(t)) for t in frame["_text"]]
-            yield pd.DataFrame(
-                {
-                    "label": frame["_label"],
-                    "calibrate": [o % CALIBRATION_SHARE == 0 for o in frame["_order"]],
-                    "whole": [b[0].astype("<i4").tobytes() for b in both],
-                    "stems": [b[1].astype("<i4").tobytes() for b in both],
-                    "text": frame["_text"].where([o % CALIBRATION_SHARE == 0 for o in frame["_order"]], b""),
-                }
-            )
-
-    sample = rows.mapInPandas(run, "label int, calibrate boolean, whole binary, stems binary, text binary").toPandas()
-    got = sample["label"].value_counts()
-    sample["weight"] = sample["label"].map(lambda c: totals.get(c, 0) / max(1, got.get(c, 1)))
-    return sample
+            logits, languages = tables.logits(list(frame["_text"]))
+            if n > EXACT_LOGITS:
+                logits = np.round(logits * LOGIT_STEPS) / LOGIT_STEPS
+            yield pd.DataFrame({"logit": logits, "language": languages, "label": frame["_label"].to_numpy()})
+
+    counts = rows.mapInPandas(run, "logit double, language int, label int").groupBy("logit", "language").agg(
+        F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative")
+    )
+    counts = counts.toPandas()
+    for i in range(len(LANGUAGES)):
+        own = counts[counts["language"] == i] if i else counts
+        if i == 0 or min(own["positive"].sum(), own["negative"].sum()) >= LEAST_CALIBRATION:
+            found = best_threshold(own["logit"].to_numpy(), own["positive"] * weights[1], own["negative"] * weights[0])
+            model.thresholds[i if i else slice(None)] = found
+    shared.destroy()
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | float:
-    """Model fitted on a bounded sample; without both classes, the share of label 1 (0 without labels)."""
-    sample = labelled_sample(docs, labels, key, text, label)
-    fit, held = sample[~sample["calibrate"]], sample[sample["calibrate"]]
-    if fit["label"].nunique() < 2:
-        return float(sample["label"].mean()) if len(sample) else 0.0
-    whole = [np.frombuffer(x, "<i4") for x in fit["whole"]]
-    stems = [np.frombuffer(x, "<i4") for x in fit["stems"]]
-    model, y = Model(whole, stems), fit["label"].to_numpy(np.float64)
-    balance = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
-    model.fit(whole, stems, y, np.minimum(balance, 10.0))
-    held = held if held["label"].nunique() == 2 else sample
-    texts = list(held["text"]) if len(held) < len(sample) else None
-    if texts is not None:
-        logits, languages = model.tables().logits(texts)
-        y, w = held["label"].to_numpy(), held["weight"].to_numpy()
-        model.thresholds[:] = best_threshold(logits, y, w)
-        for i in range(1, len(LANGUAGES)):
-            own = languages == i
-            if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= LEAST_CALIBRATION:
-                model.thresholds[i] = best_threshold(logits[own], y[own], w[own])
+    """Model fitted on every labelled row; without both classes, the share of label 1 (0 without labels)."""
+    rows, weights, shards = labelled(docs, labels, key, text, label)
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        n = {(r["_label"], r["_calibrate"]): r["count"] for r in rows.groupBy("_label", "_calibrate").count().collect()}
+        positive, negative = n.get((1, False), 0), n.get((0, False), 0)
+        if not positive or not negative:
+            return (positive + n.get((1, True), 0)) / max(1, sum(n.values()))
+        fit, held = rows.where("not _calibrate"), rows.where("_calibrate")
+        whole, stems = bucket_texts(fit)
+        model = Model.of_rows(rows_for(whole), rows_for(stems))
+        seen, balance = Seen(model), min(negative / positive, 10.0)
+        batches = max(1, -(-(positive + negative) // (BATCH * shards)))
+        epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+        rates = [RATE / (1 + EPOCHS * epoch / epochs) for epoch in range(epochs)]
+        for number, own in enumerate([rates] if shards == 1 else [[r] for r in rates]):
+            trained_round(fit, model, seen, balance, own, number)
+        if n.get((1, True), 0) and n.get((0, True), 0):
+            calibrated(held, model, weights, n[1, True] + n[0, True])
+    finally:
+        rows.unpersist()
     return model
 
 

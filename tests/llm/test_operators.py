@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, queries, quality, secrets, suffix_dedup, topk, toxicity
@@ -66,6 +67,26 @@ def test_classifiers_on_odd_rows(spark, odd, none):
     assert quality.scored(quality.described(none), quality.fitted(quality.described(none), no_labels)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only the last of 4,000 positive rows hold, in the order of the keys' hashes, is known."""
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id")))
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    word = F.when(F.col("toxic") == 0, "plain").when(F.col("place") <= 3000, "early").otherwise("latecomer")
+    text = F.concat_ws(" ", F.lit("some words"), F.col("doc_id") % 50, word, F.lit("and more"))
+    rows = rows.withColumn("place", place).withColumn("text", text)
+    model = toxicity.trained(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(w, f"some words 7 {w} and more") for w in ("plain", "early", "latecomer")], "doc_id string, text string")
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.scored(asked, model).collect()}
+    assert got == {"plain": False, "early": True, "latecomer": True}
+
+
+def test_toxicity_training_repeats(spark):
+    """Shards hold the same rows whatever the order and partitions of the input."""
+    rows = spark.range(7000).selectExpr("id as doc_id", "int(id % 3 = 0) as toxic", "concat('w', id % 97, ' t', id % 3) as text")
+    a, b = (toxicity.trained(r.select("doc_id", "text"), r.select("doc_id", "toxic")) for r in (rows, rows.repartition(5).orderBy("text")))
+    assert all(np.array_equal(x, y) for x, y in zip([a.e_whole, a.out, a.thresholds], [b.e_whole, b.out, b.thresholds], strict=True))
+
+
 # --- top-k ------------------------------------------------------------------------------
 
 
