@@ -1,13 +1,17 @@
 """Keyed state of streams, kept by Spark's state store.
 
-Rows meet their key's state in one task, so what a micro-batch holds of one key bounds that task; the
-source's limit for each trigger sets it.  Nothing here is rewritten as a whole: the store keeps changes,
+Rows meet their key's state in one task; the cooldown sorts a key's rows of a micro-batch on that task's
+disk, so its memory does not grow with them.  Nothing here is rewritten as a whole: the store keeps changes,
 and a key whose time is over is removed by its timer.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import pickle
 import sys
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +28,52 @@ from emberwatch.operators.cooldown import key_name
 # workers need not have this package: processors travel with the query
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows of a sorted run, rows of it that are read at once, and runs that are merged at once.
+RUN_ROWS, BLOCK_ROWS, MOST_RUNS = 20_000, 100, 200
+
+
+class Runs:
+    """Tuples to be read in order once: sorted runs on the task's disk, of which few rows are in memory."""
+
+    def __init__(self, rows: int = RUN_ROWS, block: int = BLOCK_ROWS):
+        self.rows, self.block, self.held, self.files = rows, block, [], []
+
+    def add(self, item: tuple) -> None:
+        self.held.append(item)
+        if len(self.held) >= self.rows:
+            self._spill(sorted(self.held))
+            self.held = []
+            if len(self.files) >= MOST_RUNS:
+                files, self.files = self.files, []
+                self._spill(heapq.merge(*map(self._read, files)))
+                for file in files:
+                    file.close()
+
+    def _spill(self, items) -> None:
+        file, items = tempfile.TemporaryFile(), iter(items)
+        self.files.append(file)
+        while block := list(itertools.islice(items, self.block)):
+            pickle.dump(block, file, pickle.HIGHEST_PROTOCOL)
+        file.flush()
+
+    @staticmethod
+    def _read(file) -> Iterator[tuple]:
+        file.seek(0)
+        while True:
+            try:
+                block = pickle.load(file)
+            except EOFError:
+                return
+            yield from block
+
+    def merged(self) -> Iterator[tuple]:
+        self.held.sort()
+        return heapq.merge(*map(self._read, self.files), self.held)
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
+
 
 class CooldownProcessor(StatefulProcessor):
     """Keeps a row when ``wait`` microseconds have passed since the last kept row of its key."""
@@ -36,17 +86,22 @@ class CooldownProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
-        rows = list(rows)
-        yield from (Row(row_=r["row_"]) for r in rows if r["t_"] is None)
-        # nulls of the tie come last; ``place`` keeps rows themselves from being compared
-        found = [(r["t_"], r["tie_"] is None, r["tie_"] or 0, place, r["row_"]) for place, r in enumerate(rows) if r["t_"] is not None and (last is None or r["t_"] > last)]
-        found.sort()
-        kept = False
-        for t, *_, row in found:
-            if last is None or t >= last + self.wait:
-                last, kept = t, True
-                yield Row(row_=row)
+        last = known = self.last.get()[0] if self.last.exists() else None
+        runs = Runs()
+        try:
+            for place, r in enumerate(rows):
+                if r["t_"] is None:
+                    yield Row(row_=r["row_"])
+                elif known is None or r["t_"] > known:
+                    # nulls of the tie come last; ``place`` keeps rows themselves from being compared
+                    runs.add((r["t_"], r["tie_"] is None, r["tie_"] or 0, place, r["row_"]))
+            kept = False
+            for t, *_, row in runs.merged():
+                if last is None or t >= last + self.wait:
+                    last, kept = t, True
+                    yield Row(row_=row)
+        finally:
+            runs.close()
         if not kept:
             return
         self.last.update((last,))

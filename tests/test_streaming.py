@@ -12,7 +12,7 @@ from emberwatch.operators.cooldown import cooldown
 from emberwatch.schemas import struct
 from emberwatch.session import written
 from emberwatch.sources import growing_files
-from emberwatch.streaming import jobs
+from emberwatch.streaming import jobs, state
 from emberwatch.streaming.windows import minute_blocks
 
 T0 = datetime(2024, 1, 1)
@@ -274,3 +274,53 @@ def test_score_cycle_does_not_depend_on_batches(spark, folder, one_partition):
     pair = ["block_id", F.element_at("threat_categories", 1), "priority"]
     rules = told(alerts.rule_alerts(events), *pair)
     assert told(found.filter("rule_based"), *pair) == rules and len(rules) > 5
+
+
+def test_cooldown_state_holds_few_rows_of_a_key(monkeypatch):
+    """A key's micro-batch of any size passes in order while its rows are on disk."""
+    import random
+    import tracemalloc
+
+    from pyspark.sql import Row
+
+    class Last:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    def run(n):
+        """Peak memory of a batch of n rows in random order, and what it keeps."""
+        processor = state.CooldownProcessor(1000, None)
+        processor.last = Last()
+        draw = random.Random(1)
+        ids = list(range(n))
+        draw.shuffle(ids)
+        rows = (Row(t_=7 * i, tie_=None if i % 2 else i, row_=Row(event=f"event {i}", pad="x" * 200 + str(i))) for i in ids)
+        tracemalloc.start()
+        kept = [r["row_"]["event"] for r in processor.handleInputRows("k", rows, None)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak, kept, processor.last.value
+
+    small, _, _ = run(50_000)
+    large, kept, last = run(200_000)
+    assert kept == [f"event {i}" for i in range(0, 200_000, 143)]
+    assert last == (7 * (199_999 // 143 * 143),)
+    assert large < 1.5 * small
+
+
+def test_sorted_runs_are_merged_when_many(monkeypatch):
+    monkeypatch.setattr(state, "MOST_RUNS", 3)
+    runs = state.Runs(rows=4, block=2)
+    for i in range(50):
+        runs.add((i * 37 % 50, i))
+    assert len(runs.files) <= 3 and [x for x, _ in runs.merged()] == list(range(50))
+    runs.close()
