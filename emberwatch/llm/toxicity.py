@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import alnum_words, chunks, keyed_text, map_keyed
@@ -289,20 +289,22 @@ def is_held_out(key: str, folds: int, fold: int) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, dict, int]:
-    """Every labelled text in its shard, in an order of its own; weights of the classes; number of shards.
+    """Every labelled text, packed, in its shard, in an order of its own; weights of the classes; number of shards.
 
     Labels of one key are merged by their maximum.  A filter of fixed size, one bit to a hash of a key,
-    keeps most texts without a label out of the join; the join decides.
+    keeps out most texts without a label.  The rest are dealt into the shards by their key as text, together
+    with the labels, and meet their label there: a text moves once, and it travels and rests packed.
     """
     one = labels.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max(f"`{label}`").cast("int").alias("_label"))
     one = one.where("_key is not null and _label in (0, 1)")
+    kind = docs.schema[key].dataType
+    name = F.col("_key").cast(kind).cast("string").alias("_name")
     keys = keyed_text(docs, key, key).select("_key").join(one, "_key").groupBy("_label").agg(F.count("*").alias("n"))
     totals = {r["_label"]: r["n"] for r in one.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     got = {r["_label"]: r["n"] for r in keys.collect()}
     shards = int(min(MOST_SHARDS, max(1, -(-sum(got.values()) // SHARD_ROWS))))
 
     def slot(rows):
-        kind = docs.schema[key].dataType
         return rows.withColumn("_slot", F.pmod(F.xxhash64(F.col("_key").cast(kind)), F.lit(FILTER_BITS)))
 
     bits = slot(one).groupBy(F.expr(f"_slot div {BITMAP_BITS}").alias("_map")).agg(
@@ -311,11 +313,18 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     byte = F.conv(F.hex(F.expr(f"substring(_bits, int(_slot % {BITMAP_BITS} div 8) + 1, 1)")), 16, 10).cast("int")
     rows = slot(keyed_text(docs, key, text, as_bytes=True)).withColumn("_map", F.expr(f"_slot div {BITMAP_BITS}"))
     rows = rows.join(F.broadcast(bits), "_map").where(F.getbit(byte, (F.col("_slot") % 8).cast("int")) == 1)
-    rows = rows.select("_key", "_text").join(one, "_key")
-    rows = rows.select("_label", "_text", F.xxhash64("_key", "_text").alias("_order"))
-    rows = rows.withColumn("_calibrate", F.col("_order") % CALIBRATION_SHARE == 0)
-    placed = rows.repartition(shards, "_order").sortWithinPartitions("_order")
-    return placed, {c: totals.get(c, 0) / n for c, n in got.items()}, shards
+    rows = rows.select(name, "_text", F.xxhash64("_key", "_text").alias("_order"))
+    rows = rows.mapInPandas(packed, "_name string, _text binary, _order long")
+    rows = rows.unionByName(one.select(name, "_label"), allowMissingColumns=True).repartition(shards, "_name")
+    rows = rows.withColumn("_label", F.max("_label").over(Window.partitionBy("_name"))).where("_text is not null and _label is not null")
+    rows = rows.select("_label", "_text", "_order", (F.col("_order") % CALIBRATION_SHARE == 0).alias("_calibrate"))
+    return rows.sortWithinPartitions("_order"), {c: totals.get(c, 0) / n for c, n in got.items()}, shards
+
+
+def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows with their texts compressed one by one."""
+    for frame in frames:
+        yield frame.assign(_text=[zlib.compress(t, 1) for t in frame["_text"]])
 
 
 def bucket_texts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -325,7 +334,7 @@ def bucket_texts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         texts = np.zeros((2, BUCKETS), np.int64)
         for frame in frames:
             for t in frame["_text"]:
-                for kind, ids in enumerate(buckets(alnum_words(t))):
+                for kind, ids in enumerate(buckets(alnum_words(zlib.decompress(t)))):
                     texts[kind][np.unique(ids)] += 1
         at = np.flatnonzero(texts)
         yield pd.DataFrame({"at": at, "n": texts.ravel()[at]})
@@ -341,7 +350,7 @@ def windows(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[tuple[list
     codes, whole, stems, labels, held = Codes(model.rows_whole, model.rows_stem), [], [], [], 0
     for frame in frames:
         for raw, y in zip(frame["_text"], frame["_label"], strict=True):
-            words = alnum_words(raw)
+            words = alnum_words(zlib.decompress(raw))
             if labels and (len(labels) >= WINDOW_ROWS or held + len(words) > WINDOW_WORDS):
                 yield whole, stems, np.array(labels, np.float64)
                 whole, stems, labels, held = [], [], [], 0
@@ -404,7 +413,7 @@ def calibrated(rows: DataFrame, model: Model, weights: dict[int, float], n: int)
     def run(frames):
         tables = pickle.loads(shared.value).tables()
         for frame in frames:
-            logits, languages = tables.logits(list(frame["_text"]))
+            logits, languages = tables.logits([zlib.decompress(t) for t in frame["_text"]])
             if n > EXACT_LOGITS:
                 logits = np.round(logits * LOGIT_STEPS) / LOGIT_STEPS
             yield pd.DataFrame({"logit": logits, "language": languages, "label": frame["_label"].to_numpy()})

@@ -87,6 +87,19 @@ def test_toxicity_training_repeats(spark):
     assert all(np.array_equal(x, y) for x, y in zip([a.e_whole, a.out, a.thresholds], [b.e_whole, b.out, b.thresholds], strict=True))
 
 
+def test_toxicity_labelled_texts_move_once_and_packed(spark, capsys):
+    """Texts are dealt into their shards once, with their labels, and each is packed."""
+    rows = spark.range(9000).selectExpr("id as doc_id", "int(id % 3 = 0) as toxic", "repeat(concat('word', id % 97, ' '), 90) as text")
+    placed, weights, shards = toxicity.labelled(rows.select("doc_id", "text"), rows.selectExpr("string(doc_id) as doc_id", "toxic"), "doc_id", "text", "toxic")
+    placed.explain("formatted")
+    plan = capsys.readouterr().out
+    assert shards == 2 and placed.rdd.getNumPartitions() == 2 and weights == {0: 1.0, 1: 1.0}
+    exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (\w+)", plan)
+    assert [kind for columns, kind in exchanges if "_text" in columns] == ["hashpartitioning"]
+    got = placed.selectExpr("count(*) as n", "sum(length(_text)) as size", "count_if(_label = 1) as toxic").first()
+    assert (got["n"], got["toxic"]) == (9000, 3000) and 4 * got["size"] < rows.selectExpr("sum(length(text))").first()[0]
+
+
 # --- top-k ------------------------------------------------------------------------------
 
 
