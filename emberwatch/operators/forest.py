@@ -136,9 +136,9 @@ def tree_samples(df: DataFrame, key: str, columns: list[str], trees: int, size:
         return F.pmod(F.xxhash64("_id", tree, F.lit(seed)), F.lit(whole))
 
     every = F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = pool.select(
-        F.explode(F.filter(every, lambda t: place(t) < limit)).alias("tree"), "_id", "x"
-    ).withColumn("_order", place(F.col("tree")))
+    # explode and filter compile to one loop over the trees; a lambda would be interpreted
+    drawn = pool.select(F.explode(every).alias("tree"), "_id", "x").withColumn("_order", place(F.col("tree")))
+    drawn = drawn.filter(F.col("_order") < limit)
     best = Window.partitionBy("tree").orderBy("_order", "_id")
     return drawn.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= size).drop("_place")
 

@@ -111,3 +111,15 @@ def test_train_and_evaluate(spark, training, folder):
     assert got["Anomaly", "support"] == 20 and got["brute_force", "true_anomaly_hits"] == 20
     with pytest.raises(ValueError):
         jobs.evaluate(blocks, truth.withColumn(" BlockId ", F.lit("none")), result.model)
+
+
+def test_samples_are_the_smallest_hashes_found_without_a_lambda(spark, capsys):
+    """Every tree's rows by their hashes over all rows; the hashes run in compiled code."""
+    rows = spark.range(3000).selectExpr("concat('b', id) as block_id", "double(id % 7) as a")
+    drawn = forest.tree_samples(rows, "block_id", ["a"], 4, 50, 42, 3000)
+    drawn.explain()
+    assert "lambdafunction" not in capsys.readouterr().out
+    every = rows.crossJoin(spark.range(4).selectExpr("int(id) as tree"))
+    every = every.selectExpr("tree", "pmod(xxhash64(block_id, tree, 42), 2147483648) as _order", "block_id as _id").collect()
+    want = [r for t in range(4) for r in sorted(tuple(r) for r in every if r["tree"] == t)[:50]]
+    assert sorted(tuple(r) for r in drawn.select("tree", "_order", "_id").collect()) == want
