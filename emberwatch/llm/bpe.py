@@ -231,7 +231,8 @@ def _mapped(docs, spec, key, text, columns, shown):
             yield pd.DataFrame(
                 {"_key": frame["_key"], "n_tokens": [o[0] for o in out], **{c: [m[i] for m in made] for i, c in enumerate(names)}}
             )
-        # The worker goes on to other stages: it keeps the tables of the vocabulary, not the strings.
+        # The worker goes on to other stages: it keeps the tables of the vocabulary, not the strings and pairs.
         encoder.strings.clear()
+        encoder.fits.clear()
 
     return map_keyed(rows, run, f"n_tokens long, {columns}").withColumnRenamed("_key", key)

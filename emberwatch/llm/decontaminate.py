@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberwatch.llm.common import alnum_words, chunks, keyed_text
+from emberwatch.llm.common import alnum_words, chunks, keyed_text, released
 
 WINDOW = 10
 #: Text bytes of a shard whose array is built at once, and of a benchmark block sent to the tasks.
@@ -253,4 +253,4 @@ def without_hits(docs: DataFrame, block: list[tuple[str, bytes]], at: int, windo
             clean = [not r[1] for a, b in chunks([len(t) for t in texts], SHARD_BYTES) for r in Shard(texts[a:b], tests).results()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

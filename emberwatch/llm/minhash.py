@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import chunks, map_keyed, mix64
+from emberwatch.llm.common import chunks, map_keyed, mix64, pieces, released
 from emberwatch.llm.components import components
 from emberwatch.session import written
 
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
-        for frame in frames:
+        for frame in pieces(frames):
             texts = [raw.lower().split() for raw in frame["_text"]]
             names = [xxhash.xxh3_128_digest(b" ".join(words)) if words else None for words in texts]
             new = {own: i for i, own in reversed(list(enumerate(names))) if own and own not in seen}
@@ -152,13 +152,13 @@ def full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     rows = rows.groupBy("text_key").agg(F.first("_text").alias("_text")).join(wanted, "text_key", "left_semi").select("_text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames):
             words = [t.lower().split() for t in frame["_text"]]
             yield pd.DataFrame(
                 {"class": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "shingles": [s.tobytes() for s in all_shingles(words)]}
             )
 
-    return rows.mapInPandas(run, "class binary, shingles binary")
+    return rows.mapInPandas(released(run), "class binary, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield frame.loc[linked, ["a", "b"]]
 
-    return joined.mapInPandas(run, "a binary, b binary")
+    return joined.mapInPandas(released(run), "a binary, b binary")
 
 
 def equal_minima(left: str, right: str) -> F.Column:
@@ -256,14 +256,14 @@ def shared_counts(sets: DataFrame) -> DataFrame:
                 values = np.frombuffer(own, np.int64)
                 yield pd.DataFrame({"shingle": values, "owner": np.full(len(values), owner(name))})
 
-    single = sets.mapInPandas(run, "shingle long, owner long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
+    single = sets.mapInPandas(released(run), "shingle long, owner long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
     single = single.where("n = 1").groupBy("owner").agg(F.count("*").alias("single"))
 
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"class": frame["class"], "owner": [owner(c) for c in frame["class"]], "all": [len(s) // 8 for s in frame["shingles"]]})
 
-    rows = sets.mapInPandas(named, "class binary, owner long, all long").join(single, "owner", "left")
+    rows = sets.mapInPandas(released(named), "class binary, owner long, all long").join(single, "owner", "left")
     return rows.select("class", (F.col("all") - F.coalesce("single", F.lit(0))).alias("shared"))
 
 

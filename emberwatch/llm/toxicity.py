@@ -22,7 +22,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import alnum_words, chunks, keyed_text, map_keyed
+from emberwatch.llm.common import alnum_words, chunks, keyed_text, map_keyed, released
 
 #: Labelled rows to a shard, until so many shards exist; beyond, shards grow.
 SHARD_ROWS, MOST_SHARDS = 6_000, 64
@@ -314,7 +314,7 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     rows = slot(keyed_text(docs, key, text, as_bytes=True)).withColumn("_map", F.expr(f"_slot div {BITMAP_BITS}"))
     rows = rows.join(F.broadcast(bits), "_map").where(F.getbit(byte, (F.col("_slot") % 8).cast("int")) == 1)
     rows = rows.select(name, "_text", F.xxhash64("_key", "_text").alias("_order"))
-    rows = rows.mapInPandas(packed, "_name string, _text binary, _order long")
+    rows = rows.mapInPandas(released(packed), "_name string, _text binary, _order long")
     rows = rows.unionByName(one.select(name, "_label"), allowMissingColumns=True).repartition(shards, "_name")
     rows = rows.withColumn("_label", F.max("_label").over(Window.partitionBy("_name"))).where("_text is not null and _label is not null")
     rows = rows.select("_label", "_text", "_order", (F.col("_order") % CALIBRATION_SHARE == 0).alias("_calibrate"))
@@ -339,7 +339,7 @@ def bucket_texts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(texts)
         yield pd.DataFrame({"at": at, "n": texts.ravel()[at]})
 
-    counts = rows.mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInPandas(released(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     texts = np.zeros(2 * BUCKETS, np.int64)
     texts[counts["at"].to_numpy(np.int64)] = counts["n"]
     return texts[:BUCKETS], texts[BUCKETS:]
@@ -398,7 +398,7 @@ def trained_round(rows: DataFrame, model: Model, seen: Seen, balance: float, rat
         total /= np.bincount(back)[:, None].astype(np.float32)
         return pd.DataFrame({"part": frame["part"].iloc[:1], "rows": [rows.tobytes()], "values": [total.tobytes()]})
 
-    made = rows.mapInPandas(run, "part string, block long, shard int, rows binary, values binary")
+    made = rows.mapInPandas(released(run), "part string, block long, shard int, rows binary, values binary")
     made = made.groupBy("part", "block").applyInPandas(average, "part string, rows binary, values binary")
     for r in made.collect():
         at = np.frombuffer(r["rows"], "<i8")
@@ -418,7 +418,7 @@ def calibrated(rows: DataFrame, model: Model, weights: dict[int, float], n: int)
                 logits = np.round(logits * LOGIT_STEPS) / LOGIT_STEPS
             yield pd.DataFrame({"logit": logits, "language": languages, "label": frame["_label"].to_numpy()})
 
-    counts = rows.mapInPandas(run, "logit double, language int, label int").groupBy("logit", "language").agg(
+    counts = rows.mapInPandas(released(run), "logit double, language int, label int").groupBy("logit", "language").agg(
         F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative")
     )
     counts = counts.toPandas()
@@ -492,4 +492,4 @@ def clean(docs: DataFrame, model: Model | float, text: str = "text") -> DataFram
             wordless = np.array([not alnum_words(t) for t in texts], bool)
             yield batch.filter(pa.array((tables.scores(texts) < 0.5) | wordless))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -5,13 +5,15 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, decontaminate, html_text, licenses, minhash, queries, quality, secrets, suffix_dedup, topk, toxicity
+from emberwatch.llm import bpe, common, decontaminate, html_text, licenses, minhash, queries, quality, secrets, suffix_dedup, topk, toxicity
 
 LONG = "word " * 30_000 + "/" * 20_000
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, LONG), (5, "same text"), (5, "same text"), (None, "no id"), (6, "é😀 ß"), (7, "x" * 50_000)]
@@ -255,6 +257,44 @@ def test_near_duplicates_on_odd_rows(spark, odd, none):
     assert minhash.grouped(none).count() == 0 and minhash.deduplicated(none).count() == 0
 
 
+def test_signatures_hold_the_words_of_few_texts(spark, monkeypatch):
+    """A batch of 8 MB is split into words piece by piece: words take ten times the memory of their text."""
+    grabbed = []
+    monkeypatch.setattr(minhash, "map_keyed", lambda rows, run, columns, key: grabbed.append(run))
+    minhash.signatures(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
+    draw = random.Random(3)
+    texts = [b" ".join(b"w%d" % draw.randrange(10**6) for _ in range(5_000)) for _ in range(200)]
+    batch = pd.DataFrame({"id": range(200), "text_key": range(200), "_text": texts})
+    tracemalloc.start()
+    try:
+        got = pd.concat(grabbed[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got["id"].tolist() == list(range(200)) and got["n"].min() > 4_900
+    assert peak < 3 * sum(map(len, texts))
+
+
+def anonymous_mb():
+    with open("/proc/self/smaps_rollup") as found:
+        return sum(int(line.split()[1]) for line in found if line.startswith("Anonymous:")) / 1024
+
+
+def test_a_task_gives_its_memory_back():
+    """What a task freed goes back to the system although something above it is still in use."""
+    kept = []
+
+    def run(batches):
+        for n in batches:
+            held = [np.ones(30_000, np.uint8) for _ in range(n)]
+            kept.append(np.ones(30_000, np.uint8))
+            yield len(held)
+
+    before = anonymous_mb()
+    assert list(common.released(run)(iter([6_000]))) == [6_000]
+    assert anonymous_mb() - before < 90
+
+
 def test_near_duplicates_with_null_and_shared_keys(spark):
     """Unrelated texts without a key, or under one key, are groups of their own."""
     unlike = [" ".join(f"{w}{i}" for i in range(20)) for w in ("red", "green", "blue", "grey")]
