@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberwatch import dictionaries as D
 from emberwatch.operators import features, ordering
+from emberwatch.plans import views
 
 EVENTS = [
     ("b1", 1, 1, "2024-01-01 00:00:00 ERROR login failed"),
@@ -178,3 +179,17 @@ def test_tailed_events_stand_in_order_of_time(spark):
     df = spark.createDataFrame(rows, "block_id string, template_id long, line_id long, collected_at timestamp, raw string")
     got = [r["template_id"] % 7 for r in features.event_features(df).orderBy("event_index").collect()]
     assert got == sorted(got) and len(got) == 50
+
+
+def test_rows_are_dealt_out_whatever_the_splits(spark, tmp_path):
+    """One row group comes with one of a file's splits, however many these are; no task may get it whole."""
+    spark.range(300_000).select((F.col("id") * 7919 % 1_000_003).alias("id")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["n"] for r in views.spread(df).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(sizes) == 300_000 and max(sizes) <= views.TASK_ROWS
