@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators import parsing
 from emberwatch.schemas import struct
+from emberwatch.session import configure
 from emberwatch.sources import records, text_files
 
 
@@ -177,3 +178,18 @@ def test_event_xml_searches_wherever_elements_may_hide(spark):
     rows.append((f"<Event><EventData><Binary>6</Binary></EventData>{head.format(len(data))}</Event>",))
     got = {r["record_id"]: r["raw"].split("Time=")[1] for r in records.xml_event_lines(spark.createDataFrame(rows, "xml string")).collect()}
     assert got == {0: " | 1", 1: " | a=1", 2: " | 1 | deep", 3: " | 2", 4: " | 3", 5: "", 6: " | 5", 7: "", 8: " | 6"}
+
+
+def test_large_trees_are_listed_by_few_tasks(spark, folder):
+    """A file per folder: listing takes a bounded number of tasks, not one for each folder."""
+    for i in range(300):
+        put(folder, f"user={i}/e.xml", f"<Event><System><EventRecordID>{i}</EventRecordID></System></Event>")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        out = records.read_event_xml(configure(spark), folder, recursive=True)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 256
+    assert out.count() == 300
