@@ -256,7 +256,8 @@ def _merged(records: np.ndarray, names: list[str]) -> np.ndarray:
 
 
 def _by_block(records: np.ndarray, name: str, blocks: int) -> Iterator[tuple[int, bytes]]:
-    block = ((records[name] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    # Buckets are named by least hashes, which crowd near zero, so names are hashed again.
+    block = ((mix64(records[name]) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(block, kind="stable")
     edges = np.searchsorted(block[order], np.arange(blocks + 1))
     for b in range(blocks):

@@ -422,6 +422,13 @@ def test_repeats_on_odd_rows(spark, odd, none):
     assert suffix_dedup.without_repeats(none).count() == 0
 
 
+def test_blocks_of_samples_are_of_like_size():
+    text = np.random.default_rng(3).integers(97, 123, 1 << 20, dtype=np.uint8).tobytes()
+    records = suffix_dedup.Batch([text]).records()
+    sizes = [len(r) // records.itemsize for _, r in suffix_dedup._by_block(records, "bucket", 40)]
+    assert sum(sizes) == len(records) and max(sizes) < 2 * len(records) / 40
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 
