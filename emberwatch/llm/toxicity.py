@@ -22,7 +22,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import alnum_words, chunks, keyed_text, map_keyed, released
+from emberwatch.llm.common import WORD_BYTES, chunks, keyed_text, map_keyed, released
 
 #: Labelled rows to a shard, until so many shards exist; beyond, shards grow.
 SHARD_ROWS, MOST_SHARDS = 6_000, 64
@@ -45,11 +45,12 @@ LEAST_CALIBRATION = 15
 CALIBRATION_SHARE = 4  # one in so many labelled rows
 #: With more calibration rows than this their logits are counted in steps of 1 / LOGIT_STEPS.
 EXACT_LOGITS, LOGIT_STEPS = 100_000, 4_096
-#: Text bytes that are split into words and scored at once.
-BYTES_AT_ONCE = 400_000
-REMEMBERED = 250_000
+#: Text bytes that are split into words and scored at once, and words whose table rows are held at once.
+BYTES_AT_ONCE, WORDS_AT_ONCE = 400_000, 4_096
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
-#: Common words by which a text's language is told (fixed values).
+#: Common words by which a text's language is told (fixed values, of at most five bytes each).
 COMMON = {
     "en": "the of and to in is that it for as with on be by this are from at which was".split(),
     "fr": "le les des du et en une est que qui dans pour par sur au aux avec elle ce pas".split(),
@@ -59,12 +60,70 @@ COMMON = {
 LANGUAGES = ["", *COMMON]
 
 
-def buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of whole words and of their stems."""
-    n = len(words)
-    whole = np.fromiter(map(zlib.crc32, words), np.int64, n) % BUCKETS
-    stems = np.fromiter([zlib.crc32(w[:STEM_BYTES], 77) for w in words], np.int64, n) % BUCKETS
-    return whole, stems
+#: zlib's crc32 as a table of single bytes, and what another start (77) changes in the crc32 of so many bytes.
+CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
+STEM_START = np.array([zlib.crc32(bytes(n), 77) ^ zlib.crc32(bytes(n)) for n in range(STEM_BYTES + 1)], np.uint32)
+
+
+class Words:
+    """The words of some texts, all hashed together: ``whole`` is the crc32 of each, ``stem`` that of its first bytes."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = b" ".join(texts).translate(WORD_BYTES)
+        data = np.frombuffer(raw, np.uint8)
+        letter = np.zeros(len(data) + 2, bool)
+        np.not_equal(data, 32, out=letter[1:-1])
+        edges = np.flatnonzero(letter[1:] != letter[:-1])
+        start, end = edges[::2], edges[1::2]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        #: Number of words of each text.
+        self.sizes = np.diff(np.searchsorted(start, ends), prepend=0)
+        self.bytes = np.minimum(end - start, LONG_WORD + 1).astype(np.uint8)
+        self.first = data[start]
+        # Longer words first: those with another byte to take in are the first so many.
+        order = np.argsort(LONG_WORD + 1 - self.bytes, kind="stable")
+        longer = len(order) - np.cumsum(np.bincount(self.bytes, minlength=LONG_WORD + 2))
+        at, state, stem = start[order], np.full(len(order), 0xFFFFFFFF, np.uint32), None
+        for k, n in enumerate(longer[:LONG_WORD]):
+            if k == STEM_BYTES:
+                stem = state.copy()
+            if not n:
+                break
+            own = state[:n]
+            step = CRC[(own ^ data[at[:n]]).astype(np.uint8)]
+            own >>= np.uint32(8)
+            own ^= step
+            at[:n] += 1
+        state ^= np.uint32(0xFFFFFFFF)
+        for i in range(longer[LONG_WORD]):
+            state[i] = zlib.crc32(raw[start[order[i]] : end[order[i]]])
+        self.whole, self.stem = np.empty_like(state), np.empty_like(state)
+        self.whole[order] = state
+        self.stem[order] = state if stem is None else stem ^ np.uint32(0xFFFFFFFF)
+        self.stem ^= STEM_START[np.minimum(self.bytes, STEM_BYTES)]
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash buckets of whole words and of their stems."""
+        return self.whole % np.uint32(BUCKETS), self.stem % np.uint32(BUCKETS)
+
+    def languages(self) -> np.ndarray:
+        """Number of the language that has the word among its common ones, or 0.
+
+        Words of at most five bytes with equal crc32, length and first byte are equal.
+        """
+        near = COMMON_AT[self.whole % np.uint32(COMMON_SLOTS)]
+        same = (COMMON_CRC[near] == self.whole) & (COMMON_BYTES[near] == self.bytes) & (COMMON_FIRST[near] == self.first)
+        return np.where(same, COMMON_LANGUAGE[near], 0)
+
+
+COMMON_SLOTS = 1 << 18
+_common = {w.encode(): i for i, name in enumerate(LANGUAGES) for w in COMMON.get(name, ())}
+COMMON_CRC = np.array([0, *map(zlib.crc32, _common)], np.uint32)
+COMMON_BYTES = np.array([0, *map(len, _common)], np.uint8)
+COMMON_FIRST = np.array([0, *(w[0] for w in _common)], np.uint8)
+COMMON_LANGUAGE = np.array([0, *_common.values()], np.uint8)
+COMMON_AT = np.zeros(COMMON_SLOTS, np.uint8)
+COMMON_AT[COMMON_CRC[1:] % np.uint32(COMMON_SLOTS)] = np.arange(1, len(COMMON_CRC))
 
 
 class Model:
@@ -101,14 +160,18 @@ class Model:
             batch = batches[b]
             sizes = np.array([len(whole[i]) for i in batch])
             ids_w, ids_s = np.concatenate([whole[i] for i in batch]), np.concatenate([stems[i] for i in batch])
-            x = self.e_whole[ids_w] + self.e_stem[ids_s]
+            x = self.e_whole.take(ids_w, axis=0)
+            x += self.e_stem.take(ids_s, axis=0)
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             pooled = np.zeros((len(batch), len(self.out)), np.float32)
             where = np.full((len(batch), len(self.out)), -1)
             for k, w in enumerate(WIDTHS):
                 if len(x) < w:
                     continue
-                c = sum(x[j : len(x) - w + 1 + j] @ self.filters[k][j] for j in range(w)) + self.shift[k]
+                c = x[: len(x) - w + 1] @ self.filters[k][0]
+                for j in range(1, w):
+                    c += x[j : len(x) - w + 1 + j] @ self.filters[k][j]
+                c += self.shift[k]
                 for r, (s, n) in enumerate(zip(starts, sizes, strict=True)):
                     if n >= w:
                         own = c[s : s + n - w + 1]
@@ -186,71 +249,66 @@ class Seen:
         self.bias = 1e-6
 
 
-class Codes(dict):
-    """Word to whole row, stem row and language, packed in one integer."""
-
-    def __init__(self, rows_whole: np.ndarray, rows_stem: np.ndarray):
-        self.rows_whole, self.rows_stem = rows_whole, rows_stem
-        self.common = {w.encode(): i for i, name in enumerate(LANGUAGES) for w in COMMON.get(name, ())}
-
-    def __missing__(self, word: bytes) -> int:
-        whole = int(self.rows_whole[zlib.crc32(word) % BUCKETS])
-        stem = int(self.rows_stem[zlib.crc32(word[:STEM_BYTES], 77) % BUCKETS])
-        code = (whole << 35) | (stem << 8) | self.common.get(word, 0)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = code
-        return code
-
-
 class Tables:
     """What every word adds to every filter at every place in its window, worked out once."""
 
     def __init__(self, model: Model):
         flat = np.concatenate([f.transpose(1, 0, 2).reshape(DIM, -1) for f in model.filters], axis=1)
-        self.whole, self.stem = model.e_whole @ flat, model.e_stem @ flat
+        # Columns by place in the window, and for each place the filters that reach it, the widest last.
+        begin = np.cumsum([0, *WIDTHS])
+        places = [begin[k] + j for j in range(WIDTHS[-1]) for k, w in enumerate(WIDTHS) if w > j]
+        columns = np.concatenate([np.arange(p * FILTERS, (p + 1) * FILTERS) for p in places])
+        self.whole, self.stem = (model.e_whole @ flat)[:, columns], (model.e_stem @ flat)[:, columns]
+        self.whole, self.stem = np.ascontiguousarray(self.whole), np.ascontiguousarray(self.stem)
+        self.shift = np.concatenate(model.shift)
+        self.rows_whole, self.rows_stem = model.rows_whole.astype(np.int32), model.rows_stem.astype(np.int32)
         self.model = model
-        self.codes = Codes(model.rows_whole, model.rows_stem)
 
     def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Logit and language of each text."""
         logits, languages = [], []
         for a, b in chunks([len(t) for t in texts], BYTES_AT_ONCE):
-            one, two = self._some([alnum_words(t) for t in texts[a:b]])
+            one, two = self._some(Words(texts[a:b]))
             logits.append(one)
             languages.append(two)
         return (np.concatenate(logits), np.concatenate(languages)) if logits else (np.zeros(0), np.zeros(0, int))
 
-    def _some(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        model, sizes = self.model, np.array([len(w) for w in words])
-        code_of = self.codes.__getitem__
-        codes = np.fromiter((c for w in words for c in map(code_of, w)), np.int64, sizes.sum())
-        pooled = np.zeros((len(words), len(model.out)), np.float32)
-        counts = np.zeros((len(words), len(LANGUAGES)), np.int64)
-        full = np.flatnonzero(sizes)
-        if len(codes):
-            doc = np.repeat(np.arange(len(words)), sizes)
-            counts = np.bincount(doc * len(LANGUAGES) + (codes & 255), minlength=counts.size).reshape(counts.shape)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            column = 0
-            for k, w in enumerate(WIDTHS):
-                n = len(codes) - w + 1
-                total = np.zeros((len(codes), FILTERS), np.float32)
-                if n > 0:
-                    whole, stem = codes >> 35, (codes >> 8) & ((1 << 27) - 1)
-                    for j in range(w):
-                        cols = slice(column + j * FILTERS, column + (j + 1) * FILTERS)
-                        total[:n] += self.whole[whole[j : n + j], cols]
-                        total[:n] += self.stem[stem[j : n + j], cols]
-                    total[:n] += model.shift[k]
-                    if w > 1:  # windows over the end of a text count for none
-                        total[:n][doc[:n] != doc[w - 1 :]] = 0
-                        total[n:] = 0
-                column += w * FILTERS
-                pooled[full, k * FILTERS : (k + 1) * FILTERS] = np.maximum(np.maximum.reduceat(total, starts, axis=0), 0)
+    def _some(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        model, sizes = self.model, words.sizes
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(doc * len(LANGUAGES) + words.languages(), minlength=len(sizes) * len(LANGUAGES))
+        counts = counts.reshape(len(sizes), len(LANGUAGES))
         counts[:, 0] = 0
+        pooled = np.zeros((len(sizes), len(model.out)), np.float32)
+        whole, stem = words.buckets()
+        whole, stem = self.rows_whole[whole], self.rows_stem[stem]
+        for a in range(0, len(doc), WORDS_AT_ONCE):
+            own = doc[a : a + WORDS_AT_ONCE]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            found = np.maximum.reduceat(self._windows(whole, stem, doc, a, len(own)), first, axis=0)
+            pooled[own[first]] = np.maximum(pooled[own[first]], found)
         return (pooled @ model.out + model.bias).astype(np.float64), counts.argmax(1)
 
+    def _windows(self, whole: np.ndarray, stem: np.ndarray, doc: np.ndarray, a: int, n: int) -> np.ndarray:
+        """All filters at ``n`` words from the ``a``-th; windows over the end of a text count for none."""
+        reach = slice(a, a + n + WIDTHS[-1] - 1)
+        by_whole, by_stem, own = self.whole.take(whole[reach], axis=0), self.stem.take(stem[reach], axis=0), doc[reach]
+        columns = len(self.shift)
+        total = by_whole[:n, :columns] + by_stem[:n, :columns]
+        at = columns
+        for j in range(1, WIDTHS[-1]):
+            more = columns - FILTERS * sum(w <= j for w in WIDTHS)
+            m = min(n, len(own) - j)
+            total[:m, -more:] += by_whole[j : j + m, at : at + more]
+            total[:m, -more:] += by_stem[j : j + m, at : at + more]
+            at += more
+        total += self.shift
+        for j in range(1, WIDTHS[-1]):
+            m = min(n, len(own) - j)
+            over = np.r_[np.flatnonzero(own[:m] != own[j : j + m]), np.arange(m, n)]
+            total[over, FILTERS * sum(w <= j for w in WIDTHS) :] = 0
+        return total
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         logits, languages = self.logits(texts)
         return 1 / (1 + np.exp(-np.clip(logits - self.model.thresholds[languages], -30, 30)))
@@ -334,7 +392,7 @@ def bucket_texts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         texts = np.zeros((2, BUCKETS), np.int64)
         for frame in frames:
             for t in frame["_text"]:
-                for kind, ids in enumerate(buckets(alnum_words(zlib.decompress(t)))):
+                for kind, ids in enumerate(Words([zlib.decompress(t)]).buckets()):
                     texts[kind][np.unique(ids)] += 1
         at = np.flatnonzero(texts)
         yield pd.DataFrame({"at": at, "n": texts.ravel()[at]})
@@ -347,18 +405,23 @@ def bucket_texts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[tuple[list, list, np.ndarray]]:
     """Embedding rows of the words of consecutive texts, and their labels, a bounded number at a time."""
-    codes, whole, stems, labels, held = Codes(model.rows_whole, model.rows_stem), [], [], [], 0
+    whole, stems, labels, held = [], [], [], 0
+    rows_whole, rows_stem = model.rows_whole.astype(np.int32), model.rows_stem.astype(np.int32)
     for frame in frames:
-        for raw, y in zip(frame["_text"], frame["_label"], strict=True):
-            words = alnum_words(zlib.decompress(raw))
-            if labels and (len(labels) >= WINDOW_ROWS or held + len(words) > WINDOW_WORDS):
-                yield whole, stems, np.array(labels, np.float64)
-                whole, stems, labels, held = [], [], [], 0
-            own = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-            whole.append((own >> 35).astype(np.int32))
-            stems.append(((own >> 8) & ((1 << 27) - 1)).astype(np.int32))
-            labels.append(y)
-            held += len(words)
+        texts = [zlib.decompress(raw) for raw in frame["_text"]]
+        for a, b in chunks([len(t) for t in texts], BYTES_AT_ONCE):
+            words = Words(texts[a:b])
+            of_whole, of_stem = words.buckets()
+            ends = np.cumsum(words.sizes)[:-1]
+            own = zip(np.split(rows_whole[of_whole], ends), np.split(rows_stem[of_stem], ends), frame["_label"].iloc[a:b], strict=True)
+            for one, two, y in own:
+                if labels and (len(labels) >= WINDOW_ROWS or held + len(one) > WINDOW_WORDS):
+                    yield whole, stems, np.array(labels, np.float64)
+                    whole, stems, labels, held = [], [], [], 0
+                whole.append(one)
+                stems.append(two)
+                labels.append(y)
+                held += len(one)
     if labels:
         yield whole, stems, np.array(labels, np.float64)
 
@@ -489,7 +552,7 @@ def clean(docs: DataFrame, model: Model | float, text: str = "text") -> DataFram
         tables = Tables(pickle.loads(shared.value))
         for batch in frames:
             texts = [t.encode() if t else b"" for t in batch.column(columns.index(text)).to_pylist()]
-            wordless = np.array([not alnum_words(t) for t in texts], bool)
+            wordless = np.array([not t.translate(WORD_BYTES).strip() for t in texts], bool)
             yield batch.filter(pa.array((tables.scores(texts) < 0.5) | wordless))
 
     return docs.mapInArrow(released(run), docs.schema)

@@ -102,6 +102,45 @@ def test_toxicity_labelled_texts_move_once_and_packed(spark, capsys):
     assert (got["n"], got["toxic"]) == (9000, 3000) and 4 * got["size"] < rows.selectExpr("sum(length(text))").first()[0]
 
 
+def test_toxicity_words_are_hashed_together(monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=draw.randint(1, 9))) for _ in range(2_000)) for _ in range(3)]
+    texts += ["", " \n\t ", "Für THE der of-des 7x", "w" * 300 + " " + "v" * 64 + " " + "u" * 65, "é😀 ß", "a", "\0which\0", "und"] + [" ".join(sum(toxicity.COMMON.values(), []))]
+    raw = [t.encode() for t in texts]
+    plain = [common.alnum_words(t) for t in raw]
+    model = toxicity.Model.of_rows((np.arange(toxicity.BUCKETS) % 50, 50), (np.arange(toxicity.BUCKETS) % 30, 30))
+    model.bias = np.float32(0.25)
+    names = {w.encode(): i for i, name in enumerate(toxicity.LANGUAGES) for w in toxicity.COMMON.get(name, ())}
+    crc, calls = toxicity.zlib.crc32, []
+
+    class Counted:
+        @staticmethod
+        def crc32(*args):
+            calls.append(args)
+            return crc(*args)
+
+    monkeypatch.setattr(toxicity, "zlib", Counted)
+    logits, languages = toxicity.Tables(model).logits(raw)
+    assert len(calls) <= 2  # the words of 300 and 65 bytes
+
+    words = toxicity.Words(raw)
+    flat = [w for own in plain for w in own]
+    assert words.sizes.tolist() == [len(own) for own in plain]
+    assert words.whole.tolist() == [crc(w) for w in flat]
+    assert words.stem.tolist() == [crc(w[: toxicity.STEM_BYTES], 77) for w in flat]
+    assert words.languages().tolist() == [names.get(w, 0) for w in flat]
+    for own, logit, language in zip(plain, logits, languages, strict=True):
+        x = np.array([model.e_whole[crc(w) % toxicity.BUCKETS % 50] + model.e_stem[crc(w[:4], 77) % toxicity.BUCKETS % 30] for w in own]).reshape(-1, toxicity.DIM)
+        most = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            c = [sum(x[i + j] @ model.filters[k][j] for j in range(width)) + model.shift[k] for i in range(len(x) - width + 1)]
+            most.append(np.maximum(np.max(c, axis=0), 0) if c else np.zeros(toxicity.FILTERS))
+        assert logit == pytest.approx(np.concatenate(most) @ model.out + model.bias, abs=1e-4)
+        votes = np.bincount([names.get(w, 0) for w in own], minlength=len(toxicity.LANGUAGES))
+        votes[0] = 0
+        assert language == votes.argmax()
+
+
 # --- top-k ------------------------------------------------------------------------------
 
 
