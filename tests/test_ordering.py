@@ -28,6 +28,31 @@ def test_exact_quantiles_through_sketch(spark):
         assert np.isclose(r["quantile"], np.percentile(values, 100 * r["probability"]))
 
 
+def test_exact_quantiles_of_unlike_tasks(spark):
+    """Values in order over more tasks than groups of sketches; no task merges the sketches of all tasks."""
+    df = spark.range(0, 60_000, 1, 200).select(
+        F.when(F.col("id") % 10 > 0, F.pow(F.col("id") - 30_000.0, 3)).alias("a"), F.floor(F.col("id") / 9_000).cast("double").alias("b")
+    )
+    ids = np.arange(60_000.0)
+    values = {"a": (ids[ids % 10 > 0] - 30_000) ** 3, "b": ids // 9_000}
+    probabilities = [0.0, 0.003, 0.5, 0.97, 1.0]
+    found = ordering.exact_quantiles(df, ["a", "b"], probabilities, accuracy=2000)
+    got = {(r["feature"], r["probability"]): r["quantile"] for r in found.collect()}
+    for c in "ab":
+        for p in probabilities:
+            assert np.isclose(got[c, p], np.percentile(values[c], 100 * p))
+    edges = ordering.quantile_brackets(df, ["a"], [0.5], 2000).first()["edges"]
+    inside = (values["a"] >= edges["a_lo0"]) & (values["a"] <= edges["a_hi0"])
+    assert 0 < inside.sum() < 18 / 2000 * inside.size + 6 * ordering.SKETCHES
+    assert "_group" in next(x for x in found._jdf.queryExecution().toString().splitlines() if "ObjectHashAggregate" in x and "percentile_approx" in x)
+
+
+def test_median_query_deals_no_rows_out(spark, sf_dir):
+    from emberwatch.plans.models_queries import dirty
+
+    assert "Exchange" not in dirty(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_auc_and_average_precision(spark):
     rng = np.random.default_rng(3)
     n = 900
