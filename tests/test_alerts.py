@@ -1,3 +1,6 @@
+import glob
+import hashlib
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -193,3 +196,26 @@ def test_scope_of_an_unpaired_caller_is_empty(spark):
     assert alerts.scope_by_machine(rows, "user", None).count() == 0
     assert [r["alert_id"] for r in alerts.scope_by_machine(rows, "user", "WEB1").collect()] == [1]
     assert alerts.scope_by_machine(rows, "admin", None).count() == 2
+
+
+def test_written_lists_of_recipients(spark, folder):
+    """A file names a machine's list once, also one far over 1 MB, and its rows refer to it."""
+    from emberwatch.plans.alerts_queries import alert_recipients
+
+    spark.range(60_000).selectExpr(
+        "id * 9 + 1 AS c_custkey", "concat('c', id) AS c_name", "1 AS c_nationkey", "1D AS c_acctbal", "'BUILDING' AS c_mktsegment"
+    ).write.parquet(f"{folder}/customer.parquet")
+    spark.sql("SELECT 1 AS n_nationkey, 'FRANCE' AS n_name, 0 AS n_regionkey").write.parquet(f"{folder}/nation.parquet")
+    spark.range(200).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "1 + id % 2 AS user_id", "'view' AS event_type", "1D AS value", "'' AS props"
+    ).write.parquet(f"{folder}/events.parquet")
+    found = alert_recipients(spark, folder)
+    assert found.columns == ["alert_id", "recipients"]
+    found.write.parquet(f"{folder}/out")
+    rows = spark.read.parquet(f"{folder}/out").groupBy(F.col("alert_id") % 2, F.md5("recipients")).count().collect()
+    every = ",".join(sorted(f"u{i * 9 + 1}@france.example.com" for i in range(60_000)))
+    digest = {hashlib.md5(t.encode()).hexdigest() for t in (every, "soc@example.com")}
+    assert len(rows) == 2 and {r[1] for r in rows} == digest and {r[2] for r in rows} == {100}
+    # 8 tasks may each write the list of 1.7 million letters once; in every row it would be 170 million
+    assert sum(map(os.path.getsize, glob.glob(f"{folder}/out/*.parquet"))) < 9 * len(every)
+    assert spark.conf.get("parquet.dictionary.page.size", None) is None
